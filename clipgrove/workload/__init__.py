@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
 from clipgrove.fixtures import with_views
 
+MODULES = ("catalog", "segments", "playlists", "registry", "planning")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -27,6 +29,5 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> None:
-    from clipgrove.workload import (  # noqa: F401
-        catalog, documents, packets, planning, playlists, registry, samples, segments, streams,
-    )
+    for name in MODULES:
+        import_module(f"clipgrove.workload.{name}")
