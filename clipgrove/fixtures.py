@@ -78,6 +78,8 @@ FROM (SELECT user_id % 8 AS stream_id, event_id AS seq, cast(floor(event_id / 25
 JOIN (SELECT user_id % 8 AS stream_id, cast(floor(event_id / 2500) AS bigint) AS segment,
     min((@US(ts) - 1704067200000000) * 10) AS t0 FROM events GROUP BY 1, 2) m
   ON p.stream_id = m.stream_id AND p.segment = m.segment""",
+    "fx_frames": """
+SELECT user_id AS clip, event_id AS seq, cast(floor((@US(ts) - 1704067200000000) * 10 / 180000) AS bigint) AS t, event_type = 'signup' AS key FROM events""",
     "fx_requests": """
 SELECT event_id AS request_id, user_id % 8 AS stream_id, (@US(ts) - 1704067200000000) * 10 AS at FROM events WHERE event_id % 97 = 0""",
     "fx_logs": """

@@ -87,12 +87,8 @@ def vertical_size(max_short: Column) -> Column:
 
 def vertical_bitrate(src_bps: Column, src_w: Column, src_h: Column, out_w: Column, out_h: Column) -> Column:
     px = F.greatest(_big(src_w) * _big(src_h), F.lit(1))
-    scaled = (src_bps.cast("decimal(38,0)") * _big(out_w) * _big(out_h) - _rest(src_bps, out_w, out_h, px)) / px
-    return _clamp(_big(scaled), 4_000_000, 40_000_000)
-
-
-def _rest(src_bps, out_w, out_h, px) -> Column:
-    return (src_bps.cast("decimal(20,0)") * (_big(out_w) * _big(out_h)).cast("decimal(18,0)")) % px.cast("decimal(18,0)")
+    total = _big(src_bps) * _big(out_w) * _big(out_h)
+    return _clamp((total - total % px) / px, 4_000_000, 40_000_000)
 
 
 def measured_bitrate(size_bytes: Column, secs: Column) -> Column:

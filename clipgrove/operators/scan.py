@@ -125,5 +125,5 @@ def first_per_key(df: DataFrame, keys: list[Column], order: list[Column], last:
 
 def repack(df: DataFrame, keys: list[str], order: list[str], chunk: Column, out: str = "idx") -> DataFrame:
     """Dense 0-based position by ``order`` inside ``keys``."""
-    ranked = running(df, keys, order, {"_n": count(inclusive=False)}, chunk)
-    return ranked.withColumn(out, F.coalesce(F.col("_n"), F.lit(0)).cast("bigint")).drop("_n")
+    ranked = running(df, keys, order, {"_rows_before": count(inclusive=False)}, chunk)
+    return ranked.withColumn(out, F.coalesce("_rows_before", F.lit(0)).cast("bigint")).drop("_rows_before")

@@ -107,7 +107,7 @@ def _(spark, sf):
 
 @query("p30_audio_plan", """WITH g AS (SELECT clip, list_concat(CASE WHEN clip % 5 <> 0 THEN [sys_vol] ELSE [] END, CASE WHEN clip % 3 = 0 THEN [CASE WHEN mic_muted THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END] ELSE [] END) AS gains,
   clip % 7 = 0 AS mix FROM fx_edits)
-SELECT clip, CASE WHEN mix AND len(list_filter(gains, x -> abs(x - 1) >= 0.001)) = 0 THEN 'copy' WHEN len(gains) >= 2 THEN 'remix' WHEN len(gains) = 0 THEN 'none'
+SELECT clip, CASE WHEN mix AND len(list_filter(gains, lambda x: abs(x - 1) >= 0.001)) = 0 THEN 'copy' WHEN len(gains) >= 2 THEN 'remix' WHEN len(gains) = 0 THEN 'none'
   WHEN abs(gains[1] - 1) < 0.001 THEN 'copy' ELSE 'gain' END AS plan FROM g""")
 def _(spark, sf):
     e = view(spark, sf, "fx_edits")

@@ -75,7 +75,7 @@ def main():
     con = duckdb.connect()
     for t in TABLES:
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
-    names = [n for n in workload.QUERIES if not args or any(n.startswith(a) for a in args)]
+    names = [n for n in workload.QUERIES if not args or any(n.startswith(a) or workload.QUERIES[n].__module__.endswith("." + a) for a in args)]
     bad = 0
     for n in names:
         try:
