@@ -1 +1,8 @@
 """Media-clip catalog and packet-stream analytics as Spark DataFrame operators."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# The small helpers that run inside tasks travel with the job, so executors need no install.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from clipgrove.fixtures import with_views
 
-MODULES = ("catalog", "segments", "playlists", "registry", "planning", "packets", "samples", "documents")
+MODULES = ("catalog", "segments", "playlists", "registry", "planning", "packets", "samples", "documents", "streams")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 

@@ -161,10 +161,10 @@ def _(spark, sf):
     return SF.rate_limit(logs, ["source"], "ms", 10800000, 20, "n").select("n")
 
 
-@query("u10_upsert_seen", """WITH RECURSIVE b AS (SELECT user_id AS name, event_id AS seq, epoch_us(ts) // 1000000 AS at FROM events),
-s AS (SELECT name, at, seq, row_number() OVER (PARTITION BY name ORDER BY seq) AS r FROM (SELECT * FROM b UNION ALL SELECT user_id, -1, epoch_us(min(ts)) // 1000000 + 40000 FROM events WHERE user_id % 3 = 0 GROUP BY 1)),
-f AS (SELECT name, r, at AS last, seq FROM s WHERE r = 1
-  UNION ALL SELECT s.name, s.r, CASE WHEN s.at - f.last >= 86400 THEN s.at ELSE f.last END, CASE WHEN s.at - f.last >= 86400 THEN s.seq ELSE f.seq END FROM f JOIN s ON s.name = f.name AND s.r = f.r + 1)
+@query("u10_upsert_seen", """WITH RECURSIVE b AS (SELECT user_id AS name, event_id AS seq, epoch_us(ts) // 1000000 AS sec FROM events),
+s AS (SELECT name, sec, seq, row_number() OVER (PARTITION BY name ORDER BY seq) AS r FROM (SELECT name, seq, sec FROM b UNION ALL SELECT user_id, -1, epoch_us(min(ts)) // 1000000 + 40000 FROM events WHERE user_id % 3 = 0 GROUP BY 1)),
+f AS (SELECT name, r, sec AS last, seq FROM s WHERE r = 1
+  UNION ALL SELECT s.name, s.r, CASE WHEN s.sec - f.last >= 86400 THEN s.sec ELSE f.last END, CASE WHEN s.sec - f.last >= 86400 THEN s.seq ELSE f.seq END FROM f JOIN s ON s.name = f.name AND s.r = f.r + 1)
 SELECT cast(name AS string) AS name, arg_max(seq, r) AS appid, max(last) AS last_seen FROM f GROUP BY name""")
 def _(spark, sf):
     us = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', cast(ts AS timestamp_ntz)) div 1000000"
