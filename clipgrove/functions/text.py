@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, functions as F
 
 # Fixed values.
-SCREEN_WORDS = r"(?i)^(?:pantalla|screen)\b"
+SCREEN_WORDS = r"(?i)^\s*(?:pantalla|screen)\b"
 SCREEN_PART = r"(?i)^(?:pantalla|screen)\s+([0-9]+)$"
 LABEL_SEPARATOR = " · "
 BAD_NAME_CHARS = r'[/\\:*?"<>|]'
@@ -57,7 +57,7 @@ def exe_basename(name: Column) -> Column:
 
 
 def is_screen(label: Column) -> Column:
-    return strip(label).rlike(SCREEN_WORDS)
+    return label.rlike(SCREEN_WORDS)
 
 
 def localize_label(label: Column, word: str) -> Column:

@@ -4,10 +4,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from clipgrove.functions import text
-from clipgrove.operators.scan import CHUNK_ROWS, Run, first_per_key, repack, rows_chunk, running
+from clipgrove.operators.scan import CHUNK_ROWS, first_per_key, repack, rows_chunk
 
 # Fixed values.
 FRESH_MS = 7 * 24 * 3600 * 1000
@@ -58,32 +58,36 @@ def totals(entries: DataFrame, clips: DataFrame, key: str = "path") -> DataFrame
 
 def source_histogram(resolved: DataFrame) -> DataFrame:
     """resolved(playlist_id, source) -> (playlist_id, source, n, screen). All screens of a list
-    share one slot named after the different screens in natural order."""
+    share one slot named after the different screens in natural order. Both branches read the
+    same counts, so the rows are shuffled once, pre-aggregated."""
     counts = resolved.where(F.coalesce("source", F.lit("")) != "").groupBy(LIST, "source").agg(F.count(F.lit(1)).alias("n"))
-    screen = text.is_screen(F.col("source"))
-    games = counts.where(~screen).select(LIST, "source", "n", F.lit(False).alias("screen"))
-    name = text.strip(F.col("part"))
-    ranked = F.struct(
-        F.lower(F.regexp_replace(name, "[0-9]+$", "")).alias("prefix"),
-        F.regexp_extract(name, "([0-9]+)$", 1).try_cast("bigint").alias("number"), name.alias("name"))
-    sums = counts.where(screen).groupBy(LIST).agg(F.sum("n").alias("n"))
-    # One row per distinct screen name of a list before the names are put together.
-    parts = counts.where(screen).select(LIST, F.explode(F.split("source", text.LABEL_SEPARATOR)).alias("part")).select(LIST, ranked.alias("r")).distinct()
-    names = parts.groupBy(LIST).agg(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["name"]), text.LABEL_SEPARATOR).alias("source"))
-    return games.unionByName(names.join(sums, LIST).select(LIST, "source", "n", F.lit(True).alias("screen")))
+    counts = counts.withColumn("screen", text.is_screen(F.col("source")))
+    games = counts.where(~F.col("screen")).select(LIST, "source", "n", "screen")
+
+    def ranked(name: Column) -> Column:
+        return F.struct(
+            F.lower(F.regexp_replace(name, "[0-9]+$", "")).alias("prefix"),
+            F.regexp_extract(name, "([0-9]+)$", 1).try_cast("bigint").alias("number"), name.alias("name"))
+
+    # One entry per distinct screen label of a list.
+    merged = counts.where("screen").groupBy(LIST).agg(F.collect_list("source").alias("_labels"), F.sum("n").alias("n"))
+    parts = F.flatten(F.transform("_labels", lambda s: F.split(s, text.LABEL_SEPARATOR)))
+    names = F.array_sort(F.array_distinct(F.transform(parts, lambda p: ranked(text.strip(p)))))
+    title = F.array_join(F.transform(names, lambda r: r["name"]), text.LABEL_SEPARATOR)
+    return games.unionByName(merged.select(LIST, title.alias("source"), "n", F.lit(True).alias("screen")))
 
 
 def top_slots(histogram: DataFrame, k: int = SLOTS) -> DataFrame:
     """The first ``k`` sources by count, then name; the number that do not fit and the names
-    from the last slot on. Rows per list are its distinct sources."""
-    rank = F.row_number().over(W.partitionBy(LIST).orderBy(F.col("n").desc(), F.col("source")))
-    slots = histogram.withColumn("slot", rank.cast("bigint"))
-    hidden = slots.where(F.col("slot") >= k).groupBy(LIST).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("slot", "source"))), lambda r: r["source"]), text.LABEL_SEPARATOR).alias("hidden"),
-        F.count(F.lit(1)).alias("_rest"))
-    out = slots.where(F.col("slot") <= k).join(hidden, LIST, "left")
-    over = F.when(F.col("_rest") > 1, F.col("_rest")).otherwise(0).cast("bigint")
-    return out.select(LIST, "slot", "source", "n", "screen", over.alias("overflow"), F.coalesce("hidden", F.lit("")).alias("hidden"))
+    from the last slot on. A list is gathered as its distinct sources."""
+    slot = F.struct((-F.col("n")).alias("by"), "source", "n", "screen")
+    lists = histogram.groupBy(LIST).agg(F.array_sort(F.collect_list(slot)).alias("_all"))
+    size = F.size("_all")
+    rest = F.when(size >= k, F.slice("_all", F.lit(k), F.greatest(size - (k - 1), F.lit(1)))).otherwise(F.slice("_all", 1, 0))
+    hidden = F.array_join(F.transform(rest, lambda r: r["source"]), text.LABEL_SEPARATOR)
+    over = F.when(size > k, size - (k - 1)).otherwise(0).cast("bigint")
+    shown = lists.select(LIST, over.alias("overflow"), hidden.alias("hidden"), F.posexplode(F.slice("_all", 1, k)).alias("_i", "_s"))
+    return shown.select(LIST, (F.col("_i") + 1).cast("bigint").alias("slot"), "_s.source", "_s.n", "_s.screen", "overflow", "hidden")
 
 
 # --- order -----------------------------------------------------------------------------

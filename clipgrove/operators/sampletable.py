@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from clipgrove.functions import timebase as T
 from clipgrove.operators.scan import Run, neighbours, rows_chunk, running
@@ -64,7 +64,9 @@ def samples_with_offsets(chunks: DataFrame, chunk_map: DataFrame, sizes: DataFra
     rows = at.join(ok, "clip", "left_semi").where("per_chunk > 0").withColumn(
         "sample", F.explode(F.sequence(F.col("_start"), F.col("_start") + F.col("per_chunk") - 1)))
     full = rows.select("clip", "chunk", "offset", "sample").join(sizes, ["clip", "sample"])
-    out = running(full, ["clip", "chunk"], ["sample"], {"_in": Run("sum", F.col("size"), False)}, rows_chunk("sample"))
+    # A chunk of a file is a short run of samples, so this window never grows with the track.
+    inside = W.partitionBy("clip", "chunk").orderBy("sample").rowsBetween(W.unboundedPreceding, -1)
+    out = full.withColumn("_in", F.sum("size").over(inside))
     return out.select("clip", "sample", "chunk", (F.col("offset") + F.coalesce("_in", F.lit(0))).alias("offset"), "size")
 
 

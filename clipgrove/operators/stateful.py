@@ -1,91 +1,80 @@
 """True recurrences over ordered rows: throttles and rate limits.
 
-A rule such as "accept when ``gap`` has passed since the last ACCEPTED row" is no window. Each
-group is cut into chunks; a chunk is first summed up as a step function from the state before it
-to the state after it (in parallel), the steps of a key are then chained (a few rows per chunk),
-and last each chunk is replayed from its known start state (in parallel). No task ever holds more
-than one chunk, and the result is exact."""
+A rule such as "accept when ``gap`` has passed since the last ACCEPTED row" is no window. Only rows
+that raise the highest time so far can be accepted, so the others go first, in a chunked scan. The
+rest is cut into spans of many gaps; a span is summed up as a step function from the last accepted
+time before it to the one after it (in parallel), the steps of a key are chained (a few rows per
+span), and each span is replayed from its known start (in parallel). No task holds more than one
+span, and the result is exact."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from clipgrove.operators.scan import Run, count, rows_chunk, running
+from clipgrove.operators.scan import Run, count, rows_chunk, running, span_chunk
 
-CHUNK_ROWS = 1 << 17
+SPAN_GAPS = 1024
 NEVER = -(1 << 62)
 
 
-def _key_fields(df: DataFrame, keys: list[str]) -> list[T.StructField]:
-    return [df.schema[k] for k in keys] + [T.StructField("_chunk", T.LongType())]
-
-
-def _steps(t: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
-    """Running top of the times and, per row, the first later row that is ``gap`` on."""
-    top = np.maximum.accumulate(t)
-    return top, np.searchsorted(top, top + gap, side="left")
-
-
-def _summarise(pdf: pd.DataFrame, gap: int) -> tuple[np.ndarray, np.ndarray]:
-    """Step function of one chunk: last accepted time after it for a last accepted time <= limit."""
-    t = pdf["_time"].to_numpy()
-    top, nxt = _steps(t, gap)
+def _summarise(t: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
+    """Step function of one span of rising times: (limit, out) = the last accepted time after it
+    when the one before it is at most ``limit``; beyond the last limit nothing is accepted."""
     n = len(t)
+    nxt = np.searchsorted(t, t + gap)
     jump = np.where(nxt >= n, np.arange(n), nxt)
     while True:  # pointer doubling to the end of every chain
         further = jump[jump]
         if np.array_equal(further, jump):
             break
         jump = further
-    # A row can be entered only if it raises the top.
-    entry = np.flatnonzero(np.r_[True, top[1:] > top[:-1]])
-    limit, out = top[entry] - gap, top[jump[entry]]
+    # The state before is older than the first row, which bounds the rows that can come first.
+    entries = np.arange(min(n, int(np.searchsorted(t, t[0] + gap)) + 1))
+    limit, out = t[entries] - gap, t[jump[entries]]
     keep = np.r_[out[1:] != out[:-1], True]
     return limit[keep], out[keep]
 
 
-def accepted(df: DataFrame, keys: list[str], time: str, order: str, gap: int, chunk: Column | None = None) -> DataFrame:
-    """``df`` plus ``accepted``: the row comes ``gap`` or more after the last accepted row of its
-    keys in ``order``; the first row always counts."""
-    chunk = rows_chunk(order, CHUNK_ROWS) if chunk is None else chunk
-    base = df.withColumn("_chunk", chunk).withColumn("_time", F.col(time).cast("bigint"))
-    fields = _key_fields(base, keys)
-    slim = base.select(*keys, "_chunk", "_time", F.col(order).alias("_order"))
+def accepted(df: DataFrame, keys: list[str], time: str, order: str, gap: int, span_gaps: int = SPAN_GAPS) -> DataFrame:
+    """``df`` plus ``accepted``: the row comes ``gap`` (above 0) or more after the last accepted row
+    of its keys in ``order``; the first row always counts. ``order`` is unique within the keys."""
+    slim = df.select(*keys, F.col(time).cast("bigint").alias("_time"), F.col(order).alias("_order"))
+    rising = running(slim, keys, ["_order"], {"_top": Run("max", F.col("_time"), False)}, rows_chunk("_order"))
+    rising = rising.where("_top IS NULL OR _time > _top").drop("_top").withColumn("_span", span_chunk("_time", gap * span_gaps))
+    fields = [df.schema[k] for k in keys] + [T.StructField("_span", T.LongType())]
+    names = [*keys, "_span"]
     step = T.StructType(fields + [T.StructField("_limit", T.LongType()), T.StructField("_out", T.LongType())])
     start = T.StructType(fields + [T.StructField("_last", T.LongType())])
-    names = [*keys, "_chunk"]
+    result = T.StructType(fields[:-1] + [T.StructField("_order", slim.schema["_order"].dataType)])
 
     def summarise(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        limit, out = _summarise(pdf.sort_values("_order"), gap)
+        limit, out = _summarise(np.sort(pdf["_time"].to_numpy()), gap)
         return pd.DataFrame({**dict(zip(names, key)), "_limit": limit, "_out": out})
 
-    def chain(key: tuple, pdfs: pd.DataFrame) -> pd.DataFrame:
+    def chain(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         last, rows = NEVER, []
-        for number, part in pdfs.sort_values(["_chunk", "_limit"]).groupby("_chunk", sort=True):
+        for number, part in pdf.sort_values(["_span", "_limit"]).groupby("_span", sort=True):
             rows.append((*key, number, last))
-            at = np.searchsorted(part["_limit"].to_numpy(), last, side="left")
+            at = int(np.searchsorted(part["_limit"].to_numpy(), last))
             last = int(part["_out"].iloc[at]) if at < len(part) else last
         return pd.DataFrame(rows, columns=[*names, "_last"])
 
-    starts = slim.groupBy(*names).applyInPandas(summarise, step).groupBy(*keys).applyInPandas(chain, start)
-    placed = base.join(starts, names)
-    result = T.StructType(list(df.schema.fields) + [T.StructField("accepted", T.BooleanType())])
-    columns = result.names
-
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
+    def replay(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_time")
         t = pdf["_time"].to_numpy()
-        top, nxt = _steps(t, gap)
-        flags = np.zeros(len(t), dtype=bool)
-        at = int(np.searchsorted(top, pdf["_last"].iloc[0] + gap, side="left"))
+        nxt, hits = np.searchsorted(t, t + gap), []
+        at = int(np.searchsorted(t, int(pdf["_last"].iloc[0]) + gap))
         while at < len(t):
-            flags[at] = True
+            hits.append(at)
             at = int(nxt[at])
-        return pdf.assign(accepted=flags)[columns]
+        return pdf.iloc[hits][[*keys, "_order"]]
 
-    return placed.groupBy(*names).applyInPandas(replay, result)
+    starts = rising.groupBy(*names).applyInPandas(summarise, step).groupBy(*keys).applyInPandas(chain, start)
+    hits = rising.join(starts, names).groupBy(*names).applyInPandas(replay, result)
+    marks = hits.select(*keys, F.col("_order").alias(order), F.lit(True).alias("accepted"))
+    return df.join(marks, [*keys, order], "left").select(*df.columns, F.coalesce("accepted", F.lit(False)).alias("accepted"))
 
 
 def throttle(df: DataFrame, keys: list[str], time: str, gap: int, order: str = "seq") -> DataFrame:

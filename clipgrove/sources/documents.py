@@ -47,7 +47,7 @@ def catalog_scan(spark: SparkSession, roots: list[str], exts: tuple[str, ...] =
         if root not in there:
             continue
         files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(root)
-        path = F.url_decode(F.replace(F.regexp_replace("path", "^file:/*", "/"), F.lit("+"), F.lit("%2B")))
+        path = F.regexp_replace("path", "^file:/*", "/")
         part = files.select(path.alias("path"), F.col("length").alias("size_bytes"), F.coalesce(F.unix_millis("modificationTime"), F.lit(0)).alias("modified_ms"))
         out = out.unionByName(part.where(text.file_ext(F.col("path")).isin(*exts)).select(
             F.lit(i).alias("root_no"), "path", text.file_stem(F.col("path")).alias("name"), "size_bytes", "modified_ms"))

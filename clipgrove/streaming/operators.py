@@ -75,10 +75,13 @@ def ring_stream(packets: DataFrame, requests: DataFrame, window: int) -> DataFra
     return _keyed(p.unionByName(r), ["stream_id"], S.Ring(window), schema)
 
 
-def handshake_stream(df: DataFrame, expected: list[str], timeout_ms: int = HEADER_TIMEOUT_MS) -> DataFrame:
-    """df(stream_id, seq, track, time, key, header): ``header`` rows announce a track."""
+def handshake_stream(df: DataFrame, expected: list[str], timeout_ms: int | None = HEADER_TIMEOUT_MS) -> DataFrame:
+    """df(stream_id, seq, track, time, key, header): ``header`` rows announce a track. The timeout
+    runs on processing time and is for continuous triggers: such a query always has a next batch,
+    so a run over what is there (``availableNow``) takes None and waits for headers only."""
     schema = "stream_id bigint, seq bigint, track string, out_time bigint"
-    return _keyed(df, ["stream_id"], S.Handshake(expected, timeout_ms), schema, "ProcessingTime")
+    mode = "None" if timeout_ms is None else "ProcessingTime"
+    return _keyed(df, ["stream_id"], S.Handshake(expected, timeout_ms), schema, mode)
 
 
 def log_stream(lines: DataFrame, crate: str, cap: int = MAX_DAY_BYTES) -> DataFrame:
@@ -96,7 +99,10 @@ def mix_stream(samples: DataFrame, lateness: str = MIX_LATENESS["mix"], rate: in
     rows = samples
     if "now_frame" in samples.columns:
         rows = rows.where(F.col("frame") - F.col("now_frame") <= MAX_AHEAD_FRAMES)
-    ts = F.timestamp_micros(B.idiv(F.col("frame") * 1_000_000, rate))
+    # A frame is done when its end is behind the watermark. The first watermark is the epoch, so
+    # the line starts a day after it.
+    end = B.idiv((F.col("frame") + 1) * 1_000_000, rate) + 86_400_000_000
+    ts = F.timestamp_micros(end)
     sums = rows.withColumn("ts", ts).withWatermark("ts", lateness).groupBy("stream_id", "ts", "frame", "ch").agg(
         F.sum(F.col("sample").cast("bigint")).alias("_sum"))
     value = F.least(F.greatest("_sum", F.lit(-32768)), F.lit(32767)).cast("int")

@@ -296,7 +296,7 @@ class Handshake(StatefulProcessor):
     """Holds the rows of a stream until every expected track has sent its header, or ``timeout_ms``
     after the first row; then tracks without a header and rows before the first video keyframe go."""
 
-    def __init__(self, expected: list[str], timeout_ms: int):
+    def __init__(self, expected: list[str], timeout_ms: int | None):
         self.expected, self.timeout_ms = expected, timeout_ms
 
     def init(self, handle):
@@ -324,7 +324,7 @@ class Handshake(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):
         pdf = _rows(rows, ["seq"])
         headers, released, base = self.state.get() if self.state.exists() else ([], False, None)
-        if not self.state.exists():
+        if not self.state.exists() and self.timeout_ms is not None:
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.timeout_ms)
         headers = list(headers or [])
         buffer = [tuple(r) for r in self.held.get()] if not released and self.held.exists() else []

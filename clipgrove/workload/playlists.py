@@ -9,6 +9,7 @@ from clipgrove.functions import text
 from clipgrove.operators import indexes as X, playlists as P
 from clipgrove.operators.catalog import ordinal, overlay
 from clipgrove.operators.segments import with_noop
+from clipgrove.session import cut
 from clipgrove.workload import query
 from clipgrove.workload.catalog import SQL_EDITED, SQL_META, meta
 
@@ -183,6 +184,7 @@ SELECT playlist_id, idx, row_number() OVER (PARTITION BY playlist_id ORDER BY mo
   row_number() OVER (PARTITION BY playlist_id ORDER BY idx) - 1 AS custom FROM e""")
 def _(spark, sf):
     e = P.resolve(entries(spark, sf), clips(spark, sf).select(KEY, "modified_ms"), KEY).select("playlist_id", "idx", "added_ms", "modified_ms")
+    e = cut(e)
     for mode in ("newest", "oldest", "added", "custom"):
         e = P.sort_positions(e, mode, mode)
     return e.select("playlist_id", "idx", "newest", "oldest", "added", "custom")

@@ -44,7 +44,7 @@ def _(spark, sf):
 
 
 @query("r2_mix_stream", """WITH s AS (SELECT stream_id, frame * 480 AS frame, cast(source % 2 AS int) AS ch, sample FROM fx_samples)
-SELECT stream_id, frame, ch, cast(least(greatest(sum(sample), -32768), 32767) AS int) AS sample FROM s WHERE frame * 1000 // 48000 < (SELECT max(frame) * 1000 // 48000 - 150 FROM s) GROUP BY 1, 2, 3""")
+SELECT stream_id, frame, ch, cast(least(greatest(sum(sample), -32768), 32767) AS int) AS sample FROM s WHERE (frame + 1) * 1000000 // 48000 <= (SELECT (max(frame) + 1) * 1000 // 48000 * 1000 - 150000 FROM s) GROUP BY 1, 2, 3""")
 def _(spark, sf):
     s = view(spark, sf, "fx_samples").select("stream_id", "source", (F.col("frame") * 480).alias("frame"), F.expr("cast(source % 2 AS int) AS ch"), "sample")
     return run_steps(s.withColumn("step", F.when(F.col("frame") < 32 * 480, 0).otherwise(1)), "step", STEPS, R.mix_stream, "mix")
@@ -107,7 +107,7 @@ def _(spark, sf):
     first = p.groupBy("stream_id").agg(F.lit(-2).cast("bigint").alias("seq"))
     v = first.select("stream_id", "seq", F.lit("v").alias("track"), F.lit(0).cast("bigint").alias("time"), F.lit(False).alias("key"), F.lit(True).alias("header"), F.lit(0).alias("step"))
     a = v.withColumn("track", F.lit("a")).withColumn("seq", F.lit(-1).cast("bigint")).withColumn("step", F.lit(1))
-    return run_steps(p.unionByName(v).unionByName(a), "step", STEPS, lambda df: R.handshake_stream(df, ["v", "a"], 3_600_000), "headers")
+    return run_steps(p.unionByName(v).unionByName(a), "step", STEPS, lambda df: R.handshake_stream(df, ["v", "a"], None), "headers")
 
 
 @query("r7_continuity_stream", f"WITH {SQL_CONT}")
