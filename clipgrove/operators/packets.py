@@ -122,7 +122,7 @@ def gap_fill(kept: DataFrame, fps: int, stall: int = STALL_SLOTS, keys: list[str
 def inactive_fill(df: DataFrame, intervals: DataFrame, step: int = FILLER_STEP) -> DataFrame:
     """intervals(stream_id, from_time, to_time): inside them the rows give way to fillers, at once
     and then every ``step``. The first filler and the first row afterwards are keyframes."""
-    covered = asof(df, intervals, STREAM, "time", "from_time", {"_to": "to_time"}, SPAN)
+    covered = asof(df, intervals, STREAM, "time", "from_time", SPAN, {"_to": "to_time"})
     real = covered.where(F.col("_to").isNull() | (F.col("time") >= F.col("_to")))
     real = real.select("stream_id", "time", "seq", "key", F.lit(False).alias("filler"))
     grid = intervals.where("to_time > from_time").withColumn("time", F.explode(F.sequence("from_time", F.col("to_time") - 1, F.lit(step).cast("bigint"))))
@@ -184,10 +184,10 @@ def replay(requests: DataFrame, packets: DataFrame, window: int, span: int = SPA
     """requests(request_id, stream_id, at): packets of the capture segment on air, from the last
     keyframe at or before (latest - window), else from its first keyframe; ``out_time`` starts at 0."""
     v = video(packets)
-    now = asof(requests, v, STREAM, "at", "time", {"segment": "segment", "latest": "time"}, span, tie=["seq"])
+    now = asof(requests, v, STREAM, "at", "time", span, {"segment": "segment", "latest": "time"}, tie=["seq"])
     now = now.where(F.col("latest").isNotNull()).withColumn("_cut", F.col("latest") - window)
     keys = v.where("key")
-    anchored = asof(now, keys, CAPTURE, "_cut", "time", {"_anchor": "time"}, span, tie=["seq"])
+    anchored = asof(now, keys, CAPTURE, "_cut", "time", span, {"_anchor": "time"}, tie=["seq"])
     first = keys.groupBy(*CAPTURE).agg(F.min("time").alias("_first"))
     based = anchored.join(first, CAPTURE, "left").withColumn("base", F.coalesce("_anchor", "_first")).where(F.col("base") <= F.col("at"))
     spans = based.select("request_id", *CAPTURE, "base", "at")
@@ -199,8 +199,8 @@ def record(requests: DataFrame, packets: DataFrame, span: int = SPAN) -> DataFra
     """requests(request_id, stream_id, at, stop): from the last keyframe of the running segment
     until ``stop``."""
     v = video(packets)
-    now = asof(requests, v, STREAM, "at", "time", {"segment": "segment"}, span, tie=["seq"]).where("segment IS NOT NULL")
-    based = asof(now, v.where("key"), CAPTURE, "at", "time", {"base": "time"}, span, tie=["seq"]).where("base IS NOT NULL")
+    now = asof(requests, v, STREAM, "at", "time", span, {"segment": "segment"}, tie=["seq"]).where("segment IS NOT NULL")
+    based = asof(now, v.where("key"), CAPTURE, "at", "time", span, {"base": "time"}, tie=["seq"]).where("base IS NOT NULL")
     hit = interval_join(packets, based.select("request_id", "stream_id", "base", "stop"), STREAM, "time", F.col("base"), F.col("stop"), span)
     return hit.select("request_id", *packets.columns, (F.col("time") - F.col("base")).alias("out_time"))
 
@@ -285,15 +285,14 @@ def frame_numbers(frames: DataFrame, t: str = "t") -> DataFrame:
 def asof_frame(q: DataFrame, frames: DataFrame, eps: float = FRAME_EPS_MS, span: int = SPAN) -> DataFrame:
     """q(clip, ms) and frames(clip, n, ms): the last frame at or before ms + eps, -1 if none."""
     f = frames.select("clip", "n", F.col("ms").alias("_ms"))
-    out = asof(q, f, CLIP, "ms", "_ms", {"frame": "n"}, span, tie=["n"], slack=eps)
+    out = asof(q, f, CLIP, "ms", "_ms", span, {"frame": "n"}, tie=["n"], slack=eps)
     return out.withColumn("frame", F.coalesce("frame", F.lit(-1)).cast("bigint"))
 
 
 def nearest_frame(q: DataFrame, frames: DataFrame, span: int = SPAN, keys: list[str] = CLIP) -> DataFrame:
     """Nearest frame in time; of equally near ones the earlier."""
     f = frames.select(*keys, "n", F.col("ms").alias("_ms"))
-    low = asof(q, f, keys, "ms", "_ms", {"_n0": "n", "_t0": "_ms"}, span, tie=["n"])
-    both = asof(low, f, keys, "ms", "_ms", {"_n1": "n", "_t1": "_ms"}, span, "after", tie=["n"])
+    both = asof(q, f, keys, "ms", "_ms", span, {"_n0": "n", "_t0": "_ms"}, {"_n1": "n", "_t1": "_ms"}, tie=["n"])
     up = F.col("_n0").isNull() | (F.col("_t1") - F.col("ms") < F.col("ms") - F.col("_t0"))
     take = F.col("_n1").isNotNull() & up
     return both.select(*q.columns, F.when(take, F.col("_n1")).otherwise(F.col("_n0")).alias("frame"),
@@ -329,7 +328,7 @@ def sample_keyframes(keyframes: DataFrame, lengths: DataFrame, max_tiles: int, s
     it, without repeats; grid position 16 wide. A clip has at most ``max_tiles`` + 1 targets."""
     step = F.greatest(T.idiv(F.col("dur"), max(max_tiles, 1)), F.lit(FILM_STEP))
     targets = lengths.withColumn("target", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("dur"), F.lit(1)) - 1, step))).select("clip", "target")
-    hit = asof(targets, keyframes.select("clip", "t"), CLIP, "target", "t", {"tile": "t"}, span).where("tile IS NOT NULL")
+    hit = asof(targets, keyframes.select("clip", "t"), CLIP, "target", "t", span, {"tile": "t"}).where("tile IS NOT NULL")
     tiles = hit.select("clip", "tile").distinct()
     i = (F.row_number().over(W.partitionBy("clip").orderBy("tile")) - 1).cast("bigint")
     return tiles.withColumn("i", i).select("clip", "i", "tile", (F.col("i") % FILM_COLUMNS).alias("col"), T.idiv(F.col("i"), FILM_COLUMNS).alias("row"))

@@ -52,7 +52,7 @@ def expand_runs(runs: DataFrame, scale: int, edits: DataFrame | None = None) ->
 def samples_with_offsets(chunks: DataFrame, chunk_map: DataFrame, sizes: DataFrame) -> DataFrame:
     """chunks(clip, chunk from 1, offset), chunk_map(clip, first, per_chunk), sizes(clip, sample from
     0, size) -> (clip, sample, chunk, offset, size). Tracks whose totals disagree are rejected."""
-    mapped = asof(chunks, chunk_map, CLIP, "chunk", "first", {"per_chunk": "per_chunk"}, SPAN).where("per_chunk IS NOT NULL")
+    mapped = asof(chunks, chunk_map, CLIP, "chunk", "first", SPAN, {"per_chunk": "per_chunk"}).where("per_chunk IS NOT NULL")
     at = running(mapped, CLIP, ["chunk"], {"_start": Run("sum", F.col("per_chunk").cast("bigint"), False)}, rows_chunk("chunk"))
     at = at.withColumn("_start", F.coalesce("_start", F.lit(0)))
     have = at.groupBy("clip").agg(F.sum("per_chunk").alias("_total"))

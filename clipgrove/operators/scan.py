@@ -17,11 +17,13 @@ CHUNK_ROWS = 1 << 20
 
 @dataclass(frozen=True)
 class Run:
-    """``kind``: sum, max, min or last (last non-null). ``inclusive``: with the row itself."""
+    """``kind``: sum, max, min or last (last non-null). ``inclusive``: with the row itself.
+    ``reverse``: over the rows behind instead of the rows before."""
 
     kind: str
     value: Column
     inclusive: bool = True
+    reverse: bool = False
 
 
 def count(inclusive: bool = True) -> Run:
@@ -54,45 +56,33 @@ def _join(kind: str, carry: Column, local: Column) -> Column:
     return F.coalesce(local, carry)
 
 
-def running(
-    df: DataFrame,
-    keys: list[str],
-    order: list[str],
-    outs: dict[str, Run],
-    chunk: Column,
-    reverse: bool = False,
-) -> DataFrame:
+def running(df: DataFrame, keys: list[str], order: list[str], outs: dict[str, Run], chunk: Column) -> DataFrame:
     """``df`` plus one column per entry of ``outs``: the running value over the rows of the
-    same ``keys`` in ``order`` (backwards when ``reverse``). ``chunk`` must not decrease
-    along ``order``. Values before the first row are NULL."""
-    names = list(outs)
+    same ``keys`` in ``order``. ``chunk`` must not decrease along ``order``. Values over no row are
+    NULL. Forward and backward values share one shuffle."""
     base = df.withColumn("_chunk", chunk)
-    for i, name in enumerate(names):
-        base = base.withColumn(f"_v{i}", outs[name].value)
-    by = [F.col(c).desc() if reverse else F.col(c).asc() for c in order]
-    win = W.partitionBy(*keys, "_chunk").orderBy(*by)
-    pick = F.min_by if reverse else F.max_by
+    for i, run in enumerate(outs.values()):
+        base = base.withColumn(f"_v{i}", run.value)
     at = F.struct(*order)
 
-    local, totals, carries = base, [], []
-    over_chunks = (
-        W.partitionBy(*keys)
-        .orderBy(F.col("_chunk").desc() if reverse else F.col("_chunk").asc())
-        .rowsBetween(W.unboundedPreceding, -1)
-    )
-    for i, name in enumerate(names):
-        run = outs[name]
-        v = F.col(f"_v{i}")
-        frame = win.rowsBetween(W.unboundedPreceding, 0 if run.inclusive else -1)
-        local = local.withColumn(f"_l{i}", _LOCAL[run.kind](v).over(frame))
+    def by(columns: list[str], reverse: bool) -> list[Column]:
+        return [F.col(c).desc() if reverse else F.col(c).asc() for c in columns]
+
+    local, totals, carries, done = base, [], [], []
+    for i, (name, run) in enumerate(outs.items()):
+        v, merge = F.col(f"_v{i}"), _LOCAL[run.kind]
+        inside = W.partitionBy(*keys, "_chunk").orderBy(*by(order, run.reverse)).rowsBetween(W.unboundedPreceding, 0 if run.inclusive else -1)
+        across = W.partitionBy(*keys).orderBy(*by(["_chunk"], run.reverse)).rowsBetween(W.unboundedPreceding, -1)
+        local = local.withColumn(f"_l{i}", merge(v).over(inside))
         if run.kind == "last":
+            pick = F.min_by if run.reverse else F.max_by
             totals.append(pick(v, F.when(v.isNotNull(), at)).alias(f"_t{i}"))
         else:
-            totals.append(_LOCAL[run.kind](v).alias(f"_t{i}"))
-        carries.append(_LOCAL[run.kind](F.col(f"_t{i}")).over(over_chunks).alias(f"_c{i}"))
+            totals.append(merge(v).alias(f"_t{i}"))
+        carries.append(merge(F.col(f"_t{i}")).over(across).alias(f"_c{i}"))
+        done.append(_join(run.kind, F.col(f"_c{i}"), F.col(f"_l{i}")).alias(name))
     carry = base.groupBy(*keys, "_chunk").agg(*totals).select(*keys, "_chunk", *carries)
     joined = local.join(carry, [*keys, "_chunk"], "left")
-    done = [_join(outs[n].kind, F.col(f"_c{i}"), F.col(f"_l{i}")).alias(n) for i, n in enumerate(names)]
     return joined.select(*[c for c in df.columns if c not in outs], *done)
 
 
@@ -101,17 +91,15 @@ def neighbours(
     prev: dict[str, Column] | None = None, following: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Values of the row before / after, NULL at the ends (lag and lead)."""
-    out = df
-    for wanted, reverse in ((prev, False), (following, True)):
-        if not wanted:
-            continue
-        packed = F.struct(*[c.alias(n) for n, c in wanted.items()])
-        out = running(out, keys, order, {"_near": Run("last", packed, False)}, chunk, reverse)
-        out = out.select(
-            *[c for c in out.columns if c not in wanted and c != "_near"],
-            *[F.col(f"_near.{n}").alias(n) for n in wanted],
-        )
-    return out
+    sides = {"_prev": (prev or {}, False), "_next": (following or {}, True)}
+    outs = {
+        side: Run("last", F.struct(*[c.alias(n) for n, c in wanted.items()]), False, reverse)
+        for side, (wanted, reverse) in sides.items() if wanted
+    }
+    run = running(df, keys, order, outs, chunk)
+    found = [F.col(f"{side}.{n}").alias(n) for side, (wanted, _) in sides.items() for n in wanted]
+    new = {n for wanted, _ in sides.values() for n in wanted}
+    return run.select(*[c for c in df.columns if c not in new], *found)
 
 
 def first_per_key(df: DataFrame, keys: list[Column], order: list[Column], last: bool = False) -> DataFrame:

@@ -120,8 +120,8 @@ def out_to_src(q: DataFrame, segs: DataFrame) -> DataFrame:
     """q(clip, out_ms) -> segment idx and source time; beyond the end the end of the last
     enabled segment, with none enabled the start of the first."""
     ranges = segment_offsets(segs).withColumn("_end", F.col("out_start_ms") + seg_len())
-    hit = asof(q, ranges, KEY, "out_ms", "_end", {"_i": "idx", "_s": "start_ms", "_o": "out_start_ms", "_e": "end_ms"},
-               SPAN_MS, "after", tie=["idx"])
+    hit = asof(q, ranges, KEY, "out_ms", "_end", SPAN_MS, tie=["idx"],
+               after={"_i": "idx", "_s": "start_ms", "_o": "out_start_ms", "_e": "end_ms"})
     ends = segs.groupBy("clip").agg(
         F.max_by(F.struct("idx", F.col("end_ms").alias("at")), F.when(~F.col("disabled"), F.col("idx"))).alias("_last"),
         F.min_by("start_ms", "idx").alias("_first"),
@@ -140,8 +140,8 @@ def pos_to_out(q: DataFrame, segs: DataFrame) -> DataFrame:
     edge, the earlier one when equally near. Blocks are in order and do not overlap."""
     blocks = running(segs.where("NOT disabled").withColumn("_len", seg_len()), KEY, ["idx"],
                      {"_cum": Run("sum", F.col("_len"), False)}, _idx_chunk()).withColumn("_cum", F.coalesce("_cum", F.lit(0.0)))
-    left = asof(q, blocks, KEY, "pos", "pos_ms", {"_p": "pos_ms", "_l": "_len", "_c": "_cum"}, SPAN_MS, tie=["idx"])
-    both = asof(left, blocks, KEY, "pos", "pos_ms", {"_np": "pos_ms", "_nc": "_cum"}, SPAN_MS, "after", tie=["idx"])
+    both = asof(q, blocks, KEY, "pos", "pos_ms", SPAN_MS, tie=["idx"],
+                before={"_p": "pos_ms", "_l": "_len", "_c": "_cum"}, after={"_np": "pos_ms", "_nc": "_cum"})
     end = F.col("_p") + F.col("_l")
     before, after = F.col("pos") - end, F.col("_np") - F.col("pos")
     value = (
@@ -184,8 +184,8 @@ def snap(values: DataFrame, targets: DataFrame, radius_ms: float, keys: list[str
     """values(clip, value) -> snapped value and the target (NULL if none is near enough). Of
     equally near targets the later one in the list wins."""
     t = targets.withColumn("_rno", -F.col("no"))
-    low = asof(values, t, keys, "value", "target", {"_lo": "target", "_ln": "no"}, SPAN_MS, tie=["no"])
-    both = asof(low, t, keys, "value", "target", {"_hi": "target", "_hn": "no"}, SPAN_MS, "after", tie=["_rno"])
+    both = asof(values, t, keys, "value", "target", SPAN_MS, tie=["no"], tie_after=["_rno"],
+                before={"_lo": "target", "_ln": "no"}, after={"_hi": "target", "_hn": "no"})
     dl, dh = F.col("value") - F.col("_lo"), F.col("_hi") - F.col("value")
     near = F.when(F.col("_hi").isNull() | (dl < dh) | ((dl == dh) & (F.col("_ln") > F.col("_hn"))), F.col("_lo")).otherwise(F.col("_hi"))
     near = F.coalesce(near, F.col("_hi"), F.col("_lo"))

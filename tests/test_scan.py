@@ -20,9 +20,9 @@ def test_running(frame, size, reverse):
     outs = {}
     for inc in (True, False):
         for kind in ("sum", "max", "min"):
-            outs[f"{kind}{inc}"] = Run(kind, F.col("x"), inc)
-        outs[f"last{inc}"] = Run("last", F.col("y"), inc)
-    got = {(r.k, r.i): r for r in running(df, ["k"], ["i"], outs, rows_chunk("i", size), reverse).collect()}
+            outs[f"{kind}{inc}"] = Run(kind, F.col("x"), inc, reverse)
+        outs[f"last{inc}"] = Run("last", F.col("y"), inc, reverse)
+    got = {(r.k, r.i): r for r in running(df, ["k"], ["i"], outs, rows_chunk("i", size)).collect()}
     assert len(got) == len(data)
     for k, i, _, _ in data:
         for inc in (True, False):
@@ -51,8 +51,8 @@ def test_time_joins(frame, width):
     right = [(rng.randrange(2), rng.randrange(60), n) for n in range(40)]
     left = [(rng.randrange(3), rng.randrange(70), q) for q in range(50)]
     l, r = frame("k bigint, t bigint, q bigint", left), frame("k bigint, u bigint, n bigint", right)
-    back = {x.q: x.m for x in asof(l, r, ["k"], "t", "u", {"m": "n"}, width, tie=["n"]).collect()}
-    ahead = {x.q: x.m for x in asof(l, r, ["k"], "t", "u", {"m": "n"}, width, "after", tie=["n"]).collect()}
+    both = asof(l, r, ["k"], "t", "u", width, {"m": "n"}, {"a": "n"}, tie=["n"]).collect()
+    back, ahead = {x.q: x.m for x in both}, {x.q: x.a for x in both}
     for k, t, q in left:
         low = [(u, n) for kk, u, n in right if kk == k and u <= t]
         high = [(u, n) for kk, u, n in right if kk == k and u > t]
