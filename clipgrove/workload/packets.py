@@ -65,7 +65,7 @@ def _(spark, sf):
     return P.monotone(p, ["stream_id"])
 
 
-@query("w3_durations_from_next", """SELECT stream_id, track, seq, coalesce(lead(time // 1000) OVER w - time // 1000, greatest(dur // 1000, 1)) AS dur_ticks
+@query("w3_durations_from_next", """SELECT stream_id, track, seq, least(coalesce(lead(time // 1000) OVER w - time // 1000, greatest(dur // 1000, 1)), 4294967295) AS dur_ticks
 FROM fx_packets WINDOW w AS (PARTITION BY stream_id, track ORDER BY seq)""")
 def _(spark, sf):
     p = packets(spark, sf).select("stream_id", "track", "seq", F.expr("time div 1000 AS start"), F.expr("dur div 1000 AS own_dur"))
