@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from clipgrove.operators.scan import Run, count, rows_chunk, running, span_chunk
+from clipgrove.operators.scan import Run, count, neighbours, rows_chunk, running, span_chunk
 
 SPAN_GAPS = 1024
 NEVER = -(1 << 62)
@@ -98,3 +98,76 @@ def upsert_seen(seen: DataFrame, batch: DataFrame, gap: int = 60) -> DataFrame:
     kept = accepted(rows, ["name"], "at", "seq", gap).where("accepted")
     last = kept.groupBy("name").agg(F.max_by(F.struct("appid", F.col("at").alias("last_seen")), "seq").alias("_r"))
     return last.select("name", "_r.appid", "_r.last_seen")
+
+
+# --- capture size ----------------------------------------------------------------------
+
+# Fixed value: smaller changes of the captured size keep the pipeline.
+RESIZE_TOLERANCE = 16
+
+
+def _walk(w: np.ndarray, h: np.ndarray, size: tuple, at: int, tolerance: int) -> list[int]:
+    """Rows from ``at`` on that differ from the size in use, which each of them replaces."""
+    hits = []
+    while at < len(w):
+        off = (np.abs(w[at:] - size[0]) > tolerance) | (np.abs(h[at:] - size[1]) > tolerance)
+        step = int(np.argmax(off))
+        if not off[step]:
+            break
+        at += step
+        hits.append(at)
+        size = (w[at], h[at])
+        at += 1
+    return hits
+
+
+def resize_rebuilds(df: DataFrame, keys: list[str], order: str = "seq", tolerance: int = RESIZE_TOLERANCE, chunk_rows: int = 1 << 17) -> DataFrame:
+    """df(<keys>, seq, width, height) plus ``rebuild``: the size differs by more than ``tolerance`` in
+    one direction from the one in use; the first row sets the first size.
+
+    Only rows whose size changed can count. In a chunk of them the first row outside a tolerance
+    must set a new extreme, so a chunk is summed up by its rows of extremes - at most one per pixel."""
+    slim = df.select(*keys, F.col(order).alias("_order"), F.col("width").cast("bigint").alias("_w"), F.col("height").cast("bigint").alias("_h"))
+    seen = neighbours(slim, keys, ["_order"], rows_chunk("_order"), prev={"_pw": F.col("_w"), "_ph": F.col("_h")})
+    changed = seen.where("_pw IS NULL OR _pw <> _w OR _ph <> _h").drop("_pw", "_ph").withColumn("_chunk", rows_chunk("_order", chunk_rows))
+    fields = [df.schema[k] for k in keys] + [T.StructField("_chunk", T.LongType())]
+    names, longs = [*keys, "_chunk"], ["_no", "_max_w", "_min_w", "_max_h", "_min_h", "_out_w", "_out_h"]
+    step = T.StructType(fields + [T.StructField(n, T.LongType()) for n in longs])
+    start = T.StructType(fields + [T.StructField("_use_w", T.LongType()), T.StructField("_use_h", T.LongType())])
+    result = T.StructType(fields[:-1] + [T.StructField("_order", slim.schema["_order"].dataType)])
+
+    def summarise(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_order")
+        w, h = pdf["_w"].to_numpy(), pdf["_h"].to_numpy()
+        tops = [np.maximum.accumulate(w), np.minimum.accumulate(w), np.maximum.accumulate(h), np.minimum.accumulate(h)]
+        record = np.flatnonzero(np.any([np.r_[True, a[1:] != a[:-1]] for a in tops], axis=0))
+        rows = []
+        for i in record.tolist():
+            last = ([i] + _walk(w, h, (w[i], h[i]), i + 1, tolerance))[-1]
+            rows.append((*key, i, *[int(a[i]) for a in tops], int(w[last]), int(h[last])))
+        return pd.DataFrame(rows, columns=[*names, *longs])
+
+    def chain(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        size, rows = None, []
+        for number, part in pdf.sort_values(["_chunk", "_no"]).groupby("_chunk", sort=True):
+            rows.append((*key, number, *(size or (None, None))))
+            off = part if size is None else part[
+                (part["_max_w"] - size[0] > tolerance) | (size[0] - part["_min_w"] > tolerance)
+                | (part["_max_h"] - size[1] > tolerance) | (size[1] - part["_min_h"] > tolerance)]
+            if len(off):
+                size = (int(off["_out_w"].iloc[0]), int(off["_out_h"].iloc[0]))
+        return pd.DataFrame(rows, columns=[*names, "_use_w", "_use_h"]).astype({"_use_w": "Int64", "_use_h": "Int64"})
+
+    def replay(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_order")
+        w, h, use = pdf["_w"].to_numpy(), pdf["_h"].to_numpy(), pdf["_use_w"].iloc[0]
+        if pd.isna(use):
+            hits = [0] + _walk(w, h, (w[0], h[0]), 1, tolerance)
+        else:
+            hits = _walk(w, h, (int(use), int(pdf["_use_h"].iloc[0])), 0, tolerance)
+        return pdf.iloc[hits][[*keys, "_order"]]
+
+    starts = changed.groupBy(*names).applyInPandas(summarise, step).groupBy(*keys).applyInPandas(chain, start)
+    hits = changed.join(starts, names).groupBy(*names).applyInPandas(replay, result)
+    marks = hits.select(*keys, F.col("_order").alias(order), F.lit(True).alias("rebuild"))
+    return df.join(marks, [*keys, order], "left").select(*df.columns, F.coalesce("rebuild", F.lit(False)).alias("rebuild"))

@@ -416,3 +416,14 @@ def _(spark, sf):
     us = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', cast(ts AS timestamp_ntz)) div 1000000"
     seen = table(spark, sf, "events").groupBy(F.col("user_id").cast("string").alias("name")).agg(F.max(F.expr(us)).alias("last_seen"))
     return ordinal(seen, P.recent(seen), "place")
+
+
+@query("w19_resize_tolerance", """WITH RECURSIVE s AS (SELECT stream_id, seq, 1280 + seq * 37 % 29 + seq // 200 % 30 AS w, 720 + seq // 300 % 50 AS h, row_number() OVER (PARTITION BY stream_id ORDER BY seq) AS r FROM fx_packets),
+f AS (SELECT stream_id, seq, r, w AS uw, h AS uh, true AS rebuild FROM s WHERE r = 1
+  UNION ALL SELECT stream_id, seq, r, CASE WHEN hit THEN w ELSE uw END, CASE WHEN hit THEN h ELSE uh END, hit FROM (
+    SELECT s.*, f.uw, f.uh, abs(s.w - f.uw) > 16 OR abs(s.h - f.uh) > 16 AS hit FROM f JOIN s ON s.stream_id = f.stream_id AND s.r = f.r + 1) x)
+SELECT stream_id, seq, rebuild FROM f""")
+def _(spark, sf):
+    sizes = packets(spark, sf).select(
+        "stream_id", "seq", F.expr("1280 + seq * 37 % 29 + seq div 200 % 30 AS width"), F.expr("720 + seq div 300 % 50 AS height"))
+    return SF.resize_rebuilds(sizes, ["stream_id"]).select("stream_id", "seq", "rebuild")

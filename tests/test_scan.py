@@ -241,3 +241,24 @@ def test_track_layout(frame):
         (1, 0, "mix", "m", 5), (1, 1, "mic", "i", 5), (1, 2, None, "u", 5), (2, 0, None, "s", 5), (3, 0, None, "s", 5), (3, 1, None, "m", 5), (4, 0, None, "s", 0)])
     assert rows(P.track_layout(t), "clip", "track_id", "ordinal", "mix") == [
         (1, "mic", 1, False), (1, "mix", 2, True), (2, "sys", 0, False), (3, "mic", 0, False), (3, "sys", 1, False)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_resize_over_chunks(frame, seed):
+    rng = random.Random(seed)
+    data, size = [], {}
+    for i in range(240):
+        k = i % 2
+        w, h = size.get(k, (100, 100))
+        if rng.random() < 0.7:
+            w, h = w + rng.randrange(-14, 15), h + rng.choice([0, 0, rng.randrange(-9, 10)])
+        size[k] = (w, h)
+        data.append((k, i, w, h))
+    df = frame("k bigint, seq bigint, width bigint, height bigint", data)
+    got = {r.seq: r.rebuild for r in S.resize_rebuilds(df, ["k"], chunk_rows=13).collect()}
+    use = {}
+    for k, i, w, h in data:
+        want = k not in use or abs(w - use[k][0]) > 16 or abs(h - use[k][1]) > 16
+        assert got[i] == want, i
+        if want:
+            use[k] = (w, h)
