@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from clipgrove.llm import minhash
+from clipgrove.llm import minhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -29,12 +29,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query("op6_minhash_near_dedup", r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '[\x20\x09-\x0D]+'), x -> x <> '') AS ws FROM documents),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
 s AS (
   SELECT doc_id, CASE WHEN len(ws) = 0 THEN []
     WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
-    ELSE list_distinct(list_transform(generate_series(1, len(ws) - 3), i -> array_to_string(ws[i:i + 3], ' '))) END AS sh FROM w),
-x AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
+    ELSE list_distinct(list_transform(generate_series(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 3], ' '))) END AS sh FROM w),
+x AS (SELECT doc_id, len(sh) AS n, unnest(list_transform(sh, lambda g: hash(g))) AS g FROM s),
 e AS (
   SELECT a.doc_id AS u, b.doc_id AS v FROM x a JOIN x b ON a.g = b.g AND a.doc_id <> b.doc_id
   GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
@@ -47,3 +47,12 @@ FROM s JOIN r USING (doc_id) GROUP BY s.doc_id, sh
 """)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), minhash.Plan(words=4))
+
+
+@query("op7_toxicity")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").filter(~held).select("doc_id", F.col("toxic").alias("label")))
+    return toxicity.with_score(docs, model).select(
+        "doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

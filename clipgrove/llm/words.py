@@ -34,6 +34,7 @@ class _Tables:
         self.lower[65:91] += 32
         self.white = np.zeros(256, dtype=bool)
         self.white[list(WHITE)] = True
+        self.plain = np.array([b > 127 or chr(b).isalnum() for b in range(256)])
         self.value = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[self.lower]
         self.power = self.inverse = np.ones(1, dtype=np.uint64)
 
@@ -74,9 +75,10 @@ def text_slices(column: pa.Array, budget: int = SLICE_BYTES) -> Iterator[tuple[i
         at = end
 
 
-def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, words before each text and in all) of the words of the slice."""
-    inside = ~tables().white[data]
+def word_spans(data: np.ndarray, offs: np.ndarray, plain: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, words before each text and in all) of the words of the slice. ``plain``: words are
+    runs of letters and digits, so marks at a word do not matter."""
+    inside = tables().plain[data] if plain else ~tables().white[data]
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offs), np.int64)
