@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from clipgrove.llm import decontaminate, minhash, toxicity
+from clipgrove.llm import decontaminate, minhash, tokenfiles, toxicity
+from clipgrove.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -22,6 +24,17 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def TOKENS() -> tokenfiles.Settings:
+    import public_tokenizers
+
+    return tokenfiles.Settings(public_tokenizers.path("word_bpe_49k.json"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -61,3 +74,10 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_decontamination")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op4_token_files")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "tokens")
+    tokenfiles.write_tokens(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("position"), "doc_id", "text"), path, TOKENS())
+    return tokenfiles.token_digests(spark, path)
