@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from clipgrove.llm.bits import bit_filter, passes
 from clipgrove.llm.words import lists, mix, signed, text_slices, word_hashes, word_spans
 from clipgrove.session import cut
 
@@ -62,13 +63,6 @@ def _passages(shared, s: Settings):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, reach, short = shared.value
-        bits = np.frombuffer(bits, np.uint8)
-        size = np.uint64(len(bits) * 8 - 1)
-
-        def known(x):
-            i = x & size
-            return (bits[i >> np.uint64(3)] >> (i & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
-
         for batch in batches:
             for a, b, data, offs in text_slices(batch.column("text")):
                 start, end, before = word_spans(data, offs, plain=True)
@@ -79,7 +73,7 @@ def _passages(shared, s: Settings):
                 rows, places, seeds = [], [], []
                 for n in sorted({s.words, *short}):  # items of fewer words than a seed have shorter seeds
                     g = _grams(h, n)
-                    hit = np.flatnonzero(known(g) & known(g >> np.uint64(32)) & (np.arange(len(h)) + n <= last))
+                    hit = np.flatnonzero(passes(g, bits) & (np.arange(len(h)) + n <= last))
                     places.append(hit)
                     seeds.append(g[hit])
                 place, seed = np.concatenate(places), np.concatenate(seeds)
@@ -177,27 +171,6 @@ def _aligner(s: Settings, cells: int = 1 << 17):
     return run
 
 
-def _filter_bits(seeds: DataFrame, size: int) -> bytes:
-    """A bit array of fixed size with two bits per seed, made by partial ORs in the tasks."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, any_row = np.zeros(size // 8, np.uint8), False
-        for batch in batches:
-            x = batch.column("seed").to_numpy(zero_copy_only=False).view(np.uint64)
-            for i in (x & np.uint64(size - 1), (x >> np.uint64(32)) & np.uint64(size - 1)):
-                np.bitwise_or.at(out, (i >> np.uint64(3)).astype(np.int64), np.uint8(1) << (i & np.uint64(7)).astype(np.uint8))
-            any_row |= len(x) > 0
-        if any_row:
-            words = out.view(np.int64)
-            at = np.flatnonzero(words)
-            yield pa.record_batch([pa.array(at), pa.array(words[at])], names=["at", "bits"])
-
-    whole = np.zeros(size // 64, np.int64)
-    for r in seeds.mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toLocalIterator():
-        whole[r["at"]] = r["bits"]
-    return whole.tobytes()
-
-
 def contaminated(documents: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id, item_id, score, identity (share of the item's best possible score), word_from, word_to (words
     of the document that the best alignment covers, the end not included), for every document and test item with
@@ -216,7 +189,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, settings: Settings
     spans = items.select(F.size("words").alias("n"), F.explode("seeds").alias("seed"))
     longest, = items.agg(F.coalesce(F.max(F.size("words")), F.lit(0))).first()
     short = [r[0] for r in items.filter(F.size("words") < s.words).select(F.size("words")).distinct().collect()]  # fewer than s.words values
-    shared = docs.sparkSession.sparkContext.broadcast((_filter_bits(spans, s.filter_bits), int(longest * s.reach) + s.words, short))
+    shared = docs.sparkSession.sparkContext.broadcast((bit_filter(spans, "seed", s.filter_bits), int(longest * s.reach) + s.words, short))
     found = cut(docs.mapInArrow(_passages(shared, s), "doc_id long, start long, words array<long>, seeds array<long>"))
     common = found.select("doc_id", F.explode("seeds").alias("seed")).distinct().groupBy("seed").agg(F.count("*").alias("docs"))
     placed = items.select("item_id", F.posexplode("seeds").alias("at", "seed")).join(common, "seed").filter("docs > 0")

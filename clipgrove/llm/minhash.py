@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from clipgrove.llm.bits import bit_filter, passes
 from clipgrove.llm.graph import components
 from clipgrove.llm.words import lists, mix, shingles, signed, text_slices, word_hashes, word_spans
 from clipgrove.session import cut
@@ -20,7 +21,7 @@ class Plan:
     """``words`` per shingle, ``percent`` of similarity, ``bands`` of ``rows`` minima, ``minima`` in all,
     ``bits`` kept of each. A pair at 0.8 misses all 42 bands of 6 with a chance of 3e-6. ``margin``:
     how far (about 5 standard deviations of the estimate) below the threshold a pair is still confirmed
-    on full sets. ``wide``: a bucket with more members outside its first class is split by a second band."""
+    on full sets. ``block``: members of a bucket that are compared together."""
 
     words: int = 5
     percent: int = 80
@@ -29,7 +30,7 @@ class Plan:
     minima: int = 256
     bits: int = 2
     margin: float = 0.16
-    wide: int = 64
+    block: int = 128
     seed: int = 7
 
 
@@ -78,9 +79,14 @@ def signer(plan: Plan):
     return run
 
 
-def set_maker(words: int):
+def set_maker(words: int, wanted):
+    """Sets of the documents whose ids pass the filter; a join takes out the few others."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = wanted.value
         for batch in batches:
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            batch = batch.filter(pa.array(passes(mix(ids.view(np.uint64)), bits)))
             for a, b, sets in _sets(batch, words):
                 at = np.concatenate([[0], np.cumsum([len(u) for u in sets])])
                 flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
@@ -89,6 +95,17 @@ def set_maker(words: int):
     return run
 
 
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.record_batch([pa.array(signed(mix(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))))], names=["x"])
+
+
+def _read_sets(ids: DataFrame, docs: DataFrame, plan: Plan) -> DataFrame:
+    """id, shingles of the documents in ``ids`` (id); their texts are not shuffled."""
+    wanted = docs.sparkSession.sparkContext.broadcast(bit_filter(ids.select("id").mapInArrow(_hashed, "x long"), "x"))
+    return docs.mapInArrow(set_maker(plan.words, wanted), "doc_id long, shingles array<long>").withColumnRenamed("doc_id", "id").dropDuplicates(["id"])
+
+
 def estimate(a: str, b: str, plan: Plan) -> Column:
     """Similarity by the bits in which two packed signatures agree, corrected for agreement by chance."""
     longs = plan.minima // 64
@@ -108,44 +125,106 @@ def _likely(pairs: DataFrame, reps: DataFrame, plan: Plan) -> DataFrame:
 
 
 def _confirm(pairs: DataFrame, docs: DataFrame, plan: Plan) -> DataFrame:
-    """Pairs whose full shingle sets reach the similarity; only their documents are read into sets."""
-    need = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = docs.join(need, "doc_id", "left_semi").mapInArrow(set_maker(plan.words), "doc_id long, shingles array<long>")
-    side = lambda c: sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"{c}_set"))
+    """Pairs whose full shingle sets reach the similarity."""
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    sets = _read_sets(ids, docs, plan)
+    side = lambda c: sets.select(F.col("id").alias(c), F.col("shingles").alias(f"{c}_set"))
     both = F.size(F.array_intersect("a_set", "b_set"))
     return (pairs.join(side("b"), "b").join(side("a"), "a")
             .filter(both * 100 >= (F.col("a_n") + F.col("b_n") - both) * plan.percent).select("a", "b"))
 
 
-def _edges(buckets: DataFrame, reps: DataFrame, docs: DataFrame, plan: Plan, depth: int) -> DataFrame:
-    """Links that join all similar members of each bucket (key, id).
+def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every set of ``a`` with every set of ``b``."""
+    fa, fb = np.concatenate(a), np.concatenate(b)
+    shared = np.intersect1d(fa, fb)
+    out = np.zeros((len(a), len(b)), np.int64)
+    for i in range(0, len(shared), 4096):
+        part = shared[i:i + 4096]
+        m = []
+        for flat, sets in ((fa, a), (fb, b)):
+            row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+            at = np.minimum(np.searchsorted(part, flat), len(part) - 1)
+            ok = part[at] == flat
+            x = np.zeros((len(sets), len(part)), np.float32)
+            x[row[ok], at[ok]] = 1
+            m.append(x)
+        out += (m[0] @ m[1].T).astype(np.int64)
+    return out
+
+
+def _block_links(percent: int):
+    """Links between the two sides of each block, one per pair of classes. Rows come sorted by block."""
+
+    def links(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(rows).combine_chunks()
+        side = t["side"].to_numpy()
+        key = t["key"][0].as_py()
+        ids, k = t["id"].to_numpy(), t["k"].to_numpy()
+        bands = t["bands"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+        sets = [x.values.to_numpy() for x in t["shingles"].combine_chunks()]
+        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        found = {}
+        if len(a) and len(b):
+            own = int(np.flatnonzero(bands[0] == key)[0])
+            both = _overlaps([sets[i] for i in a], [sets[i] for i in b])
+            n = np.array([len(x) for x in sets])
+            ok = (both * 100 >= (n[a][:, None] + n[b][None] - both) * percent) & (k[a][:, None] != k[b][None])
+            for x, y in zip(*np.nonzero(ok)):
+                i, j = a[x], b[y]
+                if not (bands[i, :own] == bands[j, :own]).any():  # else an earlier band has this pair
+                    found.setdefault((min(k[i], k[j]), max(k[i], k[j])), (min(ids[i], ids[j]), max(ids[i], ids[j])))
+        pairs = list(found.values())
+        return pa.record_batch([pa.array([int(p[0]) for p in pairs], pa.int64()), pa.array([int(p[1]) for p in pairs], pa.int64())], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = [], None
+        for batch in batches:
+            if not len(batch):
+                continue
+            code = [batch.column(c).to_numpy() for c in ("key", "x", "y")]
+            cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in code], axis=0)) + 1
+            for i, j in zip([0, *cuts], [*cuts, len(batch)]):
+                block = tuple(int(c[i]) for c in code)
+                if held and block != now:
+                    yield links(held)
+                    held = []
+                now = block
+                held.append(batch.slice(i, j - i))
+        if held:
+            yield links(held)
+
+    return run
+
+
+def _edges(buckets: DataFrame, reps: DataFrame, docs: DataFrame, plan: Plan) -> DataFrame:
+    """Links that join all similar members of every bucket (key, id).
 
-    First every member is compared with the smallest one only. Members that this leaves outside the
-    class of the smallest one are then compared with all members of other classes. A bucket with over
-    ``wide`` of them is not paired but split: similar texts share several bands, so its members
-    meet again under each second band, once."""
-    first = buckets.groupBy("key").agg(F.min("id").alias("p"), F.count("*").alias("c")).filter("c > 1").select("key", "p")
+    First every member is compared with one member of its bucket, another one in every band, so large groups
+    of copies become one class in few comparisons. A member that is still outside the largest class of one of its buckets
+    is then compared with all members of other classes there, on full sets, in blocks of ``block`` by ``block``:
+    no pairs are written, only links, and blocks of one bucket spread over all tasks."""
+    turn = F.xxhash64("id", "key")
+    first = buckets.groupBy("key").agg(F.min_by("id", F.struct(turn, F.col("id"))).alias("p"), F.count("*").alias("c")).filter("c > 1").select("key", "p")
     rows = cut(buckets.join(first, "key"))
-    star = rows.filter("id <> p").select(F.col("p").alias("a"), F.col("id").alias("b")).distinct()
+    star = rows.filter("id <> p").select(F.least("p", "id").alias("a"), F.greatest("p", "id").alias("b")).distinct()
     found = cut(_confirm(cut(_likely(star, reps, plan)), docs, plan))
     classes = components(found.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    at = lambda c: classes.select(F.col("id").alias(c), F.col("component_id").alias(f"{c}_class"))
-    rows = (rows.join(at("id"), "id", "left").join(at("p"), "p", "left")
-            .select("key", "p", "id", F.coalesce("id_class", "id").alias("k"), F.coalesce("p_class", "p").alias("pk")))
-    others = cut(rows.filter("k <> pk"))
-    loose = others.groupBy("key").agg(F.count("*").alias("c"))
-    narrow = loose.select("key", "c") if depth else loose.filter(F.col("c") <= plan.wide)
-    wide = loose.filter(F.col("c") > plan.wide).select("key")
-    o = others.join(narrow, "key").select("key", "p", F.col("id").alias("o"), F.col("k").alias("ok"))
-    cross = (o.join(rows.select("key", "id", "k"), "key").filter("k <> ok and id <> o and id <> p")
-             .select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct())
-    found = found.unionByName(_confirm(cut(_likely(cross, reps, plan)), docs, plan))
-    if depth == 0 and not wide.isEmpty():
-        inside = rows.join(wide, "key").select("key", "id")
-        again = (inside.join(reps.select("id", F.explode("bands").alias("second")), "id").filter("second <> key")
-                 .select(F.xxhash64(F.least("key", "second"), F.greatest("key", "second")).alias("key"), "id").distinct())
-        found = found.unionByName(_edges(again, reps, docs, plan, 1))
-    return found
+    rows = cut(rows.select("key", "id").join(classes, "id", "left").select("key", "id", F.coalesce("component_id", "id").alias("k")))
+    per = rows.groupBy("key", "k").agg(F.count("*").alias("c"))
+    mixed = (per.groupBy("key").agg(F.max_by("k", F.struct("c", "k")).alias("top"), F.sum("c").alias("m"), F.max("c").alias("most"))
+             .filter("m > most").select("key", "top", F.ceil((F.col("m") - F.col("most")) / plan.block).cast("int").alias("xs"),
+                                        F.ceil(F.col("m") / plan.block).cast("int").alias("ys")))
+    inside = rows.join(mixed, "key")
+    place = F.xxhash64("id", F.lit(3))
+    other = inside.filter("k <> top").select("key", "id", "k", F.lit(0).alias("side"), F.pmod(place, "xs").cast("int").alias("x"),
+                                             F.explode(F.sequence(F.lit(0), F.col("ys") - 1)).alias("y"))
+    every = inside.select("key", "id", "k", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("xs") - 1)).alias("x"),
+                          F.pmod(place, "ys").cast("int").alias("y"))
+    blocks = cut(other.unionByName(every))
+    sets = _read_sets(blocks.select("id").distinct(), docs, plan).join(reps.select("id", "bands"), "id")
+    full = blocks.join(sets, "id").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+    return found.unionByName(full.select("key", "x", "y", "side", "id", "k", "bands", "shingles").mapInArrow(_block_links(plan.percent), "a long, b long"))
 
 
 def near_duplicates(documents: DataFrame, plan: Plan = Plan()) -> DataFrame:
@@ -164,7 +243,7 @@ def near_duplicates(documents: DataFrame, plan: Plan = Plan()) -> DataFrame:
     reps = base.join(sets.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(
         F.col("doc_id").alias("id"), "n_shingles", "sig", "bands")
     buckets = reps.select("id", F.explode("bands").alias("key"))
-    links = _edges(buckets, reps, docs, plan, 0)
+    links = _edges(buckets, reps, docs, plan)
     classes = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     of = (member.join(classes, "id", "left").select("doc_id", F.coalesce("component_id", "id").alias("component_id")))
     return (base.select("doc_id", "n_shingles").dropDuplicates(["doc_id"]).join(of, "doc_id", "left")
