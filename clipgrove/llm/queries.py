@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from clipgrove.llm import decontaminate, minhash, tokenfiles, toxicity
+from clipgrove.llm import decontaminate, minhash, mixing, tokenfiles, toxicity, urllists
 from clipgrove.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,89 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "tokens")
     tokenfiles.write_tokens(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("position"), "doc_id", "text"), path, TOKENS())
     return tokenfiles.token_digests(spark, path)
+
+
+MIX_BLOCK = 16
+
+
+def mix_weights(docs: DataFrame) -> DataFrame:
+    """The targets of the query and the pipeline: 1 to 5 by the number in the name; other names get 1."""
+    named = docs.select("source").filter(F.col("source").rlike("[0-9]")).distinct()
+    return named.select("source", F.expr("1 + try_cast(regexp_extract(source, '[0-9]+', 0) as int) % 5").alias("weight"))
+
+
+# slot by slot, over the blocks that are left
+_EDF = """
+WITH RECURSIVE s AS (
+  SELECT coalesce(source, '') AS source, coalesce(max(1 + TRY_CAST(nullif(regexp_extract(source, '[0-9]+'), '') AS INT) % 5), 1) AS w, CAST(ceil(count(*) / 16.0) AS BIGINT) AS n
+  FROM documents GROUP BY 1),
+o AS (SELECT *, row_number() OVER (ORDER BY source) AS i FROM s),
+l AS (SELECT list(w ORDER BY i) AS w, list(n ORDER BY i) AS n, CAST(sum(n) AS BIGINT) AS total FROM o),
+r AS (
+  SELECT CAST(-1 AS BIGINT) AS t, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS block, CAST(0 AS BIGINT) AS rel, CAST(0 AS BIGINT) AS due,
+    list_transform(n, lambda x: CAST(0 AS BIGINT)) AS c, list_transform(n, lambda x: CAST(0 AS BIGINT)) AS b, CAST(0 AS BIGINT) AS phase FROM l
+  UNION ALL
+  SELECT p.t, p.pick.i, p.c[p.pick.i], p.pick.rel, p.pick.due, p.c2, CASE WHEN p.c2[p.pick.i] = p.n[p.pick.i] THEN p.c2 ELSE p.b END,
+    CASE WHEN p.c2[p.pick.i] = p.n[p.pick.i] THEN p.t + 1 ELSE p.phase END
+  FROM (SELECT *, list_transform(c, lambda x, k: CASE WHEN k = pick.i THEN x + 1 ELSE x END) AS c2 FROM (
+    SELECT *, list_min(list_filter(list_transform(c, lambda x, k: CASE WHEN x < n[k] AND phase + (x - b[k]) * q // w[k] <= t
+        THEN {'due': phase + ((x - b[k] + 1) * q + w[k] - 1) // w[k], 'i': k, 'rel': phase + (x - b[k]) * q // w[k]} END), lambda y: y IS NOT NULL)) AS pick
+    FROM (SELECT r.t + 1 AS t, r.c, r.b, r.phase, l.w, l.n, l.total, CAST(list_sum(list_transform(r.c, lambda x, k: CASE WHEN x < l.n[k] THEN l.w[k] ELSE 0 END)) AS BIGINT) AS q
+          FROM r, l WHERE r.t + 1 < l.total))) p),
+d AS (SELECT doc_id, coalesce(source, '') AS source, row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY doc_id) - 1 AS k FROM documents)
+SELECT d.doc_id, d.source, k // 16 AS block, r.t AS slot, CAST(k % 16 AS INT) AS "offset", r.rel AS release, r.due
+FROM d JOIN o USING (source) JOIN r ON r.i = o.i AND r.block = k // 16 AND r.t >= 0
+"""
+
+
+@query("op2_mix_sources", _EDF)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mixing.mix(docs, mix_weights(docs), MIX_BLOCK)
+
+
+# Captures are fetched and lists are dated by numbers of the pages themselves, over two years from 2023 on
+_START = 1_672_531_200
+_FETCH = f"{_START} + page_id * 7919 % 730 * 86400 + page_id % 86400"
+_HOSTS = """
+SELECT 'spam' AS list, h AS pattern, {start} + m * 31 % 400 * 86400 AS "at", true AS active FROM hosts
+UNION ALL SELECT 'spam', h, {start} + (m * 31 % 400 + 30 + m % 90) * 86400, false FROM hosts
+UNION ALL SELECT 'spam', h, {start} + (m * 31 % 400 + 200 + m % 50) * 86400, true FROM hosts
+UNION ALL SELECT 'malware', d, {start} + (100 + n % 300) * 86400, true FROM domains
+UNION ALL SELECT 'malware', d, {start} + (107 + n % 300) * 86400, false FROM domains
+UNION ALL SELECT 'takedown', f, {start} + f0 * 13 % 730 * 86400, true FROM folders
+"""
+_LISTS = _HOSTS.format(start=_START)
+
+
+@query("op3_url_lists", rf"""
+WITH u AS (
+  SELECT page_id, lower(regexp_replace(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '^.*@', ''), '[.]?(:[0-9]*)?$', '')) AS h,
+    regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS p, {_FETCH} AS "at" FROM pages),
+hosts AS (SELECT h, min(page_id) AS m FROM u WHERE h <> '' GROUP BY h),
+domains AS (SELECT regexp_extract(h, '[^.]+[.][^.]+$') AS d, count(DISTINCT h) AS n FROM u WHERE regexp_extract(h, '[^.]+[.][^.]+$') <> '' GROUP BY 1),
+folders AS (SELECT h || regexp_extract(p, '^/[^/]*/') AS f, min(page_id) AS f0 FROM u WHERE regexp_extract(p, '^/[^/]*/') <> '' GROUP BY 1),
+e AS (SELECT "list", pattern, "at", bool_or(active) AS active FROM ({_LISTS}) GROUP BY ALL),
+i AS (SELECT "list", pattern, "at" AS valid_from, lead("at") OVER (PARTITION BY "list", pattern ORDER BY "at") AS valid_to, active FROM e),
+b AS (
+  SELECT page_id, u."at", min({{'n': -length(pattern), 'list': i."list", 'pattern': pattern, 'valid_from': valid_from}}) AS m
+  FROM u JOIN i ON active AND u."at" >= valid_from AND (valid_to IS NULL OR u."at" < valid_to)
+    AND (h = pattern OR ends_with(h, '.' || pattern) OR h || p = pattern OR (pattern LIKE '%/' AND starts_with(h || p, pattern)))
+  WHERE h <> '' GROUP BY ALL)
+SELECT u.page_id, CAST(u."at" AS BIGINT) AS "at", m IS NOT NULL AS blocked, m."list" AS "list", m.pattern AS pattern, CAST(m.valid_from AS BIGINT) AS valid_from
+FROM u LEFT JOIN b USING (page_id)
+""")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url").withColumn("h", urllists.host(F.col("url"))).withColumn("p", urllists.path(F.col("url")))
+    hosts = pages.filter("h <> ''").groupBy("h").agg(F.min("page_id").alias("m"))
+    domain = F.regexp_extract("h", "[^.]+[.][^.]+$", 0)
+    domains = hosts.select(domain.alias("d"), "h").filter("d <> ''").groupBy("d").agg(F.count("*").alias("n"))
+    folder = F.regexp_extract("p", "^/[^/]*/", 0)
+    folders = pages.filter(folder != "").groupBy(F.concat("h", folder).alias("f")).agg(F.min("page_id").alias("f0"))
+    at = lambda days: F.lit(_START) + days * 86_400
+    on = lambda df, name, key, days, active: df.select(F.lit(name).alias("list"), F.col(key).alias("pattern"), at(days).alias("at"), F.lit(active).alias("active"))
+    first, m, n = F.col("m") * 31 % 400, F.col("m"), F.col("n") % 300
+    lists = (on(hosts, "spam", "h", first, True).unionByName(on(hosts, "spam", "h", first + 30 + m % 90, False))
+             .unionByName(on(hosts, "spam", "h", first + 200 + m % 50, True)).unionByName(on(domains, "malware", "d", n + 100, True))
+             .unionByName(on(domains, "malware", "d", n + 107, False)).unionByName(on(folders, "takedown", "f", F.col("f0") * 13 % 730, True)))
+    return urllists.evaluate(pages.select("page_id", "url", F.expr(_FETCH).alias("at")), lists)

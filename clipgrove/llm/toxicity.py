@@ -18,7 +18,7 @@ class Settings:
     """``sample``: training rows at most (about: by a hash of doc_id, so the same rows at every run);
     ``bits``: log2 of the number of weights; ``alpha``, ``beta``: per-coordinate rates; ``l1``, ``l2``."""
 
-    sample: int = 50_000
+    sample: int = 20_000
     bits: int = 20
     alpha: float = 1.0
     beta: float = 1.0
