@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from clipgrove.llm import decontaminate, minhash, mixing, tokenfiles, toxicity, urllists
+from clipgrove.llm import decontaminate, minhash, mixing, pii, tokenfiles, toxicity, urllists
 from clipgrove.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -167,3 +167,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
              .unionByName(on(hosts, "spam", "h", first + 200 + m % 50, True)).unionByName(on(domains, "malware", "d", n + 100, True))
              .unionByName(on(domains, "malware", "d", n + 107, False)).unionByName(on(folders, "takedown", "f", F.col("f0") * 13 % 730, True)))
     return urllists.evaluate(pages.select("page_id", "url", F.expr(_FETCH).alias("at")), lists)
+
+
+@query("op1_pii_pseudonyms")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), "a key that stays with its owner")
