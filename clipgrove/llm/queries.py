@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from clipgrove.llm import decontaminate, minhash, mixing, pii, tokenfiles, toxicity, urllists
+from clipgrove.llm import decontaminate, minhash, mixing, pii, tokenfiles, toxicity, urllists, weighted
 from clipgrove.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -172,3 +172,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_pii_pseudonyms")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), "a key that stays with its owner")
+
+
+@query("op10_weighted_fingerprints")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weighted.with_edits(table(spark, sf_dir, "documents"))
