@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from clipgrove.llm import decontaminate, minhash, mixing, pii, tokenfiles, toxicity, urllists, weighted
+from clipgrove.llm import decontaminate, minhash, mixing, pii, tokenfiles, toxicity, urllists, warc, weighted
 from clipgrove.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -177,3 +177,16 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_weighted_fingerprints")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weighted.with_edits(table(spark, sf_dir, "documents"))
+
+
+@query("op5_warc", """
+SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, d AS payload_digest,
+  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to
+FROM (SELECT *, max(page_id) OVER (PARTITION BY d) AS top FROM (
+  SELECT page_id, html, array_to_string(list_transform(generate_series(0, 31), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    (CAST('0x' || substr(sha1(coalesce(html, '')), CAST(i // 4 * 5 + 1 AS BIGINT), 5) AS BIGINT) >> CAST(5 * (3 - i % 4) AS BIGINT)) % 32 + 1, 1)), '') AS d FROM pages))
+""")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    return warc.read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
