@@ -21,7 +21,8 @@ class Plan:
     """``words`` per shingle, ``percent`` of similarity, ``bands`` of ``rows`` minima, ``minima`` in all,
     ``bits`` kept of each. A pair at 0.8 misses all 42 bands of 6 with a chance of 3e-6. ``margin``:
     how far (about 5 standard deviations of the estimate) below the threshold a pair is still confirmed
-    on full sets. ``block``: members of a bucket that are compared together."""
+    on full sets. ``block``: shingles on either side of a
+    block of a bucket whose members are compared together."""
 
     words: int = 5
     percent: int = 80
@@ -30,7 +31,7 @@ class Plan:
     minima: int = 256
     bits: int = 2
     margin: float = 0.16
-    block: int = 128
+    block: int = 1 << 17
     seed: int = 7
 
 
@@ -159,21 +160,17 @@ def _block_links(percent: int):
     def links(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(rows).combine_chunks()
         side = t["side"].to_numpy()
-        key = t["key"][0].as_py()
         ids, k = t["id"].to_numpy(), t["k"].to_numpy()
-        bands = t["bands"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
         sets = [x.values.to_numpy() for x in t["shingles"].combine_chunks()]
         a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         found = {}
         if len(a) and len(b):
-            own = int(np.flatnonzero(bands[0] == key)[0])
             both = _overlaps([sets[i] for i in a], [sets[i] for i in b])
             n = np.array([len(x) for x in sets])
             ok = (both * 100 >= (n[a][:, None] + n[b][None] - both) * percent) & (k[a][:, None] != k[b][None])
             for x, y in zip(*np.nonzero(ok)):
                 i, j = a[x], b[y]
-                if not (bands[i, :own] == bands[j, :own]).any():  # else an earlier band has this pair
-                    found.setdefault((min(k[i], k[j]), max(k[i], k[j])), (min(ids[i], ids[j]), max(ids[i], ids[j])))
+                found.setdefault((min(k[i], k[j]), max(k[i], k[j])), (min(ids[i], ids[j]), max(ids[i], ids[j])))
         pairs = list(found.values())
         return pa.record_batch([pa.array([int(p[0]) for p in pairs], pa.int64()), pa.array([int(p[1]) for p in pairs], pa.int64())], names=["a", "b"])
 
@@ -202,7 +199,7 @@ def _edges(buckets: DataFrame, reps: DataFrame, docs: DataFrame, plan: Plan) ->
 
     First every member is compared with one member of its bucket, another one in every band, so large groups
     of copies become one class in few comparisons. A member that is still outside the largest class of one of its buckets
-    is then compared with all members of other classes there, on full sets, in blocks of ``block`` by ``block``:
+    is then compared with all members of other classes there, on full sets, in blocks of bounded size:
     no pairs are written, only links, and blocks of one bucket spread over all tasks."""
     turn = F.xxhash64("id", "key")
     first = buckets.groupBy("key").agg(F.min_by("id", F.struct(turn, F.col("id"))).alias("p"), F.count("*").alias("c")).filter("c > 1").select("key", "p")
@@ -211,20 +208,21 @@ def _edges(buckets: DataFrame, reps: DataFrame, docs: DataFrame, plan: Plan) ->
     found = cut(_confirm(cut(_likely(star, reps, plan)), docs, plan))
     classes = components(found.select(F.col("a").alias("u"), F.col("b").alias("v")))
     rows = cut(rows.select("key", "id").join(classes, "id", "left").select("key", "id", F.coalesce("component_id", "id").alias("k")))
-    per = rows.groupBy("key", "k").agg(F.count("*").alias("c"))
-    mixed = (per.groupBy("key").agg(F.max_by("k", F.struct("c", "k")).alias("top"), F.sum("c").alias("m"), F.max("c").alias("most"))
-             .filter("m > most").select("key", "top", F.ceil((F.col("m") - F.col("most")) / plan.block).cast("int").alias("xs"),
-                                        F.ceil(F.col("m") / plan.block).cast("int").alias("ys")))
-    inside = rows.join(mixed, "key")
+    top = (rows.groupBy("key", "k").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("k", F.struct("c", "k")).alias("top"), F.count("*").alias("classes"))
+           .filter("classes > 1").select("key", "top"))
+    inside = cut(rows.join(top, "key").join(reps.select("id", "n_shingles"), "id"))
+    share = lambda c: F.ceil(F.coalesce(F.sum(c), F.lit(0)) / plan.block).cast("int")
+    grid = inside.groupBy("key").agg(share(F.when(F.col("k") != F.col("top"), F.col("n_shingles"))).alias("xs"), share("n_shingles").alias("ys"))
+    inside = inside.join(grid, "key")
     place = F.xxhash64("id", F.lit(3))
     other = inside.filter("k <> top").select("key", "id", "k", F.lit(0).alias("side"), F.pmod(place, "xs").cast("int").alias("x"),
                                              F.explode(F.sequence(F.lit(0), F.col("ys") - 1)).alias("y"))
     every = inside.select("key", "id", "k", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("xs") - 1)).alias("x"),
                           F.pmod(place, "ys").cast("int").alias("y"))
     blocks = cut(other.unionByName(every))
-    sets = _read_sets(blocks.select("id").distinct(), docs, plan).join(reps.select("id", "bands"), "id")
+    sets = _read_sets(blocks.select("id").distinct(), docs, plan)
     full = blocks.join(sets, "id").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
-    return found.unionByName(full.select("key", "x", "y", "side", "id", "k", "bands", "shingles").mapInArrow(_block_links(plan.percent), "a long, b long"))
+    return found.unionByName(full.select("key", "x", "y", "side", "id", "k", "shingles").mapInArrow(_block_links(plan.percent), "a long, b long"))
 
 
 def near_duplicates(documents: DataFrame, plan: Plan = Plan()) -> DataFrame:
