@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from clipgrove.llm import decontaminate, minhash, mixing, pii, tokenfiles, toxicity, urllists, warc, weighted
+from clipgrove.llm import decontaminate, minhash, mixing, pii, suffixes, tokenfiles, toxicity, urllists, warc, weighted
 from clipgrove.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -190,3 +190,23 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), path)
     return warc.read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op9_suffix_dedup", """
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, i, hash(substr(h, 2 * i + 1, 400)) AS g1, md5(substr(h, 2 * i + 1, 400)) AS g2 FROM (
+  SELECT doc_id, h, unnest(generate_series(0, n - 200)) AS i FROM b WHERE n >= 200)),
+d AS (SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS gap FROM (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY g1, g2) AS c FROM w) WHERE c > 1),
+s AS (SELECT doc_id, min(i) AS f, max(i) + 200 AS t FROM (
+  SELECT *, count(*) FILTER (WHERE gap IS NULL OR gap > 200) OVER (PARTITION BY doc_id ORDER BY i) AS part FROM d) GROUP BY doc_id, part),
+k AS (SELECT s.doc_id, count(*) AS spans, sum(t - f) AS gone, max(t) AS last,
+  string_agg(substr(h, 2 * p + 1, 2 * (f - p)), '' ORDER BY f) AS head
+  FROM (SELECT *, coalesce(lag(t) OVER (PARTITION BY doc_id ORDER BY f), 0) AS p FROM s) s JOIN b USING (doc_id) GROUP BY s.doc_id)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(head, '') || substr(h, CAST(2 * coalesce(last, 0) + 1 AS BIGINT)))) AS kept_sha256
+FROM b LEFT JOIN k USING (doc_id)
+""")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffixes.repeated_strings(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
