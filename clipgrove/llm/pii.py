@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from clipgrove.llm.words import free_name
+
 #: order of the alternatives is the order of preference
 EMAIL = r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 IBAN = r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)"
@@ -187,9 +189,10 @@ def pseudonymise(documents: DataFrame, key: str, text: str = "text") -> DataFram
     # texts without a digit or @ skip the search
     found = F.when(whole.rlike("[0-9@]"), F.regexp_extract_all(whole, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
     rest = [f"`{c}`" for c in documents.columns if c not in (text, "replaced")]
-    hits = documents.select(*rest, whole.alias("_text"), F.when(whole.isNotNull(), F.transform(found, lambda m: F.struct(m.alias("old"), pseudonym(m, key).alias("new")))).alias("_hits"))
-    gaps = F.split("_text", ANY, -1)
-    news = F.transform("_hits", lambda h: F.coalesce(h["new"]["value"], h["old"]))
+    old, hit = free_name(documents, "_old"), free_name(documents, "_hits")
+    hits = documents.select(*rest, whole.alias(old), F.when(whole.isNotNull(), F.transform(found, lambda m: F.struct(m.alias("old"), pseudonym(m, key).alias("new")))).alias(hit))
+    gaps = F.split(old, ANY, -1)
+    news = F.transform(hit, lambda h: F.coalesce(h["new"]["value"], h["old"]))
     joined = F.array_join(F.transform(F.arrays_zip(gaps.alias("g"), news.alias("n")), lambda z: F.concat(z["g"], F.coalesce(z["n"], F.lit("")))), "")
-    return hits.select(*rest, F.when(F.size("_hits") > 0, joined).otherwise(F.col("_text")).alias(text),
-                       F.transform(F.filter("_hits", lambda h: h["new"]["value"].isNotNull()), lambda h: h["new"]).alias("replaced"))
+    return hits.select(*rest, F.when(F.size(hit) > 0, joined).otherwise(F.col(old)).alias(text),
+                       F.transform(F.filter(hit, lambda h: h["new"]["value"].isNotNull()), lambda h: h["new"]).alias("replaced"))

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 SLICE_BYTES = 1 << 20
 WHITE = (9, 10, 11, 12, 13, 32)
@@ -127,6 +128,14 @@ def shingles(h: np.ndarray, before: np.ndarray, n: int) -> tuple[np.ndarray, np.
     return out, at
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name`` or, if ``df`` has such a column, the name with lines before it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from clipgrove.llm import decontaminate, minhash, mixing, tokenfiles, toxicity
 from clipgrove.llm.queries import MIX_BLOCK, TOKENS, mix_weights, scratch, table
+from clipgrove.llm.words import free_name
 from clipgrove.session import cut
 
 
@@ -13,7 +14,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.5; the model learns from all labelled documents that are left."""
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
     model = toxicity.fit(docs, labels)
-    return toxicity.with_score(docs, model, "_toxicity").filter("_toxicity < 0.5").select(*docs.columns)
+    score = free_name(docs, "_toxicity")
+    return toxicity.with_score(docs, model, score).filter(F.col(score) < 0.5).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,9 +35,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     mixed = cut(mixing.mix(docs, mix_weights(docs), MIX_BLOCK).select("doc_id", "slot", "offset").dropDuplicates(["doc_id"]))
     slots = (mixed.agg(F.max("slot")).first()[0] or 0) + 1
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = docs.join(mixed.select(F.col("doc_id").alias("_id"), F.col("slot").alias("_slot"), F.col("offset").alias("_offset")), F.expr("doc_id <=> _id"))
-    part = F.expr(f"cast(_slot * {parts} div {slots} as int)")
-    return placed.repartitionById(parts, part).sortWithinPartitions("_slot", "_offset").select(*docs.columns)
+    own, slot, offset = (free_name(docs, c) for c in ("_id", "_slot", "_offset"))
+    placed = docs.join(mixed.select(F.col("doc_id").alias(own), F.col("slot").alias(slot), F.col("offset").alias(offset)), F.col("doc_id").eqNullSafe(F.col(own)))
+    part = F.expr(f"cast({slot} * {parts} div {slots} as int)")
+    return placed.repartitionById(parts, part).sortWithinPartitions(slot, offset).select(*docs.columns)
 
 
 def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
