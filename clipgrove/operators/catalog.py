@@ -8,7 +8,7 @@ from clipgrove.functions import text
 from clipgrove.operators.scan import Run, first_per_key, neighbours, repack, rows_chunk, running
 from clipgrove.session import cut
 
-DEEP_PAGE = 100_000
+TOP_ROWS = 100_000
 
 
 # --- order -----------------------------------------------------------------------------
@@ -39,11 +39,13 @@ def newest_first(oldest: bool = False) -> list[Column]:
     return [F.col("modified_ms").desc(), F.col("path").asc()]
 
 
-def page(df: DataFrame, offset: int = 0, limit: int | None = 100, oldest: bool = False) -> DataFrame:
+def page(df: DataFrame, offset: int = 0, limit: int | None = 100, oldest: bool = False, top_rows: int = TOP_ROWS) -> DataFrame:
+    """Rows ``offset`` to ``offset + limit``. Pages that end within ``top_rows`` are a top-k, whose rows meet in one task, so it
+    bounds them; others are cut by position. Both give the same rows."""
     order = newest_first(oldest)
     if limit is None and offset == 0:
         return df.orderBy(*order)
-    if limit is not None and offset + limit <= DEEP_PAGE:
+    if limit is not None and offset + limit <= top_rows:
         return df.orderBy(*order).offset(offset).limit(limit)
     # A deep page by position: a top-k that large would sit in one task.
     placed = ordinal(df, order, "_pos")

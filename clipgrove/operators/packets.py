@@ -25,6 +25,7 @@ STREAM = ["stream_id"]
 CAPTURE = ["stream_id", "segment"]
 # Width of the time chunks of as-of joins and of the buckets of interval joins.
 SPAN = 3600 * T.SECOND
+SPAN_MS = 3_600_000
 
 
 def video(df: DataFrame) -> DataFrame:
@@ -282,14 +283,14 @@ def frame_numbers(frames: DataFrame, t: str = "t") -> DataFrame:
     return repack(frames, CLIP, [t, "seq"], span_chunk(t, SPAN), "n")
 
 
-def asof_frame(q: DataFrame, frames: DataFrame, eps: float = FRAME_EPS_MS, span: int = SPAN) -> DataFrame:
+def asof_frame(q: DataFrame, frames: DataFrame, eps: float = FRAME_EPS_MS, span: int = SPAN_MS) -> DataFrame:
     """q(clip, ms) and frames(clip, n, ms): the last frame at or before ms + eps, -1 if none."""
     f = frames.select("clip", "n", F.col("ms").alias("_ms"))
     out = asof(q, f, CLIP, "ms", "_ms", span, {"frame": "n"}, tie=["n"], slack=eps)
     return out.withColumn("frame", F.coalesce("frame", F.lit(-1)).cast("bigint"))
 
 
-def nearest_frame(q: DataFrame, frames: DataFrame, span: int = SPAN, keys: list[str] = CLIP) -> DataFrame:
+def nearest_frame(q: DataFrame, frames: DataFrame, span: int = SPAN_MS, keys: list[str] = CLIP) -> DataFrame:
     """Nearest frame in time; of equally near ones the earlier."""
     f = frames.select(*keys, "n", F.col("ms").alias("_ms"))
     both = asof(q, f, keys, "ms", "_ms", span, {"_n0": "n", "_t0": "_ms"}, {"_n1": "n", "_t1": "_ms"}, tie=["n"])
@@ -299,7 +300,7 @@ def nearest_frame(q: DataFrame, frames: DataFrame, span: int = SPAN, keys: list[
                        F.when(take, F.col("_t1")).otherwise(F.col("_t0")).alias("frame_ms"))
 
 
-def cuts_on_keyframes(segs: DataFrame, keyframes: DataFrame, fps: Column, span: int = SPAN) -> DataFrame:
+def cuts_on_keyframes(segs: DataFrame, keyframes: DataFrame, fps: Column, span: int = SPAN_MS) -> DataFrame:
     """(clip, on_keyframes): every non-empty segment starts within half a frame of a keyframe;
     clips without keyframes fail. segs has the columns ``fps`` refers to."""
     starts = segs.select("clip", "idx", F.col("start_ms").alias("ms"), (F.col("end_ms") <= F.col("start_ms")).alias("_empty"),
@@ -334,7 +335,7 @@ def sample_keyframes(keyframes: DataFrame, lengths: DataFrame, max_tiles: int, s
     return tiles.withColumn("i", i).select("clip", "i", "tile", (F.col("i") % FILM_COLUMNS).alias("col"), T.idiv(F.col("i"), FILM_COLUMNS).alias("row"))
 
 
-def frame_step(q: DataFrame, frames: DataFrame, direction: int, frame_ms: float, span: int = SPAN) -> DataFrame:
+def frame_step(q: DataFrame, frames: DataFrame, direction: int, frame_ms: float, span: int = SPAN_MS) -> DataFrame:
     """q(clip, ms): target of one step: the neighbour frame and a little of its length; NULL with
     fewer than two frames."""
     table = neighbours(frames.select("clip", "n", "ms"), CLIP, ["n"], rows_chunk("n"), following={"_next": F.col("ms")})

@@ -17,7 +17,8 @@ WEBVIEW = "msedgewebview2.exe"
 
 def _ancestors(procs: DataFrame, hit: Column) -> DataFrame:
     """(pid, near): pid of the nearest proper ancestor for which ``hit`` holds, within the hop
-    limit. ``hit`` is a boolean over procs."""
+    limit. ``hit`` is a boolean over procs. The limit of 64 hops is the rule of the operator: what lies above it in a deeper tree
+    is not seen."""
     flags = procs.select(F.col("pid").alias("up"), hit.alias("_flag"))
     state = procs.select("pid", F.when(F.col("parent") != 0, F.col("parent")).alias("up")).join(flags, "up", "left")
     state = cut(state.select("pid", "up", F.when(F.col("_flag"), F.col("up")).alias("near")))

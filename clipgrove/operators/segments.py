@@ -13,6 +13,7 @@ from clipgrove.operators.timejoin import asof
 MIN_SEG_MS = 50.0
 GAP_TOLERANCE_MS = 0.5
 SPAN_MS = 3_600_000
+IDX_CHUNK = 1 << 16
 
 KEY = ["clip"]
 
@@ -275,7 +276,7 @@ def remove_range(segs: DataFrame, reqs: DataFrame) -> DataFrame:
     out = out.withColumn("_p", F.explode(F.when(F.col("_done"), F.col("_pieces")).otherwise(same)))
     rest = [c for c in segs.columns if c not in ("clip", "idx", "start_ms", "end_ms", "pos_ms", "bound_start_ms", "bound_end_ms")]
     flat = out.select(
-        "clip", F.col("idx").alias("_old"), F.col("_p.n").alias("_n"), F.when(F.col("_done"), F.col("_p.pos_ms")).otherwise(0.0).alias("_by"),
+        "clip", F.col("idx").alias("_old"), F.col("_p.n").alias("_n"), F.when(F.col("_done"), F.col("_p.pos_ms")).otherwise(F.col("idx") * float(SPAN_MS) / IDX_CHUNK).alias("_by"),
         *[F.col(f"_p.{c}").alias(c) for c in ("start_ms", "end_ms", "pos_ms", "bound_start_ms", "bound_end_ms")], *rest,
     )
     return repack(flat, KEY, ["_by", "_old", "_n"], span_chunk("_by", SPAN_MS)).select(*segs.columns)

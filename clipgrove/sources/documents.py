@@ -67,7 +67,9 @@ def split_corrupt(docs: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
     set aside and counted as empty."""
     boxed = f"struct<v: {schema}, _corrupt: string>"
     parsed = F.from_json(F.concat(F.lit('{"v":'), "value", F.lit("}")), boxed, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-    both = docs.withColumn("_p", parsed)
+    # parsers stop at the end of a value, so text behind it must break one of two wrappers; explode keeps the parse from being repeated
+    valid = F.try_parse_json(F.concat(F.lit("["), "value", F.lit("]"))).isNotNull()
+    both = docs.withColumn("_p", F.explode(F.array(F.when(valid, parsed))))
     bad = F.col("_p").isNull() | F.col("_p._corrupt").isNotNull() | F.col("_p.v").isNull()
     return both.where(~bad).select("doc", F.col("_p.v").alias("parsed")), both.where(bad).select("doc", "value")
 

@@ -22,7 +22,7 @@ def parse_line(line: Column) -> list[Column]:
 
 def module_of(target: Column, crate: str) -> Column:
     """Target without the crate: 'app' for the crate itself, unknown targets as they are."""
-    rest = F.substring(target, len(crate) + 1, 10_000_000)
+    rest = F.substr(target, F.lit(len(crate) + 1))
     return F.when(target == crate, "app").when(F.startswith(target, F.lit(crate)), F.regexp_replace(rest, "^:+", "")).otherwise(target)
 
 
@@ -38,34 +38,62 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select("value", *parse_line(F.col("value")))
 
 
-def byte_budget(df: DataFrame, cap: int = MAX_DAY_BYTES, line: str = "line", order: str = "n") -> DataFrame:
-    """df(day, <order>, <line>): lines of a day while their bytes (with the line end) fit; the first
-    that does not closes the day and leaves one notice in its place."""
+def byte_budget(df: DataFrame, cap: int = MAX_DAY_BYTES, line: str = "line", order: str = "n", keys: tuple[str, ...] = ("day",), used: DataFrame | None = None) -> DataFrame:
+    """df(<keys>, <order>, <line>): lines of a day while their bytes (with the line end) fit; the first
+    that does not closes the day and leaves one notice in its place. ``cap`` is the limit of one file: with lines of several machines
+    ``keys`` are machine and day. ``used`` (<keys>, bytes, closed): what earlier calls have written."""
+    by = list(keys)
     size = (F.octet_length(line) + 1).cast("bigint")
-    run = running(df, ["day"], [order], {"_bytes": Run("sum", size)}, rows_chunk(order)).withColumn("notice", F.lit(False))
+    run = running(df, by, [order], {"_bytes": Run("sum", size)}, rows_chunk(order)).withColumn("notice", F.lit(False))
+    if used is not None:
+        run = run.join(used.select(*by, "bytes", "closed"), by, "left").where(~F.coalesce("closed", F.lit(False))).withColumn(
+            "_bytes", F.col("_bytes") + F.coalesce("bytes", F.lit(0))).drop("bytes", "closed")
     kept = run.where(F.col("_bytes") <= cap).drop("_bytes")
-    full = run.where(F.col("_bytes") > cap).groupBy("day").agg(F.min(order).alias(order))
+    full = run.where(F.col("_bytes") > cap).groupBy(*by).agg(F.min(order).alias(order))
     note = F.concat("day", F.lit(f" 23:59:59.999 WARN  logs: day limit of {cap} bytes reached"))
-    return kept.select("day", order, line, "notice").unionByName(full.select("day", order, note.alias(line), F.lit(True).alias("notice")))
+    return kept.select(*by, order, line, "notice").unionByName(full.select(*by, order, note.alias(line), F.lit(True).alias("notice")))
 
 
-def keep_last(df: DataFrame, n: int = KEEP_DAYS, pattern: str = r"^log-.*\.log$", name: str = "name") -> DataFrame:
-    """The last ``n`` matching names by name; others stay."""
+def keep_last(df: DataFrame, n: int = KEEP_DAYS, pattern: str = r"^log-.*\.log$", name: str = "name", keys: tuple[str, ...] = ()) -> DataFrame:
+    """The last ``n`` matching names by name, of each ``keys`` (machine); others stay."""
     dated = F.col(name).rlike(pattern)
-    last = df.where(dated).select(name).distinct().orderBy(F.col(name).desc()).limit(n)
-    return df.where(~dated).unionByName(df.where(dated).join(F.broadcast(last), name, "left_semi").select(*df.columns))
-
-
-def write_daily(df: DataFrame, path: str, max_bytes: int = MAX_DAY_BYTES, keep_days: int = KEEP_DAYS) -> None:
-    """df(line, n): one folder per day of the line, within the budget, days beyond the retention
-    dropped. The day partitions written are replaced as a whole."""
-    lines = df.withColumn("day", F.substring("line", 1, 10))
-    days = lines.select(F.col("day").alias("name")).distinct()
-    # At most keep_days rows.
-    last = F.broadcast(keep_last(days, keep_days, ".*").withColumnRenamed("name", "day"))
-    out = byte_budget(lines.join(last, "day", "left_semi").select("day", "n", "line"), max_bytes)
-    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
-    drop_old_days(df.sparkSession, path, keep_days)
+    if not keys:
+        last = F.broadcast(df.where(dated).select(name).distinct().orderBy(F.col(name).desc()).limit(n))
+    else:
+        one = df.where(dated).select(*keys, name).distinct()
+        last = one.withColumn("_no", F.row_number().over(W.partitionBy(*keys).orderBy(F.col(name).desc()))).where(F.col("_no") <= n).drop("_no")
+    return df.where(~dated).unionByName(df.where(dated).join(last, [*keys, name], "left_semi").select(*df.columns))
+
+
+def write_daily(df: DataFrame, path: str, max_bytes: int = MAX_DAY_BYTES, keep_days: int = KEEP_DAYS, machine: str | None = None) -> None:
+    """df(line, n[, <machine>]): one folder per day of the line (and machine), within the budget, days beyond the retention
+    dropped. Appends: the bytes that earlier calls wrote count, and a day that is closed stays closed."""
+    spark = df.sparkSession
+    keys = ([machine] if machine else []) + ["day"]
+    lines = df.withColumn("day", F.substring("line", 1, 10)).select(*keys, "n", "line")
+    days = lines.select(*keys).distinct().withColumnRenamed("day", "name")
+    used = None
+    if _present(spark, path):
+        there = spark.read.parquet(path).select(*[F.col(k).cast("string").alias(k) for k in keys], "line", "notice")
+        size = F.when(~F.col("notice"), F.octet_length("line") + 1)
+        used = there.groupBy(*keys).agg(F.coalesce(F.sum(size), F.lit(0)).cast("bigint").alias("bytes"), F.max("notice").alias("closed"))
+        days = days.unionByName(used.select(*keys).withColumnRenamed("day", "name")).distinct()
+    last = keep_last(days, keep_days, ".*", keys=tuple(keys[:-1])).withColumnRenamed("name", "day")
+    out = byte_budget(lines.join(last, keys, "left_semi"), max_bytes, keys=tuple(keys), used=used)
+    out.write.mode("append").partitionBy(*keys).parquet(path)
+    for folder in _folders(spark, path) if machine else [path]:
+        drop_old_days(spark, folder, keep_days)
+
+
+def _present(spark: SparkSession, path: str) -> bool:
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return root.getFileSystem(spark._jsc.hadoopConfiguration()).exists(root)
+
+
+def _folders(spark: SparkSession, path: str) -> list[str]:
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = root.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(root)
+    return [s.getPath().toString() for s in found if "=" in s.getPath().getName()]
 
 
 def drop_old_days(spark: SparkSession, path: str, keep_days: int = KEEP_DAYS) -> list[str]:

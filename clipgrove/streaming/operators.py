@@ -13,7 +13,7 @@ from clipgrove.sources.logs import MAX_DAY_BYTES, own_logs, parse_line
 from clipgrove.streaming import processors as S
 
 # Fixed values.
-MIX_LATENESS = {"mix": "150 milliseconds", "single": "120 milliseconds", "app": "100 milliseconds"}
+MIX_LATENESS = {"mix": 150_000, "single": 120_000, "app": 100_000}
 MAX_AHEAD_FRAMES = 5 * B.SAMPLE_RATE
 HEADER_TIMEOUT_MS = 1000
 
@@ -92,21 +92,14 @@ def log_stream(lines: DataFrame, crate: str, cap: int = MAX_DAY_BYTES) -> DataFr
     return kept.select("n", "line", "notice", *fields)
 
 
-def mix_stream(samples: DataFrame, lateness: str = MIX_LATENESS["mix"], rate: int = B.SAMPLE_RATE) -> DataFrame:
-    """samples(stream_id, source, frame, ch, sample [, now_frame]): sums per frame once the watermark
-    has passed it. One row is one frame, so of a late packet exactly the frames still open count.
-    With ``now_frame`` samples too far ahead of it are discarded."""
+def mix_stream(samples: DataFrame, lateness: int = MIX_LATENESS["mix"], rate: int = B.SAMPLE_RATE) -> DataFrame:
+    """samples(stream_id, source, frame, ch, sample [, now_frame]): sums per frame once the stream itself is ``lateness`` microseconds
+    past it, so streams that start later or run slower lose nothing. One row is one frame, so of a late packet exactly the
+    frames still open count; a row without a sample ends its stream. With ``now_frame`` samples too far ahead of it are discarded."""
     rows = samples
     if "now_frame" in samples.columns:
-        rows = rows.where(F.col("frame") - F.col("now_frame") <= MAX_AHEAD_FRAMES)
-    # A frame is done when its end is behind the watermark. The first watermark is the epoch, so
-    # the line starts a day after it.
-    end = B.idiv((F.col("frame") + 1) * 1_000_000, rate) + 86_400_000_000
-    ts = F.timestamp_micros(end)
-    sums = rows.withColumn("ts", ts).withWatermark("ts", lateness).groupBy("stream_id", "ts", "frame", "ch").agg(
-        F.sum(F.col("sample").cast("bigint")).alias("_sum"))
-    value = F.least(F.greatest("_sum", F.lit(-32768)), F.lit(32767)).cast("int")
-    return sums.select("stream_id", "frame", "ch", value.alias("sample"))
+        rows = rows.where(F.coalesce(F.col("frame") - F.col("now_frame") <= MAX_AHEAD_FRAMES, F.lit(True)))
+    return _keyed(rows.select("stream_id", "frame", "ch", "sample"), ["stream_id"], S.Mix(lateness, rate), "stream_id bigint, frame bigint, ch int, sample int")
 
 
 # --- per micro-batch -------------------------------------------------------------------
@@ -163,11 +156,52 @@ def write_parts(packets: DataFrame, path: str) -> None:
     part_rows(packets).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("stream_id", "part").parquet(path)
 
 
+OPEN = "stream_id bigint, segment bigint, width bigint, layout string, part bigint, open boolean"
+
+
+def _last_state(spark: SparkSession, path: str, before: int) -> DataFrame:
+    """State after the newest finished micro-batch before ``before``."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+    done = [int(n[2:]) for n in names if n.startswith("v=") and int(n[2:]) < before and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(root, f"{n}/_SUCCESS"))]
+    for v in sorted(done)[:-2]:  # two versions are enough for a batch that is repeated
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(root, f"v={v}"), True)
+    return spark.read.schema(OPEN).parquet(f"{path}/v={max(done)}") if done else spark.createDataFrame([], OPEN)
+
+
+def continued_parts(batch: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(packets of ``batch`` with their part, new state). ``state`` holds one row per stream: its last segment with its shape, the part and whether
+    a keyframe has opened that part. A segment that goes on keeps part and shape; numbers go on from the state."""
+    last = state.select("stream_id", F.col("segment").alias("_s"), F.col("width").alias("_w"), F.col("layout").alias("_l"), F.col("part").alias("_p"), F.col("open").alias("_o"))
+    shape = split_parts(batch).select("stream_id", "segment", "width", "layout", F.col("part").alias("_own"))
+    shape = shape.join(last, "stream_id", "left").withColumn("_same", F.coalesce(F.col("segment") == F.col("_s"), F.lit(False)))
+    # split_parts numbers this batch alone, by its own shapes; what its first new segment adds is seen against the state
+    fresh = shape.where(~F.col("_same")).groupBy("stream_id").agg(F.min_by(F.struct("width", "layout", "_own"), "segment").alias("_first"))
+    shape = shape.join(fresh, "stream_id", "left")
+    differs = F.col("_s").isNotNull() & ((F.col("_first.width") != F.col("_w")) | (F.col("_first.layout") != F.col("_l")))
+    part = F.when(F.col("_same"), F.col("_p")).otherwise(F.coalesce("_p", F.lit(0)) + differs.cast("bigint") + F.col("_own") - F.col("_first._own"))
+    known = shape.select("stream_id", "segment", F.when(F.col("_same"), F.col("_w")).otherwise(F.col("width")).cast("bigint").alias("_width"),
+                         F.when(F.col("_same"), F.col("_l")).otherwise(F.col("layout")).alias("_layout"), part.alias("part"), "_p", "_o")
+    rows = batch.join(known, ["stream_id", "segment"])
+    goes_on = F.coalesce((F.col("part") == F.col("_p")) & F.col("_o"), F.lit(False))
+    opened = rows.groupBy("stream_id", "part").agg(F.min(F.when((F.col("track") == "v") & F.col("key"), F.col("seq"))).alias("_k"), F.max(goes_on).alias("_on"))
+    rows = rows.join(opened, ["stream_id", "part"])
+    ends = known.groupBy("stream_id").agg(F.max_by(F.struct("segment", "_width", "_layout", "part"), "segment").alias("e")).select("stream_id", "e.*")
+    ends = ends.join(opened, ["stream_id", "part"]).select("stream_id", "segment", F.col("_width").alias("width"), F.col("_layout").alias("layout"), "part", (F.col("_on") | F.col("_k").isNotNull()).alias("open"))
+    kept = state.join(ends.select("stream_id"), "stream_id", "left_anti").select(*ends.columns)
+    out = rows.where(F.col("_on") | (F.col("seq") >= F.col("_k"))).select(*batch.columns, "part")
+    return out, ends.unionByName(kept)
+
+
 def recording_sink(df: DataFrame, path: str, checkpoint: str):
-    """Stream of packets to parts. A micro-batch holds whole segments (files are cut at segments)."""
+    """Stream of packets to parts, one folder per recording, micro-batch and part. Part numbers, the current shape and an open part outlast
+    the micro-batch, wherever it is cut; a batch that is repeated after a failure overwrites its own files and state."""
 
     def write(batch: DataFrame, epoch: int) -> None:
-        part_rows(batch).withColumn("epoch", F.lit(epoch)).write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic").partitionBy("stream_id", "epoch", "part").parquet(path)
+        state = _last_state(batch.sparkSession, f"{checkpoint}-parts", epoch)
+        out, new = continued_parts(batch, state)
+        out.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("stream_id", "epoch", "part").parquet(path)
+        new.write.mode("overwrite").parquet(f"{checkpoint}-parts/v={epoch}")
 
     return df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

@@ -51,12 +51,50 @@ class SlotSelect(Fold):
     def step(self, old, pdf):
         base = old[0] if old else int(pdf["time"].iloc[0])
         d = pdf["time"].to_numpy() - base
-        slot = np.where(d <= 0, 0, (d + self.interval // 2) // max(self.interval, 1))
+        if self.interval <= 0:  # no slots: every row counts
+            return (base, old[1] if old else -1), pdf.assign(slot=np.zeros(len(pdf), np.int64))
+        slot = np.where(d <= 0, 0, (d + self.interval // 2) // self.interval)
         before = np.maximum.accumulate(np.r_[old[1] if old else -1, slot])[:-1]
         out = pdf.assign(slot=slot)[slot > before]
         return (base, int(max(before[-1], slot[-1]))), out
 
 
+class Mix(StatefulProcessor):
+    """Sums of a stream's samples per frame and channel, by the stream's own clock: a frame is done when the newest frame
+    seen is ``lateness`` microseconds ahead of its end; rows of done frames are late. A row without a sample ends the
+    stream and everything is done. The state is what is still open, a few hundred milliseconds."""
+
+    def __init__(self, lateness: int, rate: int):
+        self.lateness, self.rate = lateness, rate
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("state", "done bigint, top bigint, pending binary")
+
+    def handleInputRows(self, key, rows, timerValues):
+        done, top, raw = self.state.get() if self.state.exists() else (-(1 << 62), -(1 << 62), b"")
+        open_ = np.frombuffer(bytes(raw), np.int64).reshape(-1, 3)
+        ended = False
+        for pdf in rows:
+            ended |= bool(pdf["sample"].isna().any())
+            pdf = pdf[pdf["sample"].notna() & (pdf["frame"] > done)]
+            if len(pdf):
+                new = np.stack([pdf["frame"].to_numpy(np.int64), pdf["ch"].to_numpy(np.int64), pdf["sample"].to_numpy(np.int64)], axis=1)
+                keys, at = np.unique(np.concatenate([open_, new])[:, :2], axis=0, return_inverse=True)
+                sums = np.zeros(len(keys), np.int64)
+                np.add.at(sums, at.ravel(), np.concatenate([open_, new])[:, 2])
+                open_ = np.concatenate([keys, sums[:, None]], axis=1)
+                top = max(top, int(new[:, 0].max()))
+        end = (open_[:, 0] + 1) * 1_000_000 // self.rate
+        ready = np.ones(len(open_), bool) if ended else end <= (top + 1) * 1_000_000 // self.rate - self.lateness
+        out, rest = open_[ready], open_[~ready]
+        done = max(done, top if ended else int(out[:, 0].max()) if len(out) else done)
+        self.state.update((done, top, rest.tobytes()))
+        yield pd.DataFrame({"stream_id": key[0], "frame": out[:, 0], "ch": out[:, 1].astype(np.int32), "sample": np.clip(out[:, 2], -32768, 32767).astype(np.int32)})
+
+    def close(self) -> None:
+        pass
+
+
 class GapFill(Fold):
     """One row per slot: short gaps take the arriving row, stalls repeat the last one."""
 

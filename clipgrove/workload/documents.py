@@ -98,7 +98,9 @@ def registry_docs(spark, sf):
 @query("s8_quarantine_bad_documents", """SELECT cast(clip_no AS string) AS doc FROM fx_overlay WHERE clip_no % 3 = 0""")
 def _(spark, sf):
     o = view(spark, sf, "fx_overlay")
-    doc = F.concat(F.lit('{"p":{"game":"g"}'), F.when(F.expr("clip_no % 3 = 0"), "").otherwise("}"))
+    # cut off, with text behind it, with a second field behind its end
+    end = F.element_at(F.array(F.lit(""), F.lit("}} junk"), F.lit('},"w":{"q":1}')), F.expr("cast(clip_no div 3 % 3 as int) + 1"))
+    doc = F.concat(F.lit('{"p":{"game":"g"}'), F.when(F.expr("clip_no % 3 = 0"), end).otherwise("}"))
     return D.split_corrupt(o.select(F.col("clip_no").cast("string").alias("doc"), doc.alias("value")), f"map<string, {D.META}>")[1].select("doc")
 
 

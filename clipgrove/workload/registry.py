@@ -115,15 +115,15 @@ def _(spark, sf):
     return R.rank_names(view(spark, sf, "fx_names"), "ring")
 
 
-@query("j28_pick_best_match", """WITH hits AS (SELECT idx % 97 AS query, idx, name, idx % 3 = 0 AS steam, idx % 2 = 0 AS typed FROM fx_names),
-w AS (SELECT idx AS query, name AS wanted FROM fx_names WHERE idx < 97), j AS (SELECT h.*, w.wanted, lower(h.name) = lower(w.wanted) AS exact FROM hits h JOIN w ON h.query = w.query),
+@query("j28_pick_best_match", """WITH hits AS (SELECT idx // 5 * 5 AS query, idx, name, idx % 3 = 0 AS steam, idx % 2 = 0 AS typed FROM fx_names),
+w AS (SELECT idx AS query, name AS wanted FROM fx_names), j AS (SELECT h.*, w.wanted, lower(h.name) = lower(w.wanted) AS exact FROM hits h JOIN w ON h.query = w.query),
 e AS (SELECT query, idx, name FROM j WHERE exact QUALIFY row_number() OVER (PARTITION BY query ORDER BY steam DESC, typed DESC, idx DESC) = 1),
 f AS (SELECT query, idx, name FROM j WHERE query NOT IN (SELECT query FROM e) QUALIFY row_number() OVER (PARTITION BY query ORDER BY idx) = 1)
 SELECT * FROM e UNION ALL SELECT * FROM f""")
 def _(spark, sf):
     n = view(spark, sf, "fx_names")
-    wanted = n.where("idx < 97").select(F.col("idx").alias("query"), F.expr("name AS wanted"))
-    hits = n.select(F.expr("idx % 97 AS query"), "idx", "name", F.expr("idx % 3 = 0 AS steam"), F.expr("idx % 2 = 0 AS has_types")).join(wanted, "query")
+    wanted = n.select(F.col("idx").alias("query"), F.expr("name AS wanted"))
+    hits = n.select(F.expr("idx div 5 * 5 AS query"), "idx", "name", F.expr("idx % 3 = 0 AS steam"), F.expr("idx % 2 = 0 AS has_types")).join(wanted, "query")
     return R.pick_game(hits).select("query", "idx", "name")
 
 

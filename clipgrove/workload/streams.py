@@ -43,11 +43,14 @@ def _(spark, sf):
     return run_steps(stepped(p.unionByName(r), "seq"), "step", STEPS, build, "ring")
 
 
-@query("r2_mix_stream", """WITH s AS (SELECT stream_id, frame * 480 AS frame, cast(source % 2 AS int) AS ch, sample FROM fx_samples)
-SELECT stream_id, frame, ch, cast(least(greatest(sum(sample), -32768), 32767) AS int) AS sample FROM s WHERE (frame + 1) * 1000000 // 48000 <= (SELECT (max(frame) + 1) * 1000 // 48000 * 1000 - 150000 FROM s) GROUP BY 1, 2, 3""")
+@query("r2_mix_stream", """WITH s AS (SELECT stream_id, frame * 480 + stream_id * 480000 AS frame, cast(source % 2 AS int) AS ch, sample FROM fx_samples)
+SELECT stream_id, frame, ch, cast(least(greatest(sum(sample), -32768), 32767) AS int) AS sample FROM s GROUP BY 1, 2, 3""")
 def _(spark, sf):
-    s = view(spark, sf, "fx_samples").select("stream_id", "source", (F.col("frame") * 480).alias("frame"), F.expr("cast(source % 2 AS int) AS ch"), "sample")
-    return run_steps(s.withColumn("step", F.when(F.col("frame") < 32 * 480, 0).otherwise(1)), "step", STEPS, R.mix_stream, "mix")
+    """Every stream starts ten seconds of frames after the one before; odd streams begin in the second step, and each is ended in a third."""
+    s = view(spark, sf, "fx_samples").select("stream_id", F.expr("frame * 480 + stream_id * 480000 AS frame"), F.expr("cast(source % 2 AS int) AS ch"), "sample",
+                                             F.expr("CASE WHEN frame < 32 AND stream_id % 2 = 0 THEN 0 ELSE 1 END AS step"))
+    ends = s.groupBy("stream_id").agg(F.max("frame").alias("frame")).select("stream_id", "frame", F.lit(0).alias("ch"), F.lit(None).cast(s.schema["sample"].dataType).alias("sample"), F.lit(2).alias("step"))
+    return run_steps(s.unionByName(ends), "step", 3, R.mix_stream, "mix")
 
 
 @query("r3_slot_dedup_stream", f"WITH {SQL_KEPT} SELECT stream_id, seq, slot FROM kept")
@@ -159,6 +162,17 @@ def _(spark, sf):
     return spark.read.parquet(path).select(F.col("stream_id").cast("bigint").alias("stream_id"), F.col("part").cast("bigint").alias("part"), "seq", "track")
 
 
+@query("s11_recording_sink", f"WITH {SQL_PARTS} SELECT r.stream_id, r.part, r.seq, r.track FROM r JOIN k ON r.stream_id = k.stream_id AND r.part = k.part WHERE seq >= k.k")
+def _(spark, sf):
+    """The stream in three micro-batches, each cut inside a segment and between keyframes."""
+    p = packets(spark, sf)
+    top = p.groupBy("stream_id").agg(F.max("seq").alias("_top"))
+    step = F.when(F.col("seq") < F.col("_top") * 0.31, 0).when(F.col("seq") < F.col("_top") * 0.67, 1).otherwise(2)
+    rows = p.join(top, "stream_id").withColumn("step", step).drop("_top")
+    path = run_sink(rows, "step", 3, R.recording_sink, "sink")
+    return spark.read.parquet(path).select(F.col("stream_id").cast("bigint").alias("stream_id"), F.col("part").cast("bigint").alias("part"), "seq", "track")
+
+
 @query("s10_daily_log_sink", """WITH d AS (SELECT DISTINCT substr(line, 1, 10) AS day FROM fx_logs ORDER BY day DESC LIMIT 7),
 r AS (SELECT substr(line, 1, 10) AS day, n, line, sum(strlen(line) + 1) OVER (PARTITION BY substr(line, 1, 10) ORDER BY n) AS b FROM fx_logs WHERE substr(line, 1, 10) IN (SELECT day FROM d))
 SELECT n, line FROM r WHERE b <= 9000 UNION ALL SELECT min(n), concat(day, ' 23:59:59.999 WARN  logs: day limit of 9000 bytes reached') FROM r WHERE b > 9000 GROUP BY day""")
@@ -167,5 +181,10 @@ def _(spark, sf):
     from clipgrove.streaming.drive import scratch
 
     path = scratch(spark, "daily")
-    write_daily(view(spark, sf, "fx_logs"), path, 9000)
+    logs = view(spark, sf, "fx_logs")
+    # two calls, most days in both
+    middle = logs.groupBy(F.substring("line", 1, 10).alias("_day")).agg(((F.min("n") + F.max("n")) / 2).alias("_mid"))
+    parts = logs.withColumn("_day", F.substring("line", 1, 10)).join(middle, "_day")
+    for half in (F.col("n") <= F.col("_mid"), F.col("n") > F.col("_mid")):
+        write_daily(parts.where(half).select(*logs.columns), path, 9000)
     return spark.read.parquet(path).select("n", "line")

@@ -29,11 +29,7 @@ def test_page_ties_and_deep_page(frame):
     assert [C.page(df, i, 1).first().path for i in range(3)] == ["a", "b", "c"]
     assert [r.path for r in C.page(df, 0, None, oldest=True).collect()] == ["c", "b", "a"]
     many = clips(frame, [(f"{i:05d}", i // 7) for i in range(3000)])
-    old, C.DEEP_PAGE = C.DEEP_PAGE, 10
-    try:
-        deep = [r.path for r in C.page(many, 1500, 40).collect()]
-    finally:
-        C.DEEP_PAGE = old
+    deep = [r.path for r in C.page(many, 1500, 40, top_rows=10).collect()]
     assert deep == [r.path for r in many.orderBy(*C.newest_first()).collect()][1500:1540]
 
 

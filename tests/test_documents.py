@@ -1,5 +1,5 @@
 from conftest import rows
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession, functions as F
 
 from clipgrove.functions import edits as E
 from clipgrove.operators import files as Z, registry as R
@@ -67,3 +67,35 @@ def test_usage_and_age(frame):
     f = frame("kind string, bytes bigint, mtime_ms bigint", [("a", 10, 0), ("a", 5, None), ("b", 1, 8 * Z.DAY_MS)])
     assert rows(Z.usage(f, frame("kind string", [("a",), ("b",), ("c",)]))) == [("a", 15), ("b", 1), ("c", 0), (None, 16)]
     assert rows(Z.stale(f, 8 * Z.DAY_MS), "bytes") == [(10,)]
+
+
+def test_daily_log_appends_within_the_budget(frame, tmp_path):
+    day = "2024-05-01 10:00:00.000 INFO  a: "
+    lines = [(i, day + "x" * 20) for i in range(30)]
+    size = len(lines[0][1]) + 1
+    path = str(tmp_path / "logs")
+    read = lambda: sorted((r.n, r.notice) for r in SparkSession.active().read.parquet(path).collect())
+    df = frame("n bigint, line string", lines)
+    L.write_daily(df.where("n < 5"), path, 12 * size)
+    assert [n for n, _ in read()] == [0, 1, 2, 3, 4]
+    L.write_daily(df.where("n >= 5 AND n < 9"), path, 12 * size)
+    L.write_daily(df.where("n >= 9 AND n < 20"), path, 12 * size)
+    assert read() == [(n, False) for n in range(12)] + [(12, True)]
+    L.write_daily(df.where("n >= 20"), path, 12 * size)
+    assert len(read()) == 13
+
+
+def test_budget_and_retention_per_machine(frame, tmp_path):
+    day = "2024-05-{:02d} 10:00:00.000 INFO  a: x"
+    rows_ = [(h, h * 1000 + d, day.format(d)) for h in (1, 2) for d in range(1, 11 if h == 1 else 4)]
+    path = str(tmp_path / "logs")
+    L.write_daily(frame("host bigint, n bigint, line string", rows_), path, machine="host")
+    got = {(r.host, str(r.day)) for r in SparkSession.active().read.parquet(path).collect()}
+    assert got == {(1, f"2024-05-{d:02d}") for d in range(4, 11)} | {(2, f"2024-05-{d:02d}") for d in range(1, 4)}
+
+
+def test_text_behind_a_document(frame):
+    docs = [("a", '{"p":{"game":"g"}}'), ("b", '{"p":{"game":"g"}}} junk'), ("c", '{"p":{"game":"g"}},"w":{"q":1}'), ("d", '{"p":{"game":"g"}} x'),
+            ("e", '{"p":{"game":"g"}}], ['), ("f", ""), ("g", None), ("h", ' {"p":{"game":"g"}}\n'), ("i", '{"p":{"game":"g"}},{}'), ("j", '{"p":')]
+    good, bad = D.split_corrupt(frame("doc string, value string", docs), f"map<string, {D.META}>")
+    assert [r[0] for r in rows(good, "doc")] == ["a", "h"] and [r[0] for r in rows(bad, "doc")] == list("bcdefgij")

@@ -26,15 +26,15 @@ def test_handshake_timeout(spark, frame, tmp_path):
 
 
 def test_mix_drops_only_late_frames(spark, frame):
-    """A packet that comes after the watermark loses the frames already written."""
+    """A packet that comes after its stream's clock has passed loses the frames already written."""
     schema = "stream_id bigint, source bigint, frame bigint, ch int, sample int, step int"
     first = [(1, 0, f, 0, 100, 0) for f in range(0, 48_000, 480)]
     late = [(1, 1, f, 0, 11, 1) for f in range(38_400, 48_000, 480)]
     end = [(1, 0, 96_000, 0, 1, 2)]
     out = run_steps(frame(schema, first + late + end), "step", 3, R.mix_stream, "late")
     got = {r.frame: r.sample for r in out.collect()}
-    # The first step ends at 990 ms, so frames that end by 840 ms are written before the second.
-    written = 840 * 48 - 1
+    # The first step ends with frame 47520, so frames 150 ms before it are written before the second.
+    written = 47_520 - 150 * 48
     assert got == {f: 111 if f > written else 100 for f in range(0, 48_000, 480)}
 
 
