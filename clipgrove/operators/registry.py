@@ -124,11 +124,11 @@ def detect(procs: DataFrame, owners: DataFrame, manifests: DataFrame, keys: list
     return out.withColumn("game", F.coalesce("_store", "_owner", by_hint)).withColumn("how", how).select(*procs.columns, "game", "how")
 
 
-def keep_last(seen: DataFrame, ends: DataFrame) -> DataFrame:
+def keep_last(seen: DataFrame, ends: DataFrame, keys: list[str] = ["session"]) -> DataFrame:
     """seen(session, seq, pid, game): with no game in front the last one stays while its process
-    lives; ends(pid, end_seq) tells when processes ended."""
-    e = ends.select("pid", "end_seq")
-    tagged = seen.join(e, "pid", "left")
+    lives; ends(<keys>, pid, end_seq) tells when processes ended. A pid means something only within ``keys``."""
+    e = ends.select(*keys, "pid", "end_seq")
+    tagged = seen.join(e, [*keys, "pid"], "left")
     mark = F.when(F.col("game").isNotNull(), F.struct("game", "end_seq"))
     out = running(tagged, ["session"], ["seq"], {"_last": Run("last", mark)}, rows_chunk("seq"))
     alive = F.col("_last.end_seq").isNull() | (F.col("_last.end_seq") > F.col("seq"))

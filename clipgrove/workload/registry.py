@@ -85,8 +85,8 @@ def _(spark, sf):
 
 
 @query("j11_keep_last", f"""WITH RECURSIVE {SQL_DETECT}, seen AS (SELECT stream_id AS session, seq, CASE WHEN seq % 3 = 0 THEN seq * 13 % (SELECT count(*) FROM fx_procs) + 1 END AS pid FROM fx_packets),
-ended AS (SELECT pid, pid * 40 % 9000 AS end_seq FROM fx_procs WHERE pid % 2 = 0),
-s AS (SELECT session, seq, seen.pid, d.game, end_seq, row_number() OVER (PARTITION BY session ORDER BY seq) AS r FROM seen LEFT JOIN d ON d.pid = seen.pid LEFT JOIN ended e ON e.pid = seen.pid),
+ended AS (SELECT session, pid, min(seq) + 25 + session AS end_seq FROM seen WHERE pid % 2 = 0 GROUP BY session, pid),
+s AS (SELECT seen.session, seq, seen.pid, d.game, end_seq, row_number() OVER (PARTITION BY seen.session ORDER BY seq) AS r FROM seen LEFT JOIN d ON d.pid = seen.pid LEFT JOIN ended e ON e.pid = seen.pid AND e.session = seen.session),
 f AS (SELECT session, seq, r, game AS current, end_seq FROM s WHERE r = 1
   UNION ALL SELECT s.session, s.seq, s.r, CASE WHEN s.game IS NOT NULL THEN s.game WHEN f.end_seq IS NULL OR f.end_seq > s.seq THEN f.current END,
     CASE WHEN s.game IS NOT NULL THEN s.end_seq ELSE f.end_seq END FROM f JOIN s ON s.session = f.session AND s.r = f.r + 1)
@@ -96,7 +96,7 @@ def _(spark, sf):
     n = view(spark, sf, "fx_procs").agg(F.count(F.lit(1)).alias("n"), F.lit(1).alias("one"))
     packets = view(spark, sf, "fx_packets").select(F.col("stream_id").alias("session"), "seq", F.lit(1).alias("one"))
     seen = packets.join(F.broadcast(n), "one").select("session", "seq", F.expr("CASE WHEN seq % 3 = 0 THEN seq * 13 % n + 1 END AS pid"))
-    ends = view(spark, sf, "fx_procs").where("pid % 2 = 0").select("pid", F.expr("pid * 40 % 9000 AS end_seq"))
+    ends = seen.where("pid % 2 = 0").groupBy("session", "pid").agg(F.expr("min(seq) + 25 + session AS end_seq"))
     return R.keep_last(seen.join(found, "pid", "left").select("session", "seq", "pid", "game"), ends).select("session", "seq", "current")
 
 
@@ -148,6 +148,37 @@ def _(spark, sf):
     return Q.session_owner(view(spark, sf, "fx_procs"), 7)
 
 
+SQL_HOSTS = """two AS (SELECT 0 AS host, pid, parent, exe FROM fx_procs UNION ALL SELECT 1, pid, (pid - 1) // 3, exe FROM fx_procs)"""
+
+
+def two_hosts(spark, sf):
+    """Equal pids on two machines, in different trees."""
+    p = view(spark, sf, "fx_procs")
+    return p.select(F.lit(0).alias("host"), "pid", "parent", "exe").unionByName(p.select(F.lit(1).alias("host"), "pid", F.expr("(pid - 1) div 3 AS parent"), "exe"))
+
+
+def of_hosts(spark, first, second):
+    return spark.sql(f"SELECT * FROM VALUES (0, {first}L), (1, {second}L) AS t(host, pid)")
+
+
+@query("j22_process_roots_hosts", f"""WITH RECURSIVE {SQL_HOSTS}, slots AS (SELECT * FROM (VALUES ('discord.exe', 0), ('game.exe', 2)) s(exe, slot)),
+cand AS (SELECT p.host, p.pid, s.slot FROM two p JOIN slots s ON p.exe = s.exe LEFT JOIN two u ON u.host = p.host AND u.pid = p.parent WHERE (u.pid IS NULL OR u.exe <> p.exe) AND p.pid <> 40 + p.host
+  UNION ALL SELECT host, pid, 1 FROM two WHERE pid = 40 + host),
+up AS (SELECT host, pid, parent AS anc FROM two WHERE parent <> 0 UNION ALL SELECT up.host, up.pid, p.parent FROM up JOIN two p ON p.host = up.host AND p.pid = up.anc WHERE p.parent <> 0)
+SELECT host, pid, slot FROM cand WHERE (host, pid) NOT IN (SELECT (up.host, up.pid) FROM up JOIN cand c ON c.host = up.host AND c.pid = up.anc)""")
+def _(spark, sf):
+    return Q.process_roots(two_hosts(spark, sf), ["discord.exe", None, "game.exe"], of_hosts(spark, 40, 41), ["host"])
+
+
+@query("j23_session_owner_hosts", f"""WITH RECURSIVE {SQL_HOSTS}, up AS (SELECT host, pid, pid AS anc FROM two UNION ALL SELECT up.host, up.pid, p.parent FROM up JOIN two p ON p.host = up.host AND p.pid = up.anc WHERE p.parent <> 0),
+own AS (SELECT host, pid, bool_or(anc = 7 + host) AS mine FROM up GROUP BY host, pid),
+web AS (SELECT host, pid, pid AS cur, 0 AS d FROM two UNION ALL SELECT w.host, w.pid, p.parent, d + 1 FROM web w JOIN two p ON p.host = w.host AND p.pid = w.cur WHERE p.exe = 'msedgewebview2.exe'),
+o AS (SELECT host, pid, arg_max(cur, d) AS owner FROM web GROUP BY host, pid)
+SELECT o.host, o.pid, CASE WHEN NOT mine THEN owner END AS owner FROM o JOIN own ON own.pid = o.pid AND own.host = o.host""")
+def _(spark, sf):
+    return Q.session_owner(two_hosts(spark, sf), of_hosts(spark, 7, 8), ["host"])
+
+
 @query("a18_merge_sessions", """WITH s AS (SELECT idx, concat(CASE WHEN idx % 2 = 0 THEN 'APP' ELSE 'app' END, cast(idx % 61 AS string), '.exe') AS exe, idx % 7 = 0 AS active, name FROM fx_registry)
 SELECT lower(exe) AS key, bool_or(active) AS active, arg_min(exe, idx) AS exe, arg_min(name, idx) AS name FROM s GROUP BY lower(exe)""")
 def _(spark, sf):
