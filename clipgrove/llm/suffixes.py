@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -121,23 +122,21 @@ def suffix_order(text: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray
     larger ones (type A) to a wanted one. Stage two scans the buckets of first symbols upwards: the suffix before each entry, if
     of type A, is the next of its own bucket."""
     n = len(text)
-    diff = np.sign(text[1:].astype(np.int32) - text[:-1])
+    place = np.arange(n, dtype=np.int32)
+    backward = lambda x: np.minimum.accumulate(x[::-1])[::-1]
+    diff = np.sign(text[1:].astype(np.int32) - text[:-1]).astype(np.int8)
     # the sign of the next change, equal neighbours having the type of the one behind
-    change = np.where(diff != 0, np.arange(n - 1), n)
-    after = np.minimum.accumulate(change[::-1])[::-1]
+    after = backward(np.where(diff != 0, place[:-1], np.int32(n)))
     small = np.ones(n, bool)
     small[:-1] = (diff[np.minimum(after, n - 2)] > 0) | (after == n)
-    need = np.zeros(n, bool)
-    need[wanted] = True
     # a chain runs from a wanted type A suffix to the next type B one
-    ends = np.where(small, np.arange(n), n)
-    chain = np.minimum.accumulate(ends[::-1])[::-1][wanted]
+    chain = backward(np.where(small, place, np.int32(n)))[wanted]
     cover = np.zeros(n + 1, np.int32)
     np.add.at(cover, wanted, 1)
     np.add.at(cover, chain + 1, -1)
-    need |= np.cumsum(cover[:n]) > 0
-    direct = np.flatnonzero(need & small)
-    stop = np.minimum.accumulate(np.where(text == 0, np.arange(n), n)[::-1])[::-1]
+    need = np.cumsum(cover[:n]) > 0
+    direct = np.flatnonzero(need & small).astype(np.int32)
+    stop = backward(np.where(text == 0, place, np.int32(n)))
     direct = direct[_direct(text, direct, stop, depth)]
     heads = text[direct]
     edge = np.searchsorted(heads, np.arange(int(text.max()) + 2))
@@ -179,28 +178,30 @@ def suffix_order(text: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray
 
 
 def _direct(text: np.ndarray, at: np.ndarray, stop: np.ndarray, depth: int) -> np.ndarray:
-    """Order of the suffixes at ``at`` by their first ``depth`` symbols, those behind the end of a string left out: 4 symbols at a time,
-    and again only where the order is open."""
-    order = np.arange(len(at))
-    group = np.zeros(len(at), np.int64)  # open groups, in order of place
-    places = np.arange(len(at))
-    padded = np.concatenate([text, np.zeros(depth + 8, text.dtype)]).astype(np.uint64)
-    packed = padded[:-3] << np.uint64(48) | padded[1:-2] << np.uint64(32) | padded[2:-1] << np.uint64(16) | padded[3:]
-    for d in range(0, depth, 4):
+    """Order of the suffixes at ``at`` by their first ``depth`` symbols, those behind the end of a string left out: 7 symbols of 9 bits
+    at a time, and again only where the order is open."""
+    order = np.arange(len(at), dtype=np.int32)
+    group = np.zeros(len(at), np.int32)  # open groups, in order of place
+    places = np.arange(len(at), dtype=np.int32)
+    padded = np.concatenate([text, np.zeros(7, text.dtype)])
+    masks = np.array([(1 << 63) - (1 << 9 * (7 - k)) for k in range(8)], np.uint64)
+    for d in range(0, depth, 7):
         if not len(places):
             break
         i = at[order[places]] + d
-        room = stop[at[order[places]]] - i
-        key = np.where(room > 0, packed[np.minimum(i, len(packed) - 1)], np.uint64(0))
-        for k, mask in ((1, 0xFFFF000000000000), (2, 0xFFFFFFFF00000000), (3, 0xFFFFFFFFFFFF0000)):
-            key = np.where(room == k, key & np.uint64(mask), key)
+        room = np.clip(stop[at[order[places]]] - i, 0, 7)
+        i = np.minimum(i, len(text) - 1)
+        key = np.zeros(len(i), np.uint64)
+        for k in range(7):
+            key = key << np.uint64(9) | padded[i + k].astype(np.uint64)
+        key &= masks[room]
         sub = np.lexsort((key, group))
         order[places] = order[places][sub]
         key, g = key[sub], group[sub]
-        same = (key[1:] == key[:-1]) & (g[1:] == g[:-1]) & (key[1:] & np.uint64(0xFFFF) > 0)
+        same = (key[1:] == key[:-1]) & (g[1:] == g[:-1]) & (key[1:] & np.uint64(511) > 0)
         head = np.concatenate([[True], ~same])
         open_ = ~head | np.concatenate([~head[1:], [False]])
-        group = np.cumsum(head)[open_]
+        group = np.cumsum(head, dtype=np.int32)[open_]
         places = places[open_]
     return order
 
@@ -219,45 +220,67 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarr
     return out
 
 
-def _repeats(s: Settings):
-    def marked(docs: list, at: np.ndarray, bodies: list[bytes]) -> pa.RecordBatch:
-        size = np.array([len(b) for b in bodies])
-        base = np.cumsum(size + 1) - size - 1
-        text = np.zeros(int(size.sum()) + len(bodies), np.uint16)
-        inside = np.ones(len(text), bool)
-        inside[base + size] = False
-        text[inside] = np.frombuffer(b"".join(bodies), np.uint8).astype(np.uint16) + 1
-        count = size - s.length + 1
-        row = np.repeat(np.arange(len(bodies)), count)
-        wanted = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + base[row]
-        order = suffix_order(text, wanted, s.length)
+def _hits(bodies: list[bytes], s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(body, first start, last start) of the rows of neighbouring windows that also start elsewhere in ``bodies``. Of more than 8
+    shards of starts, a share by window hash is sorted at a time: equal windows have one hash."""
+    size = np.array([len(b) for b in bodies], np.int32)
+    base = (np.cumsum(size + 1) - size - 1).astype(np.int32)
+    text = np.zeros(int(size.sum()) + len(bodies), np.uint16)
+    inside = np.ones(len(text), bool)
+    inside[base + size] = False
+    text[inside] = np.frombuffer(b"".join(bodies), np.uint8)
+    text[inside] += 1
+    count = size - s.length + 1
+    row = np.repeat(np.arange(len(bodies), dtype=np.int32), count)
+    wanted = (np.arange(len(row), dtype=np.int32) - np.repeat(np.cumsum(count) - count, count) + base[row]).astype(np.int32)
+    passes = -(-len(wanted) // (8 * s.shard))
+    share = np.zeros(len(wanted), np.int64)
+    if passes > 1:
+        power, inverse = tables().upto(len(text) + 1)
+        prefix = np.zeros(len(text) + 1, np.uint64)
+        np.cumsum(mix(text.astype(np.uint64)) * power[:len(text)], out=prefix[1:])
+        share = (mix((prefix[wanted + s.length] - prefix[wanted]) * inverse[wanted]) % np.uint64(passes)).astype(np.int64)
+    hit = np.zeros(len(text), bool)
+    for j in range(passes):
+        order = suffix_order(text, wanted[share == j], s.length)
         equal = common_prefixes(text, order, s.length) >= s.length
-        hit = np.zeros(len(text), bool)
         hit[order[1:][equal]] = True
         hit[order[:-1][equal]] = True
-        w = np.flatnonzero(hit[wanted])
-        # neighbouring starts of a row make one span
-        first = np.concatenate([[True], (np.diff(w) > 1) | (np.diff(row[w]) > 0)]) if len(w) else np.zeros(0, bool)
-        x = np.flatnonzero(first)
-        y = np.append(x[1:], len(w)) - 1 if len(w) else x
-        r = row[w[x]]
-        start = at[r] + wanted[w[x]] - base[r]
-        return pa.record_batch([pa.array([docs[i] for i in r], pa.int64()), pa.array(start, pa.int64()), pa.array(start + w[y] - w[x] + s.length, pa.int64())], names=["doc_id", "from", "to"])
+    w = np.flatnonzero(hit[wanted])
+    first = np.concatenate([[True], (np.diff(w) > 1) | (np.diff(row[w]) > 0)]) if len(w) else np.zeros(0, bool)
+    x = np.flatnonzero(first)
+    y = np.append(x[1:], len(w)) - 1 if len(w) else x
+    r = row[w[x]]
+    return r, wanted[w[x]] - base[r], wanted[w[y]] - base[r]
+
+
+def _repeats(s: Settings):
+    def marked(rows: dict[bytes, list[tuple[int, int]]]) -> Iterator[pa.RecordBatch]:
+        """Equal runs are sorted once and are repeats as a whole."""
+        bodies, places = list(rows), list(rows.values())
+        body, first, last = _hits(bodies, s)
+        once = [(d, at + f, at + t + s.length) for i, f, t in zip(body.tolist(), first.tolist(), last.tolist()) if len(places[i]) == 1 for d, at in places[i]]
+        more = ((d, at, at + len(b)) for b, p in rows.items() if len(p) > 1 for d, at in p)
+        found = chain(once, more)
+        while part := list(islice(found, 1 << 16)):
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*part)], names=["doc_id", "from", "to"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, at, bodies, held, now = [], [], [], 0, None
+        rows, held, now = {}, 0, None
         for batch in batches:
-            for h, d, a, b in zip(batch.column("h").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("at").to_pylist(), batch.column("bytes").to_pylist()):
-                if held >= s.shard and h != now:
-                    yield marked(docs, np.array(at), bodies)
-                    docs, at, bodies, held = [], [], [], 0
-                now = h
-                docs.append(d)
-                at.append(a)
-                bodies.append(b)
-                held += len(b) - s.length + 1
-        if docs:
-            yield marked(docs, np.array(at), bodies)
+            for i in range(0, len(batch), 1024):
+                part = batch.slice(i, 1024).to_pydict()
+                for h, d, a, b in zip(part["h"], part["doc_id"], part["at"], part["bytes"]):
+                    if held >= s.shard and h != now:
+                        yield from marked(rows)
+                        rows, held = {}, 0
+                    now = h
+                    if (p := rows.get(b)) is None:
+                        rows[b] = p = []
+                        held += len(b) - s.length + 1
+                    p.append((d, a))
+        if rows:
+            yield from marked(rows)
 
     return run
 
