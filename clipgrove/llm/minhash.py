@@ -96,14 +96,9 @@ def set_maker(words: int, wanted):
     return run
 
 
-def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.record_batch([pa.array(signed(mix(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))))], names=["x"])
-
-
 def _read_sets(ids: DataFrame, docs: DataFrame, plan: Plan) -> DataFrame:
     """id, shingles of the documents in ``ids`` (id); their texts are not shuffled."""
-    wanted = docs.sparkSession.sparkContext.broadcast(bit_filter(ids.select("id").mapInArrow(_hashed, "x long"), "x"))
+    wanted = docs.sparkSession.sparkContext.broadcast(bit_filter(ids, "id", hashed=False))
     return docs.mapInArrow(set_maker(plan.words, wanted), "doc_id long, shingles array<long>").withColumnRenamed("doc_id", "id").dropDuplicates(["id"])
 
 

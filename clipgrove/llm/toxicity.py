@@ -69,7 +69,8 @@ def _examples(bits: int):
 
 
 def ftrl(rows: list[tuple[np.ndarray, int]], s: Settings) -> tuple[float, np.ndarray, np.ndarray]:
-    """(bias, indexes, weights) after ``epochs`` passes over the rows, (features, label), in their order."""
+    """(bias, indexes, weights) after ``epochs`` passes over the rows, (features, label), in their order. The list is emptied as the rows
+    are taken over, so they are in memory once."""
     z, n = np.zeros((1 << s.bits) + 1), np.zeros((1 << s.bits) + 1)
     bias = 1 << s.bits
 
@@ -78,9 +79,13 @@ def ftrl(rows: list[tuple[np.ndarray, int]], s: Settings) -> tuple[float, np.nda
         l1 = np.where(i == bias, 0.0, s.l1)
         return np.where(np.abs(zi) <= l1, 0.0, -(zi - np.sign(zi) * l1) / ((s.beta + np.sqrt(n[i])) / s.alpha + s.l2))
 
-    rows = [(np.append(f.astype(np.int64), bias), y) for f, y in rows]
+    rows.reverse()
+    taken = []
+    while rows:
+        f, y = rows.pop()
+        taken.append((np.append(f.astype(np.int32), np.int32(bias)), y))
     for _ in range(s.epochs):
-        for i, y in rows:
+        for i, y in taken:
             w = weights(i)
             g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - y
             before = n[i]
@@ -94,10 +99,11 @@ def ftrl(rows: list[tuple[np.ndarray, int]], s: Settings) -> tuple[float, np.nda
 
 def _trainer(s: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [(np.frombuffer(f, np.uint32), y) for b in batches for f, y in zip(b.column("features").to_pylist(), b.column("label").to_pylist())]
-        if rows:
+        rows = [(np.frombuffer(f.as_py(), np.uint32), y) for b in batches for f, y in zip(b.column("features"), b.column("label").to_pylist())]
+        n = len(rows)
+        if n:
             bias, index, weight = ftrl(rows, s)
-            yield pa.record_batch([pa.array([len(rows)]), pa.array([bias]), pa.array([index.tobytes()], pa.binary()), pa.array([weight.tobytes()], pa.binary())],
+            yield pa.record_batch([pa.array([n]), pa.array([bias]), pa.array([index.tobytes()], pa.binary()), pa.array([weight.tobytes()], pa.binary())],
                                   names=["n", "bias", "at", "weight"])
 
     return run
