@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of passages to test items."""
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of passages to test items."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from clipgrove.llm.bits import bit_filter, passes
 from clipgrove.llm.words import lists, mix, signed, text_slices, word_hashes, word_spans
@@ -18,13 +18,11 @@ AWAY = np.uint64(0x9E3779B97F4A7C15)
 
 @dataclass(frozen=True)
 class Settings:
-    """``words`` per seed; the rarest seed of every ``window`` neighbours is used; ``reach``: words that a
-    passage has on either side of a seed, as a multiple of the longest item that holds the seed;
+    """``words`` per seed; ``reach``: words that a passage has on either side of a seed, as a multiple of the longest item;
     ``match``, ``other`` and ``gap`` score the alignment; ``least``: share of the best possible score of the
     item from which on a document counts as contaminated; ``filter_bits``: size of the seed filter."""
 
     words: int = 3
-    window: int = 3
     reach: float = 1.25
     match: float = 2.0
     other: float = -1.0
@@ -143,6 +141,23 @@ def align(items: list[np.ndarray], passages: list[np.ndarray], s: Settings) -> t
     return best, begin, end
 
 
+def at_most(items: list[np.ndarray], passages: list[np.ndarray], s: Settings) -> np.ndarray:
+    """A bound on the Smith-Waterman score of each item in its passage: every word of either side that an alignment covers
+    is matched, if the other side has it at all, or costs. So no score is above the best stretch of each side on its own."""
+
+    def best(own: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
+        deep = np.array([len(x) for x in own])
+        row = np.repeat(np.arange(len(own), dtype=np.uint64), deep)
+        there = np.repeat(np.arange(len(own), dtype=np.uint64), [len(x) for x in others])
+        known = np.isin(mix(np.concatenate(own) + row * AWAY), mix(np.concatenate(others) + there * AWAY))
+        gain = np.zeros((len(own), deep.max() + 1))
+        gain[:, 1:][np.arange(deep.max()) < deep[:, None]] = np.where(known, s.match, max(s.other, s.gap))
+        total = gain.cumsum(axis=1)
+        return (total - np.minimum.accumulate(total, axis=1)).max(axis=1)
+
+    return np.minimum(best(items, passages), best(passages, items))
+
+
 def _aligner(s: Settings, cells: int = 1 << 17):
     names = ["doc_id", "item_id", "score", "identity", "word_from", "word_to"]
 
@@ -155,10 +170,14 @@ def _aligner(s: Settings, cells: int = 1 << 17):
                 end = at + 1
                 while end < len(order) and int(wide[order[end]] + 1) * (end + 1 - at) <= cells:
                     end += 1
-                take = pa.array(order[at:end])
-                part = batch.take(take)
+                part = batch.take(pa.array(order[at:end]))
+                at = end
                 items = [x.values.to_numpy(zero_copy_only=False).view(np.uint64) for x in part.column("item_words")]
                 texts = [x.values.to_numpy(zero_copy_only=False).view(np.uint64) for x in part.column("words")]
+                may = np.flatnonzero(at_most(items, texts, s) / (s.match * np.array([max(1, len(x)) for x in items])) >= s.least)
+                if not len(may):
+                    continue
+                part, items, texts = part.take(pa.array(may)), [items[i] for i in may], [texts[i] for i in may]
                 best, lo, hi = align(items, texts, s)
                 share = best / (s.match * np.array([max(1, len(x)) for x in items]))
                 keep = share >= s.least
@@ -166,7 +185,6 @@ def _aligner(s: Settings, cells: int = 1 << 17):
                 mask = pa.array(keep)
                 yield pa.record_batch([part.column("doc_id").filter(mask), part.column("item_id").filter(mask), pa.array(best[keep]), pa.array(share[keep]),
                                        pa.array((start + lo)[keep]), pa.array((start + hi)[keep])], names=names)
-                at = end
 
     return run
 
@@ -177,8 +195,10 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, settings: Settings
     an alignment of at least ``least``. Ties go to the earliest place.
 
     A filter of fixed size picks the documents' n-grams that may be seeds, and passages around them; the real
-    seeds come by a join. Of the seeds of an item the rarest in the corpus within every ``window`` count, equally
-    rare ones all, so every stretch of an item has one and common phrases start no alignment. Words are runs of
+    seeds come by a join. Every seed of an item counts, however frequent: a passage is aligned to every item that it shares a
+    run of ``words`` words with, unless a bound on the score (``at_most``) rules it out, so what other documents hold
+    changes nothing. An alignment without such a run (every third word changed, at a share of 0.5) is not found. A phrase
+    that many items and many documents share costs a row and the bound for each pair of them. Words are runs of
     letters and digits in lower case. Documents and items that are null, empty or without words match nothing;
     rows with a null id are ignored; repeated rows of an item count once (the first words), repeated
     documents give their pairs once. Only the id and text columns are read."""
@@ -191,14 +211,8 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, settings: Settings
     short = [r[0] for r in items.filter(F.size("words") < s.words).select(F.size("words")).distinct().collect()]  # fewer than s.words values
     shared = docs.sparkSession.sparkContext.broadcast((bit_filter(spans, "seed", s.filter_bits), int(longest * s.reach) + s.words, short))
     found = cut(docs.mapInArrow(_passages(shared, s), "doc_id long, start long, words array<long>, seeds array<long>"))
-    common = found.select("doc_id", F.explode("seeds").alias("seed")).distinct().groupBy("seed").agg(F.count("*").alias("docs"))
-    placed = items.select("item_id", F.posexplode("seeds").alias("at", "seed")).join(common, "seed").filter("docs > 0")
-    # every stretch of s.window neighbours keeps its rarest: a seed counts if it is least in one of the stretches around it
-    by = W.partitionBy("item_id").orderBy("at")
-    ahead = F.min("docs").over(by.rangeBetween(0, s.window - 1))
-    rare = (placed.withColumn("least", ahead).withColumn("least", F.max("least").over(by.rangeBetween(1 - s.window, 0)))
-            .filter("docs <= least").select("item_id", "seed").distinct())
-    hits = (found.select("doc_id", "start", F.explode(F.array_distinct("seeds")).alias("seed")).join(rare, "seed")
+    seeds = items.select("item_id", F.explode(F.array_distinct("seeds")).alias("seed"))
+    hits = (found.select("doc_id", "start", F.explode(F.array_distinct("seeds")).alias("seed")).join(seeds, "seed")
             .select("doc_id", "start", "item_id").distinct())
     pairs = (hits.join(found.select("doc_id", "start", "words").dropDuplicates(["doc_id", "start"]), ["doc_id", "start"])
              .join(items.select("item_id", F.col("words").alias("item_words")), "item_id"))

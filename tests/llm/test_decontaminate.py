@@ -52,6 +52,35 @@ def test_edited_copies(spark):
     assert (900, 20) in got and not any(i == 901 for i, _ in got)
 
 
+def test_edited_copies_beside_exact_ones(spark):
+    """Exact copies make the seeds that an edited copy lacks the rarer ones."""
+    rng = random.Random(3)
+    items = [[f"v{k}x{i}" for i in range(20 if k == 0 else rng.randrange(16, 60))] for k in range(60)]
+    docs, want, s = [(k, " ".join(w)) for k, w in enumerate(items)], {(k, k): 1.0 for k in range(60)}, D.Settings()
+    for k, w in enumerate(items):
+        for n, share in enumerate((0.2, 0.25, 0.33)):
+            # the words that replace others stand in many documents
+            copy = [f"e{i % 7}" if (i % 5 == 4 if k == 0 else rng.random() < share) else x for i, x in enumerate(w)]
+            i = 1000 + 10 * k + n
+            docs.append((i, "before " + " ".join(copy) + " behind"))
+            x = smith_waterman(w, copy, s) / (s.match * len(w))
+            if x >= s.least and any(w[j:j + s.words] == copy[j:j + s.words] for j in range(len(w) - s.words + 1)):
+                want[i, k] = x
+    got = {(r.doc_id, r.item_id): r.identity for r in
+           D.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")).collect()}
+    assert (1000, 0) in want and set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+
+
+def test_bound_is_above_every_score():
+    rng = np.random.default_rng(6)
+    s = D.Settings()
+    items = [rng.integers(1, 30, rng.integers(1, 15)).astype(np.uint64) for _ in range(200)]
+    texts = [rng.integers(1, 30, rng.integers(1, 60)).astype(np.uint64) for _ in range(200)]
+    top = D.at_most(items, texts, s)
+    assert all(top[i] >= smith_waterman(a.tolist(), b.tolist(), s) for i, (a, b) in enumerate(zip(items, texts)))
+    assert (top < s.least * s.match * np.array([len(x) for x in items])).any()
+
+
 def test_odd_rows(spark, odd, empty, small):
     bench = spark.read.parquet(f"{small}/benchmark.parquet")
     assert D.contaminated(odd, bench).count() == 0 and D.contaminated(empty, bench).count() == 0 and D.contaminated(odd, bench.limit(0)).count() == 0
