@@ -23,7 +23,6 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 RECORDS_PER_FILE = 4000
 VERSION = "WARC/1.1"
 MAGIC = b"WARC/1.1\r\n"
-HEADER_BYTES = 1 << 16
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -79,29 +78,43 @@ def _plain(content: bytes) -> bytes:
     return b"".join(out)
 
 
-def _header(data: bytes, at: int) -> tuple[int, dict[str, str]] | None:
-    """(length of the header, fields) of a record that may start at ``at``."""
-    end = data.find(b"\r\n\r\n", at, at + HEADER_BYTES)
-    if end < 0:
-        return None
+def _header(data: bytes, at: int) -> tuple[int, dict[str, str]]:
+    """(length of the header, fields) of the record at ``at``."""
+    end = data.find(b"\r\n\r\n", at)
     fields = {}
     for row in data[at + len(MAGIC):end].split(b"\r\n"):
-        name, colon, value = row.partition(b":")
-        if not colon:
-            return None
+        name, _, value = row.partition(b":")
         fields[name.decode("latin-1").lower()] = value.strip().decode("utf-8", "replace")
-    return (end + 4 - at, fields) if fields.get("content-length", "").isdigit() else None
+    return end + 4 - at, fields
+
+
+def _starts(data: bytes) -> Iterator[tuple[int, int]]:
+    """(at, after): places where a record could start, and where its successor would. A header has any length. Places before
+    the same empty line share its rows, which are read once, so magic words within a long header or payload cost no more."""
+    end, last, length = -1, -1, (-1, 0)
+    for m in re.finditer(re.escape(MAGIC), data):
+        if m.start() > end:
+            end, row = data.find(b"\r\n\r\n", m.start()), m.end()
+            if end < 0:
+                return
+            last, length = -1, (-1, 0)  # the last row that is no field, the last length and its row
+            for x in data[row:end].split(b"\r\n"):
+                name, colon, value = x.partition(b":")
+                if not colon:
+                    last = row
+                if name.lower() == b"content-length":
+                    length = row, int(value) if re.fullmatch(rb"\s*[0-9]{1,18}\s*", value) else -1
+                row += len(x) + 2
+        if last < m.end() <= length[0] and length[1] >= 0:
+            after = end + 4 + length[1] + 4
+            if after <= len(data) and data[after - 4:after] == b"\r\n\r\n":
+                yield m.start(), after
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
-            data, found = _plain(content.as_py()), []
-            for m in re.finditer(re.escape(MAGIC), data):
-                if h := _header(data, m.start()):
-                    after = m.start() + h[0] + int(h[1]["content-length"]) + 4
-                    if after <= len(data) and data[after - 4:after] == b"\r\n\r\n":
-                        found.append((m.start(), after))
+            found = list(_starts(_plain(content.as_py())))
             yield pa.record_batch([pa.array([path] * len(found), pa.string()), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())],
                                   names=["path", "at", "after"])
 
@@ -156,7 +169,7 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """The records of all files under ``path``: path, at, page_id, url, record_type, refers_to, payload_bytes, payload_digest, intact
     (a response's payload has its digest), payload (empty for a revisit). A file that breaks off keeps the records
-    before the break; files without a record at their start, and an empty folder, give none. A task holds one file."""
+    before the break; files without a record at their start, and an empty folder, give none. Headers (urls) have any length. A task holds one file."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     found = reachable(cut(files.mapInArrow(_candidates, "path string, at long, after long")))
     places = found.groupBy("path").agg(F.collect_list("at").alias("places"))  # as many as the file has records

@@ -1,6 +1,7 @@
 import gzip
 import hashlib
 import base64
+import random
 
 from clipgrove.llm import warc
 
@@ -42,3 +43,33 @@ def test_broken_file_keeps_what_the_start_reaches(spark, tmp_path):
     (tmp_path / "d.warc").write_bytes(record(300, FAKE) + b"garbage" + record(301, "x"))
     got = sorted(r.page_id for r in warc.read_archives(spark, str(tmp_path)).collect())
     assert got == [*range(39), *range(100, 105), 300]
+
+
+def test_header_of_any_length(spark, tmp_path):
+    long = "data:text/html," + "x" * 70_000
+    rows = [(1, "u", "a"), (2, long, "b"), (3, "http://a/?WARC/1.1\r\n", "c"), (4, long + "é" * 200_000, "d"), (5, "u", "e")]
+    warc.write_archives(pages(spark, rows).coalesce(1), f"{tmp_path}/w")
+    got = {r.page_id: (r.url, bytes(r.payload), r.intact) for r in warc.read_archives(spark, f"{tmp_path}/w").collect()}
+    assert got == {i: (url.replace("\r\n", "%0A"), html.encode(), True) for i, url, html in rows}
+
+
+def test_places_are_those_of_single_headers():
+    """Magic words in rows, values and payloads, twice in a header, and lengths that are no numbers."""
+    pieces = [b"WARC/1.1\r\n", b"X: WARC/1.1\r\n", b"Content-Length: 5\r\n", b"content-length: 0\r\n", b"Content-Length: \xc2\xb2\r\n", b"row\r\n", b"\r\n", b"hello\r\n\r\n", b"\r\n\r\n"]
+    rng = random.Random(2)
+    some = 0
+    for _ in range(10_000):
+        data = b"".join(rng.choice(pieces) for _ in range(rng.randrange(1, 14)))
+        want = []
+        for at in range(len(data)):
+            if data.startswith(warc.MAGIC, at):
+                end = data.find(b"\r\n\r\n", at)
+                rows = [r.partition(b":") for r in data[at + 10:max(end, at + 10)].split(b"\r\n")]
+                value = {r[0].lower(): r[2].strip() for r in rows}.get(b"content-length", b"")
+                if end >= 0 and all(r[1] for r in rows) and value.isdigit():
+                    after = end + 8 + int(value)
+                    if data[after - 4:after] == b"\r\n\r\n" and after <= len(data):
+                        want.append((at, after))
+        assert list(warc._starts(data)) == want
+        some += len(want)
+    assert some > 50
