@@ -5,10 +5,17 @@ phase is released at slot floor(j * Q / a) and due by ceil((j + 1) * Q / a); ear
 any slot of a phase every source has had less than one block more or less than its share. The schedule repeats
 after Q slots, so one period of it, as arrays of slots per source, places any number of blocks. A phase ends when a
 source has had its last block; the others go on in a new phase with their weights over the new sum.
+
+Periods as arrays are for few sources. With more, the same schedule is made block by block, with heaps, in one task that
+holds a row per source and writes a row per block.
 """
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from clipgrove.session import cut
@@ -55,13 +62,88 @@ def phases(blocks: DataFrame) -> DataFrame:
         F.expr("p.places[i]").alias("places"))
 
 
+def steps(sources: list[tuple[int, int]]) -> Iterator[tuple[int, int, int, int, int]]:
+    """(place of the source in the list, block, slot, release, due) of every block of ``sources`` (weight, blocks): the schedule of ``phases``.
+
+    Sources that have had no block of the phase have equal dates if their weights are equal, so they wait in a heap per
+    weight; the others are in ``ready`` by due slot or in ``later`` by release. A new phase moves only these, so the
+    time is that of the blocks, whatever the number of phases."""
+    left = [n for _, n in sources]
+    fresh: dict[int, list[int]] = {}
+    for i, (a, _) in enumerate(sources):
+        fresh.setdefault(a, []).append(i)  # ascending, so a heap
+    heavy = sorted(fresh, reverse=True)
+    had = [0] * len(sources)  # in the phase
+    block = [0] * len(sources)
+    q, start, slot, ready, later = sum(a for a, _ in sources), 0, 0, [], []
+    while q:
+        t = slot - start
+        while later and later[0][0] <= t:
+            _, due, i = heapq.heappop(later)
+            heapq.heappush(ready, (due, i))
+        best = ready[0] if ready else None
+        for a in heavy:
+            due = -(-q // a)
+            if best and due > best[0]:
+                break  # lighter sources are due later
+            if best is None or (due, fresh[a][0]) < best:
+                best = due, fresh[a][0]
+        due, i = best
+        a = sources[i][0]
+        if ready and ready[0] == best:
+            heapq.heappop(ready)
+        else:
+            heapq.heappop(fresh[a])
+            if not fresh[a]:
+                del fresh[a]
+                heavy.remove(a)
+        yield i, block[i], slot, start + had[i] * q // a, start + due
+        block[i] += 1
+        had[i] += 1
+        left[i] -= 1
+        slot += 1
+        if left[i]:
+            heapq.heappush(later, (had[i] * q // a, -(-(had[i] + 1) * q // a), i))
+            continue
+        for k in (x[-1] for x in (*ready, *later)):
+            had[k] = 0
+            if sources[k][0] not in fresh:
+                fresh[sources[k][0]] = []
+                heavy = sorted(fresh, reverse=True)
+            heapq.heappush(fresh[sources[k][0]], k)
+        q, start, ready, later = q - a, slot, [], []
+
+
+def _schedule(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names, sources = [], []
+    for b in batches:
+        names.append(b.column("source"))
+        sources += zip(b.column("weight").to_pylist(), b.column("blocks").to_pylist())
+    if not sources:
+        return
+    names, rows = pa.concat_arrays(names), []
+
+    def pack():
+        i, *rest = zip(*rows)
+        return pa.record_batch([names.take(pa.array(i)), *(pa.array(x, pa.int64()) for x in rest)], names=["source", "block", "slot", "release", "due"])
+
+    for row in steps(sources):
+        rows.append(row)
+        if len(rows) == 10_000:
+            yield pack()
+            rows = []
+    if rows:
+        yield pack()
+
+
 def mix(documents: DataFrame, weights: DataFrame, block: int = 64, default: int = 1) -> DataFrame:
     """doc_id, source, block, slot, offset, release, due for every row of ``documents`` (doc_id, source): block
     ``block`` of its source comes in slot ``slot``; ``offset`` is its place in the block. Ordering by slot, offset
     is the mix.
 
-    ``weights``: (source, weight), positive integers, at most MAX_SOURCES sources and a sum of at most MAX_PERIOD, the
-    bound of the schedule's size. Sources without a weight get ``default``. A null source counts as the empty name, in the
+    ``weights``: (source, weight), positive integers of at most MAX_PERIOD each. Any number of sources: beyond MAX_SOURCES, or a
+    sum of weights beyond MAX_PERIOD, the same schedule is made block by block in one Python task, which takes
+    no documents. Sources without a weight get ``default``. A null source counts as the empty name, in the
     result too. Within a source rows follow doc_id (nulls first); equal ids keep one row each in any order. Nothing is
     dropped; an empty table gives no rows; other columns are not read."""
     spark = documents.sparkSession
@@ -77,11 +159,15 @@ def mix(documents: DataFrame, weights: DataFrame, block: int = 64, default: int
     known = weights.select(F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.col("weight").cast("int").alias("weight")).filter("weight > 0")
     known = known.groupBy("source").agg(F.max("weight").alias("weight"))
     plan = sizes.join(known, "source", "left").select("source", F.coalesce("weight", F.lit(default)).alias("weight"), "blocks")
-    n, q = plan.agg(F.count("*"), F.coalesce(F.sum("weight"), F.lit(0))).first()
-    if n > MAX_SOURCES or q > MAX_PERIOD:
-        raise ValueError(f"{n} sources with weights of {q} in all: group small sources or round the weights")
-    placed = rows.join(F.broadcast(base), ["source", "part"]).withColumn("rank", F.col("at") + F.col("base"))
+    n, q, most = plan.agg(F.count("*"), F.coalesce(F.sum("weight"), F.lit(0)), F.coalesce(F.max("weight"), F.lit(0))).first()
+    if most > MAX_PERIOD:
+        raise ValueError(f"a weight of {most}: round the weights to at most {MAX_PERIOD}")
+    few = n <= MAX_SOURCES and q <= MAX_PERIOD
+    placed = rows.join(F.broadcast(base) if few else base, ["source", "part"]).withColumn("rank", F.col("at") + F.col("base"))
     placed = placed.select("doc_id", "source", F.floor(F.col("rank") / block).alias("block"), (F.col("rank") % block).cast("int").alias("offset"))
+    if not few:
+        order = cut(plan.repartition(1).sortWithinPartitions("source").mapInArrow(_schedule, "source string, block long, slot long, release long, due long"))
+        return placed.join(order, ["source", "block"]).select("doc_id", "source", "block", "slot", "offset", "release", "due")
     found = placed.join(F.broadcast(phases(plan).withColumnRenamed("source", "s")), F.expr("source = s and block >= b and block < b + got"))
     j = "(block - b)"
     return found.select(
