@@ -18,7 +18,7 @@ def _rows(parts: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
 
 
 class Fold(StatefulProcessor):
-    """Base: one ValueState with the columns ``schema``; ``step`` folds the rows of a batch."""
+    """Base: one ValueState with the columns ``schema``; ``step`` folds the rows of a batch to a frame, or an iterator of frames."""
 
     schema: StructType | str = ""
     order = ["seq"]
@@ -31,7 +31,10 @@ class Fold(StatefulProcessor):
         old = self.state.get() if self.state.exists() else None
         new, out = self.step(old, _rows(rows, self.order))
         self.state.update(tuple(int(v) if isinstance(v, np.integer) else v for v in new))
-        yield out
+        if isinstance(out, pd.DataFrame):
+            yield out
+        else:
+            yield from out
 
     def step(self, old, pdf: pd.DataFrame):
         raise NotImplementedError
@@ -96,9 +99,10 @@ class Mix(StatefulProcessor):
 
 
 class GapFill(Fold):
-    """One row per slot: short gaps take the arriving row, stalls repeat the last one."""
+    """One row per slot: short gaps take the arriving row, stalls repeat the last one. Gaps are written in blocks."""
 
     schema = "slot bigint, seq bigint"
+    block = 1 << 16
 
     def __init__(self, stall: int, fps: int):
         self.stall, self.fps = stall, fps
@@ -108,13 +112,19 @@ class GapFill(Fold):
         last_slot = np.r_[old[0] if old else slot[0] - 1, slot[:-1]]
         last_seq = np.r_[old[1] if old else -1, seq[:-1]]
         n = slot - last_slot
-        row = np.repeat(np.arange(len(slot)), n)
-        at = last_slot[row] + 1 + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        repeat = (slot[row] - 1 - last_slot[row] >= self.stall) & (at <= slot[row] - 2)
-        out = pd.DataFrame({
-            "stream_id": pdf["stream_id"].to_numpy()[row], "slot": at, "source_seq": np.where(repeat, last_seq[row], seq[row]),
-            "filled": at != slot[row], "pts": at * 10_000_000 // self.fps})
-        return (int(slot[-1]), int(seq[-1])), out
+        ends, stream = np.cumsum(n), pdf["stream_id"].to_numpy()
+
+        def blocks():
+            for first in range(0, int(ends[-1]), self.block):
+                place = np.arange(first, min(first + self.block, int(ends[-1])))
+                row = np.searchsorted(ends, place, side="right")
+                at = last_slot[row] + 1 + place - (ends[row] - n[row])
+                repeat = (slot[row] - 1 - last_slot[row] >= self.stall) & (at <= slot[row] - 2)
+                yield pd.DataFrame({
+                    "stream_id": stream[row], "slot": at, "source_seq": np.where(repeat, last_seq[row], seq[row]),
+                    "filled": at != slot[row], "pts": at * 10_000_000 // self.fps})
+
+        return (int(slot[-1]), int(seq[-1])), blocks()
 
 
 class Changes(Fold):

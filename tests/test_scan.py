@@ -207,6 +207,27 @@ def test_slots(frame):
     assert rows(P.gap_fill(kept, 60), "slot", "source_seq") == [(0, 0), (1, 1), (2, 1), (3, 1), (4, 1), (5, 1), (6, 1), (7, 1), (8, 2), (9, 2)]
 
 
+def test_long_gaps_are_filled_in_blocks(frame, monkeypatch):
+    import pandas as pd
+
+    from clipgrove.streaming.processors import GapFill
+
+    # more slots than an array can have
+    far = frame("stream_id bigint, seq bigint, slot bigint", [(0, 0, 0), (0, 1, 3_000_000_000)])
+    assert P.gap_fill(far, 60).limit(70_000).count() == 70_000
+    (slot, _), out = GapFill(3, 60).step(None, pd.DataFrame({"stream_id": [0, 0], "seq": [0, 1], "slot": [0, 3_000_000_000]}))
+    assert slot == 3_000_000_000 and next(out)["slot"].tolist() == list(range(1 << 16))
+    # a pause of more than fps slots is filled to its end, the same in blocks of any size
+    kept = [(0, 0, 5), (0, 1, 300), (0, 2, 302), (0, 3, 303), (0, 4, 400)]
+    whole = [(a, b if c - 1 - a >= 3 and at <= c - 2 else b + 1, at) for (_, b, a), (_, _, c) in zip(kept, kept[1:]) for at in range(a + 1, c + 1)]
+    want = [(5, 0)] + [(at, seq) for _, seq, at in whole]
+    monkeypatch.setattr(P, "FILL_BLOCK", 7)
+    monkeypatch.setattr(GapFill, "block", 7)
+    assert rows(P.gap_fill(frame("stream_id bigint, seq bigint, slot bigint", kept), 60), "slot", "source_seq") == want
+    _, out = GapFill(3, 60).step(None, pd.DataFrame(kept, columns=["stream_id", "seq", "slot"]))
+    assert [tuple(r) for r in pd.concat(out)[["slot", "source_seq"]].to_numpy().tolist()] == want
+
+
 def test_sample_tables(frame):
     from clipgrove.operators import sampletable as T
 
