@@ -49,18 +49,19 @@ def evaluate(captures: DataFrame, entries: DataFrame, bucket: int = 30 * DAY) ->
     longest pattern active at ``at`` (ties: the first list by name, then pattern). ``at`` in both tables is in whole seconds.
 
     Captures and intervals meet by pattern and bucket of time; an interval lies in every bucket that it covers up to the last
-    capture. One row per page_id and time; a null url or time is never blocked; URLs without a host
-    match nothing. Rows with a null page_id are kept as one. Only the named columns are read."""
-    c = captures.select(F.col("page_id").cast("long").alias("page_id"), F.col("at").cast("long").alias("at"), F.col("url").cast("string").alias("url"))
+    capture. Repeated rows, other urls of one page_id and time, and rows with a null page_id each have their own row; a null url
+    or time is never blocked; URLs without a host match nothing. Only the named columns are read."""
+    c = captures.select(F.col("page_id").cast("long").alias("page_id"), F.col("at").cast("long").alias("at"), F.col("url").cast("string").alias("url"),
+                        F.monotonically_increasing_id().alias("row"))
     last, = c.agg(F.max(F.expr(f"at div {bucket}"))).first()
     spans = intervals(entries, bucket)
     end = F.least(F.coalesce(F.expr(f"(valid_to - 1) div {bucket}"), F.lit(last or 0)), F.lit(last or 0))
     spans = (spans.withColumn("first", F.expr(f"valid_from div {bucket}")).withColumn("end", end).filter("first <= end")
              .select("list", "pattern", "valid_from", "valid_to", F.explode(F.sequence("first", "end")).alias("bucket")))
-    keys = c.select("page_id", "at", F.explode_outer(patterns("url")).alias("pattern")).withColumn("bucket", F.expr(f"at div {bucket}"))
+    keys = c.select("row", "page_id", "at", F.explode_outer(patterns("url")).alias("pattern")).withColumn("bucket", F.expr(f"at div {bucket}"))
     # AQE splits a hot host on the capture side
     met = keys.join(spans, (keys.pattern == spans.pattern) & (keys.bucket == spans.bucket) & (keys["at"] >= spans.valid_from)
                     & (spans.valid_to.isNull() | (keys["at"] < spans.valid_to)), "left").select(
-        "page_id", "at", F.when(spans.pattern.isNotNull(), F.struct(-F.length(spans.pattern), spans["list"].alias("list"), spans.pattern.alias("pattern"), spans.valid_from.alias("valid_from"))).alias("m"))
-    best = met.groupBy("page_id", "at").agg(F.min("m").alias("m"))
+        "row", "page_id", "at", F.when(spans.pattern.isNotNull(), F.struct(-F.length(spans.pattern), spans["list"].alias("list"), spans.pattern.alias("pattern"), spans.valid_from.alias("valid_from"))).alias("m"))
+    best = met.groupBy("row", "page_id", "at").agg(F.min("m").alias("m"))
     return best.select("page_id", "at", F.col("m").isNotNull().alias("blocked"), "m.list", "m.pattern", "m.valid_from")

@@ -34,3 +34,12 @@ def test_many_entries_of_one_pattern(spark):
     caps = [(i, "http://hot.org/", i * 7) for i in range(700)]
     got = run(spark, caps, flips, bucket=100)
     assert all(got[i, t][0] == (t // 10 % 2 == 0) for i, _, t in caps)
+
+
+def test_every_capture_has_its_row(spark):
+    rows = [(1, "http://bad.org/a", 5), (1, "http://good.org/", 5), (1, "http://bad.org/a", 5), (None, "http://bad.org/", None), (None, "http://good.org/", None),
+            (None, "http://good.org/", 5), (None, "http://bad.org/", 5), (2, None, None), (2, None, None)]
+    entries = spark.createDataFrame([("l", "bad.org", 1, True), ("m", "bad.org", 2, True)], "list string, pattern string, at long, active boolean")
+    got = urllists.evaluate(spark.createDataFrame(rows, "page_id long, url string, at long"), entries).collect()
+    want = [(i, t, u == "http://bad.org/a" or i is None and t == 5 and "bad" in u) for i, u, t in rows]
+    assert sorted(map(str, want)) == sorted(str((r.page_id, r["at"], r.blocked)) for r in got)
