@@ -5,9 +5,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from clipgrove.llm import decontaminate, minhash, mixing, pii, suffixes, tokenfiles, toxicity, urllists, warc, weighted
+from clipgrove.llm import decontaminate, minhash, mixing, periodic, pii, suffixes, tokenfiles, toxicity, urllists, warc, weighted
 from clipgrove.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -210,3 +210,57 @@ FROM b LEFT JOIN k USING (doc_id)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffixes.repeated_strings(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
+# crc32 of the decimal doc_id, bit by bit
+_CRC = """xor(4294967295, list_reduce(list_concat([CAST(4294967295 AS BIGINT)], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+  lambda x: [CAST(ord(x) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))), lambda c, x: xor(xor(c, x) >> 1, (xor(c, x) & 1) * 3988292384)))"""
+
+
+def id_crc() -> Column:
+    """Unsigned crc32 of the decimal doc_id."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary"))
+
+
+@query("op11_periodic_runs", rf"""
+WITH d AS (
+  SELECT doc_id, {_CRC} AS h, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+o AS (SELECT doc_id, h, CAST(len(ws) AS BIGINT) AS n, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS i FROM d),
+k AS (SELECT *, h % 10 = 0 AS planted, h // 10 % n AS a, 1 + (n - h // 10 % n) // (3 + h // 10 % 8) AS p FROM o),
+t AS (
+  SELECT k.doc_id, k.i, CASE WHEN k.planted AND k.i >= k.a THEN s.w ELSE k.w END AS w
+  FROM k LEFT JOIN o s ON s.doc_id = k.doc_id AND s.i = CASE WHEN k.planted AND k.i >= k.a THEN k.a + (k.i - k.a) % k.p END),
+g AS (
+  SELECT doc_id, i, md5(concat_ws(' ', w, {', '.join(f"lead(w, {j}) OVER x" for j in range(1, 8))})) AS gram, lead(i, 7) OVER x IS NOT NULL AS whole
+  FROM t WINDOW x AS (PARTITION BY doc_id ORDER BY i)),
+e AS (
+  SELECT x.doc_id, x.i, y.i - x.i AS q, x.i - row_number() OVER (PARTITION BY x.doc_id, y.i - x.i ORDER BY x.i) AS part
+  FROM g x JOIN g y ON x.doc_id = y.doc_id AND x.gram = y.gram AND x.i < y.i WHERE x.whole AND y.whole),
+c AS (SELECT doc_id, min(i) AS s, count(*) + 7 + q AS len, q FROM e GROUP BY doc_id, q, part HAVING count(*) + 7 + q >= greatest(24, 3 * q)),
+r AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM c b WHERE b.doc_id = c.doc_id AND b.q < c.q AND b.s <= c.s AND b.s + b.len >= c.s + c.len)),
+z AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS lines,
+    (list({{'s': s, 'len': len, 'q': q}} ORDER BY CAST(len AS DOUBLE) / q DESC, s, q))[1] AS best
+  FROM r GROUP BY doc_id),
+v AS (
+  SELECT t.doc_id, string_agg(w, ' ' ORDER BY i) AS kept FROM t
+  WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = t.doc_id AND t.i >= r.s + r.q AND t.i < r.s + r.len) GROUP BY t.doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, CAST(best.s AS BIGINT) AS start, CAST(best.len AS BIGINT) AS length, CAST(best.q AS BIGINT) AS period,
+  CAST(1000 * best.len // best.q AS BIGINT) AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN z ON z.doc_id = d.doc_id LEFT JOIN v ON v.doc_id = d.doc_id
+""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, h = table(spark, sf_dir, "documents").select("doc_id", "text"), id_crc()
+    split = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    docs = docs.select("doc_id", "text", ((h - h % 10) / 10).cast("long").alias("g"), F.when((h % 10 == 0) & F.col("text").isNotNull(), split).alias("words"))
+    docs = docs.select("*", F.size("words").alias("n"), F.expr("cast(g % nullif(size(words), 0) as int)").alias("a"))
+    docs = docs.select("*", F.expr("1 + cast((n - a) div (3 + g % 8) as int)").alias("p"))
+    planted = F.expr("array_join(concat(slice(words, 1, a), slice(flatten(array_repeat(slice(words, a + 1, p), cast((n - a) div p as int) + 1)), 1, n - a)), ' ')")
+    runs = periodic.find_runs(docs.select("doc_id", F.when(F.col("n") > 0, planted).otherwise(F.col("text")).alias("text")))
+    best = """try_element_at(array_sort(runs, (x, y) -> case when x.length * y.period <> y.length * x.period then if(x.length * y.period > y.length * x.period, -1, 1)
+        when x.start <> y.start then if(x.start < y.start, -1, 1) else cast(signum(x.period - y.period) as int) end), 1)"""
+    lines = F.expr(r"array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    out = runs.select("doc_id", F.size("runs").cast("long").alias("n_runs"), F.expr(best).alias("best"), F.sha2(lines, 256).alias("runs_sha256"),
+                      F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return out.select("doc_id", "n_runs", "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+                      "runs_sha256", "collapsed_sha256")
