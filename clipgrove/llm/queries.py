@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from clipgrove.llm import decontaminate, minhash, mixing, periodic, pii, suffixes, tokenfiles, toxicity, urllists, warc, weighted
+from clipgrove.llm import decontaminate, merkle, minhash, mixing, periodic, pii, suffixes, tokenfiles, toxicity, urllists, warc, weighted
 from clipgrove.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -264,3 +264,60 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2("collapsed", 256).alias("collapsed_sha256"))
     return out.select("doc_id", "n_runs", "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"),
                       "runs_sha256", "collapsed_sha256")
+
+
+def _leaf_sql(text: str) -> str:
+    each = ["doc_id", "source", "lang", "n_chars", text]
+    return f"""sha256({" || ".join(f"coalesce(octet_length(encode(CAST({c} AS VARCHAR))) || ':' || CAST({c} AS VARCHAR), '-')" for c in each)})"""
+
+
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query("op13_merkle_manifest", f"""
+WITH RECURSIVE l AS (
+  SELECT doc_id, coalesce('+' || source, '') AS tree, {_leaf_sql("text")} AS leaf,
+    CASE WHEN {_CRC} % 5 = 0 THEN {_leaf_sql(_LOWER)} ELSE {_leaf_sql("text")} END AS seen FROM documents),
+o AS (SELECT *, row_number() OVER x - 1 AS i, count(*) OVER (PARTITION BY tree) AS n, row_number() OVER () AS r FROM l WINDOW x AS (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf)),
+t AS (
+  SELECT tree, 0 AS level, i, leaf AS h, n FROM o
+  UNION ALL
+  SELECT tree, level + 1, i // 16, sha256(string_agg(h, '' ORDER BY i)), (n + 15) // 16 FROM t WHERE n > 1 GROUP BY tree, level, i // 16, n),
+s AS (SELECT tree, h, row_number() OVER (ORDER BY tree) - 1 AS i, count(*) OVER () AS n FROM t WHERE n = 1),
+u AS (
+  SELECT 0 AS level, i, h, n FROM s
+  UNION ALL
+  SELECT level + 1, i // 16, sha256(string_agg(h, '' ORDER BY i)), (n + 15) // 16 FROM u WHERE n > 1 GROUP BY level, i // 16, n),
+g AS (
+  SELECT tree, level, i // 16 AS run, list(h ORDER BY i) AS hs FROM t WHERE n > 1 GROUP BY ALL
+  UNION ALL
+  SELECT 'top', level, i // 16, list(h ORDER BY i) FROM u WHERE n > 1 GROUP BY ALL),
+p AS (
+  SELECT r, tree, 0 AS level, i, seen AS h, '' AS proof FROM o
+  UNION ALL
+  SELECT r, p.tree, p.level + 1, i // 16, sha256(array_to_string(hs[:i % 16], '') || h || array_to_string(hs[i % 16 + 2:], '')),
+    proof || array_to_string(hs[:i % 16], '') || array_to_string(hs[i % 16 + 2:], '')
+  FROM p JOIN g ON g.tree = p.tree AND g.level = p.level AND g.run = i // 16),
+a AS (SELECT r, tree, arg_max(h, level) AS h, arg_max(proof, level) AS proof FROM p GROUP BY ALL),
+q AS (
+  SELECT r, 0 AS level, s.i, a.h, proof FROM a JOIN s USING (tree)
+  UNION ALL
+  SELECT r, q.level + 1, i // 16, sha256(array_to_string(hs[:i % 16], '') || h || array_to_string(hs[i % 16 + 2:], '')),
+    proof || array_to_string(hs[:i % 16], '') || array_to_string(hs[i % 16 + 2:], '')
+  FROM q JOIN g ON g.tree = 'top' AND g.level = q.level AND g.run = i // 16),
+f AS (SELECT r, arg_max(h, level) AS folded_root, arg_max(proof, level) AS proof FROM q GROUP BY r)
+SELECT o.doc_id, o.leaf, s.h AS subroot, u.h AS root, sha256(proof) AS proof_sha256, folded_root, folded_root = u.h AS verified
+FROM o JOIN f USING (r) JOIN s USING (tree) JOIN u ON u.n = 1
+""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    digest = lambda text: merkle.leaf(**{str(i): c for i, c in enumerate([*fields, text])})
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    rows = docs.select(F.col("doc_id").alias("id"), F.col("source").alias("group"), digest(F.col("text")).alias("leaf"),
+                       F.when(id_crc() % 5 == 0, digest(lower)).alias("tampered"))
+    rows = rows.select("id", "group", "leaf", F.coalesce("tampered", "leaf").alias("seen"))
+    out = merkle.manifest(rows, scratch(spark, "manifest"))
+    folded = merkle.fold(F.col("seen"), F.col("proof"))
+    out = out.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.sha2(F.array_join("proof.siblings", ""), 256).alias("proof_sha256"), folded.alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
