@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from clipgrove.llm import decontaminate, merkle, minhash, mixing, periodic, pii, suffixes, tokenfiles, toxicity, urllists, warc, weighted
+from clipgrove.llm import decontaminate, merkle, minhash, mixing, packing, periodic, pii, suffixes, tokenfiles, toxicity, urllists, warc, weighted
 from clipgrove.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -321,3 +321,10 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     folded = merkle.fold(F.col("seen"), F.col("proof"))
     out = out.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.sha2(F.array_join("proof.siblings", ""), 256).alias("proof_sha256"), folded.alias("folded_root"))
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query("op12_packing")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "windows")
+    packing.write_windows(table(spark, sf_dir, "documents"), path, packing.Window(TOKENS().tokenizer))
+    return packing.piece_digests(spark, path)

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from clipgrove.llm.words import lists, text_slices, word_hashes, word_spans
+from clipgrove.llm.words import lists, tables, text_slices, word_hashes, word_spans
 
 MARK = 0xFFFF
 
@@ -46,9 +46,12 @@ class Settings:
 
 class Encoder:
     """Ids of texts, word by word: the tokenizer drops white space and splits at it, so a word has the same
-    ids anywhere. An open hash table from word hashes to ids answers whole slices; only new words are encoded."""
+    ids anywhere. An open hash table from word hashes to ids answers whole slices; only new words are encoded. The bytes of a
+    word are compared before it gets the ids of an earlier one, so words of equal hash are told apart. A tokenizer
+    that is not of this kind is refused."""
 
     PLAIN = re.compile("[a-zß-öø-ÿ]+")
+    PROBE = "It's THE Été, 12,000\t\n(x.y) naïve. e\u0301 日本\u00a0語 \U0001f600 don't a\u2009b"
 
     def __init__(self, s: Settings):
         from tokenizers import Tokenizer
@@ -60,8 +63,15 @@ class Encoder:
         rest = [b for b in range(256) if b not in known]
         self.spelt = {b: chr(b) for b in known} | {b: chr(256 + i) for i, b in enumerate(rest)}  # fixed: bytes as the byte-level model spells them
         self.clear()
+        if [i for w in self.PROBE.split() for i in self.ids(w.encode())] != self.tok.encode(self.PROBE, add_special_tokens=False).ids or any(
+                self.tok.encode(f"a{c}", add_special_tokens=False).ids != self.ids(b"a") + self.ids(c.encode()) for c in ".,"):
+            raise ValueError(f"{s.tokenizer}: words do not have the same ids anywhere")
 
     def clear(self):
+        self.text_at = np.zeros(self.slots, np.int64)
+        self.text_length = np.zeros(self.slots, np.int32)
+        self.text = np.zeros(8 * self.s.cache, np.uint8)
+        self.written = 0
         self.key = np.zeros(self.slots, np.uint64)
         self.at = np.zeros(self.slots, np.int32)
         self.length = np.zeros(self.slots, np.int32)
@@ -90,6 +100,24 @@ class Encoder:
             open_ = open_[(k != h[open_]) & (k != 0)]
         return slot
 
+    @staticmethod
+    def lower(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Bytes of the words, one after the other, A-Z as a-z."""
+        before = np.cumsum(size, dtype=np.int64) - size
+        return tables().lower[data[np.arange(int(size.sum())) + np.repeat(start - before, size)]]
+
+    def others(self, slot: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Words that are not the ones in their slots."""
+        size = (end - start).astype(np.int32)
+        other = self.text_length[slot] != size
+        same = np.flatnonzero(~other)
+        n = size[same]
+        before = np.cumsum(n, dtype=np.int64) - n
+        held = self.text[np.arange(int(n.sum())) + np.repeat(self.text_at[slot[same]] - before, n)]
+        wrong = np.flatnonzero(held != self.lower(data, start[same], n))
+        other[same[np.searchsorted(before, wrong, side="right") - 1]] = True
+        return np.flatnonzero(other)
+
     def add(self, h: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
         """Takes in words with hashes that are all different and not in the table."""
         raw, ids = data.tobytes(), self.ids
@@ -102,12 +130,20 @@ class Encoder:
         self.flat[self.fill:self.fill + len(flat)] = flat
         self.fill += len(flat)
         self.used += len(h)
+        size = (end - start).astype(np.int32)
+        text_at = self.written + np.cumsum(size, dtype=np.int64) - size
+        spelt = self.lower(data, start, size)
+        while self.written + len(spelt) > len(self.text):
+            self.text = np.concatenate([self.text, np.zeros_like(self.text)])
+        self.text[self.written:self.written + len(spelt)] = spelt
+        self.written += len(spelt)
         left = np.arange(len(h))
         while len(left):  # of words with the same free slot one gets it, the others look on
             slot = self.find(h[left])
             _, one = np.unique(slot, return_index=True)
             w = left[one]
             self.key[slot[one]], self.at[slot[one]], self.length[slot[one]] = h[w], at[w], n[w]
+            self.text_at[slot[one]], self.text_length[slot[one]] = text_at[w], size[w]
             left = np.delete(left, one)
 
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -139,10 +175,17 @@ class Encoder:
             f = new[first]
             self.add(h[f], data, a[f], b[f])
             slot = self.find(h)
-        n = self.length[slot]
+        n, at, flat = self.length[slot], self.at[slot].astype(np.int64), self.flat
+        other = self.others(slot, data, a, b)
+        if len(other):  # their hashes are those of other words
+            raw = data.tobytes()
+            own = [self.ids(raw[x:y]) for x, y in zip(a[other].tolist(), b[other].tolist())]
+            n[other] = [len(x) for x in own]
+            at[other] = len(flat) + np.cumsum(n[other]) - n[other]
+            flat = np.concatenate([flat, np.fromiter(chain.from_iterable(own), np.uint16)])
         total = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
-        take = np.repeat(self.at[slot] - total[:-1], n) + np.arange(total[-1])
-        return self.flat[take], total[before]
+        take = np.repeat(at - total[:-1], n) + np.arange(total[-1])
+        return flat[take], total[before]
 
 
 def _encoder(s: Settings, bounds: list[int]):

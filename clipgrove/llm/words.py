@@ -28,7 +28,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class _Tables:
-    """Byte values and powers of an odd base modulo 2^64; the powers grow with the longest slice."""
+    """Values of bytes and weights of places in a word; the weights grow with the longest word."""
 
     def __init__(self):
         self.lower = np.arange(256, dtype=np.uint8)
@@ -37,16 +37,13 @@ class _Tables:
         self.white[list(WHITE)] = True
         self.plain = np.array([b > 127 or chr(b).isalnum() for b in range(256)])
         self.value = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[self.lower]
-        self.power = self.inverse = np.ones(1, dtype=np.uint64)
+        self.weight = np.zeros(0, np.uint64)
 
-    def upto(self, n: int):
-        if len(self.power) < n:
-            base, size = 0x9E3779B97F4A7C15 | 1, max(n, SLICE_BYTES + 1)
-            for name, b in (("power", base), ("inverse", pow(base, -1, 1 << 64))):
-                p = np.full(size, b, dtype=np.uint64)
-                p[0] = 1
-                setattr(self, name, np.cumprod(p, dtype=np.uint64))
-        return self.power, self.inverse
+    def weights(self, n: int) -> np.ndarray:
+        if len(self.weight) < n:
+            size = max(1024, 2 * n)
+            self.weight = mix(np.arange(1, size + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) | np.uint64(1)
+        return self.weight
 
 
 _tables: list[_Tables] = []
@@ -95,12 +92,18 @@ def word_spans(data: np.ndarray, offs: np.ndarray, plain: bool = False) -> tuple
 
 
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the lower-cased words: differences of a prefix polynomial, mixed."""
+    """64-bit hashes of the lower-cased words: every byte times a random weight of its place in the word, summed up and mixed.
+    Weights are unrelated numbers and not powers of a base, so no pattern of letters makes all words of its kind collide."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
     t, n = tables(), len(data)
-    power, inverse = t.upto(n + 1)
-    prefix = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(t.value[data] * power[:n], out=prefix[1:])
-    return mix((prefix[end] - prefix[start]) * inverse[start] + (end - start).astype(np.uint64))
+    weights = t.weights(int((end - start).max()))
+    size = end - start
+    at = np.concatenate([[0], np.cumsum(size)])
+    place = np.arange(at[-1]) - np.repeat(at[:-1], size)
+    total = np.zeros(at[-1] + 1, dtype=np.uint64)
+    np.cumsum(t.value[data[place + np.repeat(start, size)] if at[-1] < n else data] * weights[place], out=total[1:])
+    return mix((total[at[1:]] - total[at[:-1]]) ^ mix(size.astype(np.uint64)))
 
 
 def shingles(h: np.ndarray, before: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -55,3 +55,11 @@ def test_odd_rows(spark, odd, empty):
     assert got(odd) == brute([(r.doc_id, r.text) for r in odd.collect()], 5)
     assert got(odd.unionByName(odd.filter("doc_id < 5")).unionByName(odd.selectExpr("cast(null as long) as doc_id", "* except (doc_id)"))) == got(odd)
     assert got(empty) == {}
+
+
+def test_words_of_one_pattern_are_not_copies(spark):
+    """Words that collide under polynomial hashes modulo 2^64."""
+    morse = lambda n, a, b: "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+    rows = [(1, morse(1024, "a", "b")), (2, morse(1024, "b", "a")), (3, morse(4096, "a", "b")), (4, morse(4096, "b", "a")), (5, morse(1024, "A", "b"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(df, words=4) == brute(rows, 4)

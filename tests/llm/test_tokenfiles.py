@@ -29,6 +29,36 @@ def test_words_have_the_ids_of_whole_texts(tok, documents):
     assert got == [tok.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def morse(n, a, b):
+    """Thue-Morse word: a classic collision of polynomial hashes."""
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
+def test_words_of_equal_hash_have_their_own_ids(tok, monkeypatch):
+    texts = [f"{morse(n, 'a', 'b')} x {morse(n, 'b', 'a')} {morse(n, 'B', 'a')}" for n in (1024, 4096)] + ["one two ONE three two"]
+    want = [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+    def got(enc):
+        out = []
+        for _, _, data, offs in text_slices(pa.array(texts), 4096):
+            ids, at = enc.encode(data, offs)
+            out += [ids[x:y].tolist() for x, y in zip(at[:-1], at[1:])]
+        return out
+
+    settings = T.Settings(queries.TOKENS().tokenizer, cache=300)
+    assert got(T.Encoder(settings)) == want
+    monkeypatch.setattr(T, "word_hashes", lambda data, start, end: (end - start).astype(np.uint64) % np.uint64(3) + np.uint64(5))
+    enc = T.Encoder(settings)
+    assert got(enc) == want and got(enc) == want
+
+
+def test_other_kinds_of_tokenizers_are_refused():
+    import public_tokenizers
+
+    with pytest.raises(ValueError):
+        T.Encoder(T.Settings(public_tokenizers.path("byte_bpe_50k.json")))
+
+
 def test_grammar_round_trip_and_random_access():
     rng = np.random.default_rng(1)
     s = T.Settings("", least=2, per_round=50, gain=0.0)
