@@ -103,8 +103,11 @@ class Encoder:
     @staticmethod
     def lower(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Bytes of the words, one after the other, A-Z as a-z."""
-        before = np.cumsum(size, dtype=np.int64) - size
-        return tables().lower[data[np.arange(int(size.sum())) + np.repeat(start - before, size)]]
+        if not len(size):
+            return np.zeros(0, np.uint8)
+        total = np.cumsum(size, dtype=np.int64)
+        kind = np.int32 if max(total[-1], len(data)) < 1 << 31 else np.int64
+        return tables().lower[data[np.arange(total[-1], dtype=kind) + np.repeat((start - total + size).astype(kind), size)]]
 
     def others(self, slot: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Words that are not the ones in their slots."""
@@ -113,7 +116,8 @@ class Encoder:
         same = np.flatnonzero(~other)
         n = size[same]
         before = np.cumsum(n, dtype=np.int64) - n
-        held = self.text[np.arange(int(n.sum())) + np.repeat(self.text_at[slot[same]] - before, n)]
+        kind = np.int32 if len(self.text) + int(n.sum()) < 1 << 31 else np.int64
+        held = self.text[np.arange(int(n.sum()), dtype=kind) + np.repeat((self.text_at[slot[same]] - before).astype(kind), n)]
         wrong = np.flatnonzero(held != self.lower(data, start[same], n))
         other[same[np.searchsorted(before, wrong, side="right") - 1]] = True
         return np.flatnonzero(other)

@@ -97,13 +97,16 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     if not len(start):
         return np.zeros(0, np.uint64)
     t, n = tables(), len(data)
-    weights = t.weights(int((end - start).max()))
     size = end - start
-    at = np.concatenate([[0], np.cumsum(size)])
-    place = np.arange(at[-1]) - np.repeat(at[:-1], size)
-    total = np.zeros(at[-1] + 1, dtype=np.uint64)
-    np.cumsum(t.value[data[place + np.repeat(start, size)] if at[-1] < n else data] * weights[place], out=total[1:])
-    return mix((total[at[1:]] - total[at[:-1]]) ^ mix(size.astype(np.uint64)))
+    longest = int(size.max())
+    weights = t.weights(longest + 1)[:longest + 1]
+    kind = np.int32 if n < 1 << 31 else np.int64
+    place = np.arange(n, dtype=kind)
+    place[start[0]:] -= np.repeat(start.astype(kind), np.diff(np.append(start, n)))
+    np.minimum(place, longest, out=place)  # behind a word
+    total = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(t.value[data] * weights[place], out=total[1:])
+    return mix((total[end] - total[start]) ^ mix(size.astype(np.uint64)))
 
 
 def shingles(h: np.ndarray, before: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
