@@ -370,6 +370,17 @@ def away(df: DataFrame, gap: int = AWAY_AFTER, keys: list[str] = STREAM) -> Data
     return out.withColumn("away", ~F.col("active") & (since >= gap)).drop("_active", "_start")
 
 
+def away_changes(df: DataFrame, now: DataFrame, gap: int = AWAY_AFTER) -> DataFrame:
+    """df(stream_id, time, active), now(stream_id, now) -> (stream_id, at, away): away ``gap`` after an activity (or the first row) if the next
+    one comes later than that, or none has come by ``now``; back at the next activity."""
+    first = df.groupBy("stream_id").agg(F.min("time").alias("time"))
+    marks = df.where("active").select("stream_id", "time").unionByName(first).distinct()
+    seen = neighbours(marks, STREAM, ["time"], span_chunk("time", SPAN), following={"_next": F.col("time")}).join(now, STREAM, "left")
+    left = seen.where((F.col("_next") > F.col("time") + gap) | (F.col("_next").isNull() & (F.col("now") >= F.col("time") + gap)))
+    gone = left.select("stream_id", (F.col("time") + gap).alias("at"), F.lit(True).alias("away"))
+    return gone.unionByName(left.where("_next IS NOT NULL").select("stream_id", F.col("_next").alias("at"), F.lit(False).alias("away")))
+
+
 def recent(df: DataFrame) -> list[Column]:
     """Order of seen games: last seen first."""
     return [F.col("last_seen").desc(), F.col("name").asc()]

@@ -37,9 +37,14 @@ def slot_stream(df: DataFrame, interval: int, keys: list[str] = ["stream_id"]) -
     return _keyed(df, keys, S.SlotSelect(interval), _plus(df, slot=T.LongType()))
 
 
-def fill_stream(kept: DataFrame, fps: int, stall: int = STALL_SLOTS) -> DataFrame:
-    """kept(stream_id, seq, slot): gap filling as rows arrive."""
+def fill_stream(kept: DataFrame, fps: int, stall: int = STALL_SLOTS, clock: str | None = None, interval_us: int = 0, lateness: str = "0 seconds") -> DataFrame:
+    """kept(stream_id, seq, slot[, <clock>]): gap filling as rows arrive. With ``clock``, a timestamp column, and the length of a slot
+    a stall is filled while nothing arrives, as far as the watermark of all streams (``lateness`` behind the newest row) has
+    come; the rows are the same, and those of a stall that has no end yet besides."""
     schema = "stream_id bigint, slot bigint, source_seq bigint, filled boolean, pts bigint"
+    if clock:
+        rows = kept.withWatermark(clock, lateness).select("stream_id", "seq", "slot", clock, F.unix_micros(clock).alias("us"))
+        return _keyed(rows, ["stream_id"], S.TimedGapFill(stall, fps, interval_us), schema, "EventTime")
     return _keyed(kept.select("stream_id", "seq", "slot"), ["stream_id"], S.GapFill(stall, fps), schema)
 
 
@@ -59,6 +64,13 @@ def away_stream(df: DataFrame, gap: int = AWAY_AFTER, keys: list[str] = ["stream
     return _keyed(df, keys, S.Away(gap), _plus(df, away=T.BooleanType()))
 
 
+def away_changes_stream(df: DataFrame, gap_us: int = AWAY_AFTER // 10, clock: str = "ts", lateness: str = "0 seconds") -> DataFrame:
+    """df(stream_id, active, <clock>) -> (stream_id, at in microseconds, away): a row when a stream has been without activity for ``gap_us``, written
+    when event time passes though nothing arrives for it, and one when it is back."""
+    rows = df.withWatermark(clock, lateness).select("stream_id", "active", clock, F.unix_micros(clock).alias("us"))
+    return _keyed(rows, ["stream_id"], S.TimedAway(gap_us), "stream_id bigint, at bigint, away boolean", "EventTime")
+
+
 def continuity_stream(df: DataFrame) -> DataFrame:
     """df(stream_id, segment, track, seq, seg_time, dur, key)."""
     return _keyed(df, ["stream_id"], S.Continuity(), "stream_id bigint, seq bigint, out_time bigint")

@@ -127,6 +127,110 @@ class GapFill(Fold):
         return (int(slot[-1]), int(seq[-1])), blocks()
 
 
+class Timed(StatefulProcessor):
+    """Base of processors that act when event time passes: one timer per key, set anew whenever the state changes. A timer runs when
+    the watermark, which rows of all keys move, has passed its time; rows behind the watermark no longer come."""
+
+    schema: StructType | str = ""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", self.schema)
+
+    def set_timer(self, at_ms: int) -> None:
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer(at_ms)
+
+    def close(self) -> None:
+        pass
+
+
+class TimedGapFill(Timed):
+    """``GapFill`` that does not wait for the row behind a stall. Once the watermark is so far that any row to come ends a gap of
+    ``stall`` slots, the slots that such a row leaves to the last one are written: all but the newest two."""
+
+    schema = "slot bigint, seq bigint, at_us bigint, written bigint"
+    block = GapFill.block
+
+    def __init__(self, stall: int, fps: int, interval_us: int):
+        self.stall, self.fps, self.interval = stall, fps, interval_us
+
+    def frame(self, stream, slots: np.ndarray, seq, own) -> pd.DataFrame:
+        n = len(slots)
+        return pd.DataFrame({"stream_id": np.full(n, stream, np.int64), "slot": slots, "source_seq": np.broadcast_to(seq, n).astype(np.int64),
+                             "filled": slots != own, "pts": slots * 10_000_000 // self.fps})
+
+    def wait(self, slot: int, at_us: int, written: int) -> None:
+        """Until one more slot can be written."""
+        ahead = max(self.stall + 1, written + 3 - slot)
+        self.set_timer(-(-(at_us + ahead * self.interval) // 1000))
+
+    def handleInputRows(self, key, rows, timerValues):
+        pdf = _rows(rows, ["seq"])
+        slot, seq, at = pdf["slot"].to_numpy(np.int64), pdf["seq"].to_numpy(np.int64), pdf["us"].to_numpy(np.int64)
+        old = self.state.get() if self.state.exists() else (int(slot[0]) - 1, -1, 0, int(slot[0]) - 1)
+        last_slot, last_seq = np.r_[old[0], slot[:-1]], np.r_[old[1], seq[:-1]]
+        first = np.r_[max(old[3], old[0]), slot[:-1]] + 1
+        n = np.maximum(slot - first + 1, 0)
+        ends = np.cumsum(n)
+        self.state.update((int(slot[-1]), int(seq[-1]), int(at[-1]), max(int(slot[-1]), old[3])))
+        self.wait(int(slot[-1]), int(at[-1]), int(slot[-1]))
+        for start in range(0, int(ends[-1]), self.block):
+            place = np.arange(start, min(start + self.block, int(ends[-1])))
+            row = np.searchsorted(ends, place, side="right")
+            here = first[row] + place - (ends[row] - n[row])
+            repeat = (slot[row] - 1 - last_slot[row] >= self.stall) & (here <= slot[row] - 2)
+            yield self.frame(key[0], here, np.where(repeat, last_seq[row], seq[row]), slot[row])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        slot, seq, at, written = self.state.get()
+        now = slot + (timerValues.getCurrentWatermarkInMs() * 1000 - at) // self.interval
+        upto = now - 2 if now - 1 - slot >= self.stall else written
+        for start in range(written + 1, upto + 1, self.block):
+            yield self.frame(key[0], np.arange(start, min(start + self.block, upto + 1)), seq, slot)
+        written = max(written, upto)
+        self.state.update((slot, seq, at, written))
+        self.wait(slot, at, written)
+
+
+class TimedAway(Timed):
+    """Changes between away and back: away ``gap`` after the last activity, as soon as the watermark or a later activity shows that none came, and
+    back at the next activity. The clock of a stream starts with its first row."""
+
+    schema = "last_us bigint, away boolean"
+
+    def __init__(self, gap_us: int):
+        self.gap = gap_us
+
+    def frame(self, stream, at: list[int], away: list[bool]) -> pd.DataFrame:
+        return pd.DataFrame({"stream_id": np.full(len(at), stream, np.int64), "at": np.array(at, np.int64), "away": np.array(away, bool)})
+
+    def handleInputRows(self, key, rows, timerValues):
+        pdf = _rows(rows, ["us"])
+        at, active = pdf["us"].to_numpy(np.int64), pdf["active"].to_numpy().astype(bool)
+        last, away = self.state.get() if self.state.exists() else (int(at[0]), False)
+        t = np.r_[last, at[active]]
+        open_ = np.diff(t) > self.gap
+        if away and len(open_):
+            open_[0] = False  # told before
+        left, back = t[:-1][open_] + self.gap, t[1:][open_]
+        out = [(int(x), True) for x in left] + [(int(x), False) for x in back]
+        if away and len(t) > 1:
+            out.append((int(t[1]), False))
+        out.sort()
+        away = away and len(t) == 1
+        self.state.update((int(t[-1]), away))
+        if not away:
+            self.set_timer(-(-(int(t[-1]) + self.gap) // 1000))
+        yield self.frame(key[0], [x for x, _ in out], [a for _, a in out])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        last, away = self.state.get()
+        self.state.update((last, True))
+        yield self.frame(key[0], [] if away else [last + self.gap], [] if away else [True])
+
+
 class Changes(Fold):
     """Rows whose value differs from the one before; nothing came before the first."""
 

@@ -69,6 +69,58 @@ def _(spark, sf):
     return run_steps(stepped(kept, "seq"), "step", STEPS, lambda df: R.fill_stream(df, 60), "fill")
 
 
+# Streams of odd number lie twelve days back, so they fall silent while the others go on.
+BACK_US = 12 * 24 * 3_600_000_000
+SQL_CLOCK = f"1704067200000000 + time // 10 - stream_id % 2 * {BACK_US}"
+
+
+def clocked(df: DataFrame) -> DataFrame:
+    """Adds the event time ``ts`` and ``step``: thirds of all event time."""
+    us = F.expr(f"1704067200000000 + time div 10 - stream_id % 2 * {BACK_US}")
+    low, high = df.agg(F.min(us), F.max(us)).first()
+    part = F.floor((us - F.lit(low)) * 3 / F.lit((high or 0) - (low or 0) + 1))
+    return df.withColumn("ts", F.timestamp_micros(us)).withColumn("step", part.cast("int"))
+
+
+@query("r4_stall_fill_by_time", f"""WITH {SQL_KEPT}, k AS (SELECT kept.stream_id, kept.seq, slot, {SQL_CLOCK.replace("time", "fx_packets.time").replace("stream_id", "kept.stream_id")} AS us
+  FROM kept JOIN fx_packets USING (seq)),
+g AS (SELECT stream_id, seq, slot, lag(slot) OVER w AS a, lag(seq) OVER w AS prev FROM k WINDOW w AS (PARTITION BY stream_id ORDER BY seq)),
+e AS (SELECT *, unnest(range(coalesce(a + 1, slot), slot + 1)) AS sl FROM g),
+z AS (SELECT stream_id, max(seq) AS seq, max(slot) AS slot, max(slot) + ((SELECT max(us) // 1000 * 1000 FROM k) - max(us)) // {HOUR // 10} AS now FROM k GROUP BY 1),
+t AS (SELECT *, unnest(range(slot + 1, now - 1)) AS sl FROM z WHERE now - 1 - slot >= 3)
+SELECT stream_id, sl AS slot, CASE WHEN slot - 1 - a >= 3 AND sl <= slot - 2 THEN prev ELSE seq END AS source_seq, sl <> slot AS filled, sl * 10000000 // 60 AS pts FROM e
+UNION ALL SELECT stream_id, sl, seq, true, sl * 10000000 // 60 FROM t""")
+def _(spark, sf):
+    """Three arrival steps; in the last ones the odd streams have no row, and their stall is filled by the clock of the others."""
+    from clipgrove.operators.packets import slot_select
+
+    kept = clocked(slot_select(packets(spark, sf).where("track = 'v'"), HOUR)).select("stream_id", "seq", "slot", "ts", "step")
+    return run_steps(kept, "step", 3, lambda df: R.fill_stream(df, 60, clock="ts", interval_us=HOUR // 10), "fill")
+
+
+@query("r5_away_changes", f"""WITH p AS (SELECT stream_id, {SQL_CLOCK} AS us, track = 'a' AS active FROM fx_packets),
+m AS (SELECT stream_id, us FROM p WHERE active UNION SELECT stream_id, min(us) FROM p GROUP BY 1),
+n AS (SELECT stream_id, us, lead(us) OVER (PARTITION BY stream_id ORDER BY us) AS nxt, (SELECT max(us) // 1000 * 1000 FROM p) AS now FROM m),
+l AS (SELECT *, us + {2 * HOUR // 10} AS due FROM n WHERE nxt > us + {2 * HOUR // 10} OR (nxt IS NULL AND now >= us + {2 * HOUR // 10}))
+SELECT stream_id, due AS at, true AS away FROM l UNION ALL SELECT stream_id, nxt, false FROM l WHERE nxt IS NOT NULL""")
+def _(spark, sf):
+    p = clocked(packets(spark, sf).select("stream_id", "time", F.expr("track = 'a' AS active")))
+    return run_steps(p.drop("time"), "step", 3, lambda df: R.away_changes_stream(df, 2 * HOUR // 10), "away")
+
+
+@query("w16_away_changes", f"""WITH p AS (SELECT stream_id, time, track = 'a' AS active FROM fx_packets),
+m AS (SELECT stream_id, time FROM p WHERE active UNION SELECT stream_id, min(time) FROM p GROUP BY 1),
+n AS (SELECT stream_id, time, lead(time) OVER (PARTITION BY stream_id ORDER BY time) AS nxt, max(time) OVER () AS now FROM m),
+l AS (SELECT *, time + {2 * HOUR} AS due FROM n WHERE nxt > time + {2 * HOUR} OR (nxt IS NULL AND (SELECT max(time) FROM p) >= time + {2 * HOUR}))
+SELECT stream_id, due AS at, true AS away FROM l UNION ALL SELECT stream_id, nxt, false FROM l WHERE nxt IS NOT NULL""")
+def _(spark, sf):
+    from clipgrove.operators.packets import away_changes
+
+    p = packets(spark, sf).select("stream_id", "time", F.expr("track = 'a' AS active"))
+    top = p.agg(F.max("time")).first()[0] or 0
+    return away_changes(p, p.select("stream_id").distinct().withColumn("now", F.lit(top)), 2 * HOUR)
+
+
 @query("r5_change_stream", "SELECT stream_id, seq, track FROM fx_packets QUALIFY lag(track) OVER (PARTITION BY stream_id ORDER BY seq) IS DISTINCT FROM track")
 def _(spark, sf):
     p = packets(spark, sf).select("stream_id", "seq", "track")

@@ -41,3 +41,36 @@ def test_mix_drops_only_late_frames(spark, frame):
 def test_latest_per_key(frame):
     df = frame("stream_id bigint, seq bigint, state string", [(1, 1, "a"), (1, 2, "b"), (2, 1, "c")])
     assert rows(R.latest_per_key(df), "stream_id", "state") == [(1, "b"), (2, "c")]
+
+
+START = 1000  # a row at the epoch itself would be behind the first watermark
+
+
+def timed(frame, data):
+    schema = "stream_id bigint, seq bigint, slot bigint, active boolean, sec double, step int"
+    return frame(schema, data).withColumn("ts", F.timestamp_micros(((F.col("sec") + START) * 1_000_000).cast("bigint"))).drop("sec")
+
+
+def test_stall_is_filled_by_the_clock_of_other_streams(frame):
+    """Stream 1 stops after slot 2. In the second step only stream 2 goes on; in the third stream 1 is back at slot 20."""
+    one = [(1, 0, 0, True, 0.0, 0), (1, 1, 2, True, 2.0, 0)]
+    two = [(2, 10 + k, k, True, float(k), 0 if k <= 2 else 1) for k in range(12)]
+    back = [(1, 2, 20, True, 20.0, 2)]
+    fill = lambda df: R.fill_stream(df, 60, clock="ts", interval_us=1_000_000)
+    slots = lambda out: rows(out.where("stream_id = 1"), "slot", "source_seq", "filled")
+    silent = run_steps(timed(frame, one + two), "step", 2, fill, "silent")
+    want = [(0, 0, False), (1, 1, True), (2, 1, False), *[(k, 1, True) for k in range(3, 10)]]
+    assert slots(silent) == want  # the watermark is at slot 11: 10 and 11 belong to the next row
+    whole = run_steps(timed(frame, one + two + back), "step", 3, fill, "back")
+    assert slots(whole) == want + [(k, 1, True) for k in range(10, 19)] + [(19, 2, True), (20, 2, False)]
+
+
+def test_away_when_nothing_arrives(frame):
+    data = [(1, 0, 0, True, 0.0, 0), (1, 1, 0, False, 30.0, 0), (2, 2, 0, True, 50.0, 0), (2, 3, 0, True, 100.0, 1), (2, 4, 0, True, 130.0, 2), (1, 5, 0, True, 200.0, 3),
+            (1, 6, 0, True, 259.0, 3), (2, 7, 0, True, 400.0, 4)]
+    changes = lambda n: rows(run_steps(timed(frame, [d for d in data if d[-1] < n]).drop("slot"), "step", n, R.away_changes_stream, "away"))
+    s = 1_000_000
+    assert changes(1) == []
+    at = lambda *r: [(k, (START + t) * s, a) for k, t, a in r]
+    assert changes(2) == at((1, 60, True))
+    assert changes(5) == at((1, 60, True), (1, 200, False), (1, 319, True), (2, 190, True), (2, 400, False))
