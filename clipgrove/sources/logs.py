@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from clipgrove.operators.scan import Run, rows_chunk, running
+from clipgrove.session import cut
+from clipgrove.sources.versions import Versions
 
 # Fixed values.
 LINE = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d{3}) (\S+)\s+([^\s]*?): ([\s\S]*)$"
@@ -65,43 +67,72 @@ def keep_last(df: DataFrame, n: int = KEEP_DAYS, pattern: str = r"^log-.*\.log$"
     return df.where(~dated).unionByName(df.where(dated).join(last, [*keys, name], "left_semi").select(*df.columns))
 
 
-def write_daily(df: DataFrame, path: str, max_bytes: int = MAX_DAY_BYTES, keep_days: int = KEEP_DAYS, machine: str | None = None) -> None:
-    """df(line, n[, <machine>]): one folder per day of the line (and machine), within the budget, days beyond the retention
-    dropped. Appends: the bytes that earlier calls wrote count, and a day that is closed stays closed."""
+DAILY = "line string, n bigint, notice boolean"
+COMPACT = 16
+
+
+def write_daily(df: DataFrame, path: str, max_bytes: int = MAX_DAY_BYTES, keep_days: int = KEEP_DAYS, machine: str | None = None, batch: int | None = None) -> bool:
+    """df(line, n[, <machine>]): the lines of each day (and machine) within its budget, days beyond the retention dropped. Bytes that
+    earlier calls wrote count, and a day that is closed stays closed; both are kept as a row per day beside the lines.
+
+    ``batch`` numbers the calls, rising. A call that fails half way leaves what was there, and one whose number has been written
+    changes nothing, so a call may be repeated; without ``batch`` every call is a new one. Returns whether it wrote. After COMPACT
+    calls the lines are written together, so the number of folders is bounded."""
     spark = df.sparkSession
     keys = ([machine] if machine else []) + ["day"]
+    table = Versions(spark, path)
+    state = table.state or {"batch": -1, "live": [], "lines": [], "totals": None}
+    number = state["batch"] + 1 if batch is None else batch
+    if number <= state["batch"]:
+        return False
     lines = df.withColumn("day", F.substring("line", 1, 10)).select(*keys, "n", "line")
-    days = lines.select(*keys).distinct().withColumnRenamed("day", "name")
+    kinds = {k: lines.schema[k].dataType.simpleString() for k in keys}
+    days = lines.select(*keys).distinct()
     used = None
-    if _present(spark, path):
-        there = spark.read.parquet(path).select(*[F.col(k).cast("string").alias(k) for k in keys], "line", "notice")
-        size = F.when(~F.col("notice"), F.octet_length("line") + 1)
-        used = there.groupBy(*keys).agg(F.coalesce(F.sum(size), F.lit(0)).cast("bigint").alias("bytes"), F.max("notice").alias("closed"))
-        days = days.unionByName(used.select(*keys).withColumnRenamed("day", "name")).distinct()
-    last = keep_last(days, keep_days, ".*", keys=tuple(keys[:-1])).withColumnRenamed("name", "day")
+    if state["totals"]:
+        used = spark.read.schema(_totals(kinds)).parquet(table.folder(state["totals"]))
+        days = days.unionByName(used.select(*keys)).distinct()
+    last = keep_last(days.withColumnRenamed("day", "name"), keep_days, ".*", keys=tuple(keys[:-1])).withColumnRenamed("name", "day")
+    last = cut(last)  # a row per kept day
     out = byte_budget(lines.join(last, keys, "left_semi"), max_bytes, keys=tuple(keys), used=used)
-    out.write.mode("append").partitionBy(*keys).parquet(path)
-    for folder in _folders(spark, path) if machine else [path]:
-        drop_old_days(spark, folder, keep_days)
-
-
-def _present(spark: SparkSession, path: str) -> bool:
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return root.getFileSystem(spark._jsc.hadoopConfiguration()).exists(root)
-
-
-def _folders(spark: SparkSession, path: str) -> list[str]:
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    found = root.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(root)
-    return [s.getPath().toString() for s in found if "=" in s.getPath().getName()]
-
-
-def drop_old_days(spark: SparkSession, path: str, keep_days: int = KEEP_DAYS) -> list[str]:
-    """Removes day folders beyond the last ``keep_days``; returns their names."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    days = sorted(s.getPath().getName() for s in fs.listStatus(root) if s.getPath().getName().startswith("day="))
-    old = days[: max(0, len(days) - keep_days)]
-    for day in old:
-        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(root, day), True)
-    return old
+    name = f"b{number}"
+    whole = len(state["lines"]) + 1 >= COMPACT
+    if whole:
+        out = out.unionByName(_lines(table, state).join(last, keys, "left_semi").select(*out.columns))
+    out.repartition(*keys).write.mode("overwrite").partitionBy(*keys).parquet(table.folder(f"{name}/lines"))
+    size = F.when(~F.col("notice"), F.octet_length("line") + 1)
+    new = spark.read.schema(_line_schema(kinds)).parquet(table.folder(f"{name}/lines")).groupBy(*keys).agg(
+        F.coalesce(F.sum(size), F.lit(0)).cast("bigint").alias("bytes"), F.max("notice").alias("closed"))
+    if used is not None and not whole:
+        new = new.unionByName(used.join(last, keys, "left_semi")).groupBy(*keys).agg(F.sum("bytes").alias("bytes"), F.max("closed").alias("closed"))
+    new.repartition(1).write.mode("overwrite").parquet(table.folder(f"{name}/totals"))
+    held = [f"{name}/lines"] if whole else [*state["lines"], f"{name}/lines"]
+    table.commit({"batch": number, "live": sorted({f.partition("/")[0] for f in held} | {name}), "lines": held, "totals": f"{name}/totals", "keys": kinds})
+    return True
+
+
+def _totals(kinds: dict[str, str]) -> str:
+    return ", ".join(f"`{k}` {t}" for k, t in kinds.items()) + ", bytes bigint, closed boolean"
+
+
+def _line_schema(kinds: dict[str, str]) -> str:
+    return DAILY + "".join(f", `{k}` {t}" for k, t in kinds.items())
+
+
+def _lines(table: Versions, state: dict) -> DataFrame:
+    whole = None
+    for f in state["lines"]:
+        one = table.spark.read.schema(_line_schema(state["keys"])).parquet(table.folder(f))
+        whole = one if whole is None else whole.unionByName(one)
+    return whole if whole is not None else table.spark.createDataFrame([], _line_schema(state["keys"]))
+
+
+def read_daily(spark: SparkSession, path: str) -> DataFrame:
+    """The lines that ``write_daily`` keeps: line, n, notice and the keys (machine, day). Days beyond the retention are left
+    out at once; their files go with the next writing together."""
+    table = Versions(spark, path)
+    state = table.state
+    if not state:
+        return spark.createDataFrame([], _line_schema({"day": "string"}))
+    kept = spark.read.schema(_totals(state["keys"])).parquet(table.folder(state["totals"])).select(*state["keys"])
+    return _lines(table, state).join(kept, list(state["keys"]), "left_semi")

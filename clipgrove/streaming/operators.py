@@ -10,6 +10,7 @@ from clipgrove.operators.scan import first_per_key
 from clipgrove.operators.stateful import upsert_seen
 from clipgrove.session import STATE_STORE
 from clipgrove.sources.logs import MAX_DAY_BYTES, own_logs, parse_line
+from clipgrove.sources.versions import KeyedTable
 from clipgrove.streaming import processors as S
 
 # Fixed values.
@@ -96,12 +97,12 @@ def handshake_stream(df: DataFrame, expected: list[str], timeout_ms: int | None
     return _keyed(df, ["stream_id"], S.Handshake(expected, timeout_ms), schema, mode)
 
 
-def log_stream(lines: DataFrame, crate: str, cap: int = MAX_DAY_BYTES) -> DataFrame:
-    """lines(n, target, line): own targets, split into fields, within the budget of each day."""
-    own = own_logs(lines, crate).select(F.substring("line", 1, 10).alias("day"), "n", "line")
-    kept = _keyed(own, ["day"], S.DayBudget(cap), _plus(own, notice=T.BooleanType()))
-    fields = [c for c in parse_line(F.col("line"))]
-    return kept.select("n", "line", "notice", *fields)
+def log_stream(lines: DataFrame, crate: str, cap: int = MAX_DAY_BYTES, machine: str | None = None) -> DataFrame:
+    """lines(n, target, line[, <machine>]): own targets, split into fields, within the budget of each day, which each machine has for itself."""
+    keys = [machine] if machine else []
+    own = own_logs(lines, crate).select(*keys, F.substring("line", 1, 10).alias("day"), "n", "line")
+    kept = _keyed(own, [*keys, "day"], S.DayBudget(cap), _plus(own, notice=T.BooleanType()))
+    return kept.select(*keys, "n", "line", "notice", *parse_line(F.col("line")))
 
 
 def mix_stream(samples: DataFrame, lateness: int = MIX_LATENESS["mix"], rate: int = B.SAMPLE_RATE) -> DataFrame:
@@ -132,23 +133,21 @@ def coalesce_bursts(df: DataFrame, path: str, checkpoint: str, keys: list[str] =
 SEEN = "name string, appid bigint, last_seen bigint"
 
 
-def seen_table(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
-    """Newest version of the table kept by ``seen_stream``; with ``before`` only older ones."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
-    done = [int(n[2:]) for n in names if n.startswith("v=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(root, f"{n}/_SUCCESS"))]
-    usable = [v for v in done if before is None or v < before]
-    return spark.read.schema(SEEN).parquet(f"{path}/v={max(usable)}") if usable else spark.createDataFrame([], SEEN)
+def seen_keyed(spark: SparkSession, path: str) -> KeyedTable:
+    return KeyedTable(spark, path, SEEN, ["name"])
+
+
+def seen_table(spark: SparkSession, path: str) -> DataFrame:
+    """The table kept by ``seen_stream``, after its last finished micro-batch."""
+    return seen_keyed(spark, path).read()
 
 
 def seen_stream(df: DataFrame, path: str, checkpoint: str, gap: int = 60):
-    """df(name, appid, at, seq): keyed upserts, one table version per micro-batch; a batch that is
-    repeated after a failure overwrites its own version."""
+    """df(name, appid, at, seq): keyed upserts. A micro-batch rewrites the buckets of its names; one that is repeated after a
+    failure changes nothing more."""
 
     def write(batch: DataFrame, epoch: int) -> None:
-        old = seen_table(batch.sparkSession, path, before=epoch)
-        upsert_seen(old, batch, gap).write.mode("overwrite").parquet(f"{path}/v={epoch}")
+        seen_keyed(batch.sparkSession, path).merge(epoch, batch.select("name", "appid", "at", "seq"), lambda old, new: upsert_seen(old, new, gap))
 
     return df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 

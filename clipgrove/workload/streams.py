@@ -229,7 +229,7 @@ def _(spark, sf):
 r AS (SELECT substr(line, 1, 10) AS day, n, line, sum(strlen(line) + 1) OVER (PARTITION BY substr(line, 1, 10) ORDER BY n) AS b FROM fx_logs WHERE substr(line, 1, 10) IN (SELECT day FROM d))
 SELECT n, line FROM r WHERE b <= 9000 UNION ALL SELECT min(n), concat(day, ' 23:59:59.999 WARN  logs: day limit of 9000 bytes reached') FROM r WHERE b > 9000 GROUP BY day""")
 def _(spark, sf):
-    from clipgrove.sources.logs import write_daily
+    from clipgrove.sources.logs import read_daily, write_daily
     from clipgrove.streaming.drive import scratch
 
     path = scratch(spark, "daily")
@@ -239,4 +239,49 @@ def _(spark, sf):
     parts = logs.withColumn("_day", F.substring("line", 1, 10)).join(middle, "_day")
     for half in (F.col("n") <= F.col("_mid"), F.col("n") > F.col("_mid")):
         write_daily(parts.where(half).select(*logs.columns), path, 9000)
-    return spark.read.parquet(path).select("n", "line")
+    return read_daily(spark, path).select("n", "line")
+
+
+MACHINE = "n % 3"
+SQL_FLEET = f"""l AS (SELECT cast({MACHINE} AS bigint) AS machine, substr(line, 1, 10) AS day, n, line, strlen(line) + 1 AS b FROM fx_logs),
+d AS (SELECT machine, day FROM (SELECT DISTINCT machine, day FROM l) QUALIFY row_number() OVER (PARTITION BY machine ORDER BY day DESC) <= 7)"""
+
+
+def fleet(spark, sf):
+    return view(spark, sf, "fx_logs").select(F.expr(f"cast({MACHINE} AS bigint)").alias("machine"), "n", "target", "line")
+
+
+@query("s10_daily_logs_of_machines", f"""WITH {SQL_FLEET}, r AS (SELECT l.*, sum(b) OVER (PARTITION BY l.machine, l.day ORDER BY n) AS t FROM l JOIN d ON d.machine = l.machine AND d.day = l.day)
+SELECT machine, day, n, line, false AS notice FROM r WHERE t <= 3000
+UNION ALL SELECT machine, day, min(n), concat(day, ' 23:59:59.999 WARN  logs: day limit of 3000 bytes reached'), true FROM r WHERE t > 3000 GROUP BY 1, 2""")
+def _(spark, sf):
+    """Every machine has its own budget and its own seven days; every batch is delivered twice."""
+    from clipgrove.sources.logs import read_daily, write_daily
+    from clipgrove.streaming.drive import scratch
+
+    path, logs = scratch(spark, "fleet"), fleet(spark, sf)
+    middle = logs.groupBy("machine", F.substring("line", 1, 10).alias("_day")).agg(((F.min("n") + F.max("n")) / 2).alias("_mid"))
+    parts = logs.withColumn("_day", F.substring("line", 1, 10)).join(middle, ["machine", "_day"])
+    for number, half in enumerate((F.col("n") <= F.col("_mid"), F.col("n") > F.col("_mid"))):
+        for _ in range(2):
+            write_daily(parts.where(half).select("machine", "n", "line"), path, 3000, machine="machine", batch=number)
+    return read_daily(spark, path).select("machine", "day", "n", "line", "notice")
+
+
+@query("w11_w12_logs_of_machines", f"""WITH {SQL_FLEET}, r AS (SELECT l.*, sum(b) OVER (PARTITION BY l.machine, l.day ORDER BY n) AS t FROM l JOIN d ON d.machine = l.machine AND d.day = l.day)
+SELECT machine, day, n, line, false AS notice FROM r WHERE t <= 2000
+UNION ALL SELECT machine, day, min(n), concat(day, ' 23:59:59.999 WARN  logs: day limit of 2000 bytes reached'), true FROM r WHERE t > 2000 GROUP BY 1, 2""")
+def _(spark, sf):
+    from clipgrove.sources.logs import byte_budget, keep_last
+
+    logs = fleet(spark, sf).withColumn("day", F.substring("line", 1, 10)).drop("target")
+    last = keep_last(logs.select("machine", F.col("day").alias("name")).distinct(), 7, ".*", keys=("machine",)).withColumnRenamed("name", "day")
+    return byte_budget(logs.join(last, ["machine", "day"], "left_semi"), 2000, keys=("machine", "day"))
+
+
+@query("r10_logs_of_machines", f"""WITH o AS (SELECT cast({MACHINE} AS bigint) AS machine, *, substr(line, 1, 10) AS day FROM fx_logs WHERE target IN ('app', 'ui') OR starts_with(target, 'app::')),
+r AS (SELECT machine, day, n, line, sum(strlen(line) + 1) OVER (PARTITION BY machine, day ORDER BY n) AS b FROM o)
+SELECT machine, n, line, false AS notice FROM r WHERE b <= 2000
+UNION ALL SELECT machine, min(n), concat(day, ' 23:59:59.999 WARN  logs: day limit of 2000 bytes reached'), true FROM r WHERE b > 2000 GROUP BY machine, day""")
+def _(spark, sf):
+    return run_steps(stepped(fleet(spark, sf), "n"), "step", STEPS, lambda df: R.log_stream(df, "app", 2000, "machine"), "fleet").select("machine", "n", "line", "notice")

@@ -1,9 +1,10 @@
+import pytest
 from conftest import rows
 from pyspark.sql import SparkSession, functions as F
 
 from clipgrove.functions import edits as E
 from clipgrove.operators import files as Z, registry as R
-from clipgrove.sources import documents as D, logs as L
+from clipgrove.sources import documents as D, logs as L, versions as V
 
 
 def test_playlist_index(spark, tmp_path):
@@ -57,7 +58,7 @@ def test_logs(spark, frame, tmp_path):
     assert [r[0] for r in rows(L.keep_last(names))] == [f"log-2024-01-0{d}.log" for d in range(3, 10)] + ["notes.txt"]
     days = frame("n bigint, line string", [(d, f"2024-01-0{d} 10:00:00.000 ERROR ui: two\nlines: {d}") for d in range(1, 10)])
     L.write_daily(days, str(tmp_path / "logs"))
-    back = spark.read.parquet(str(tmp_path / "logs"))
+    back = L.read_daily(spark, str(tmp_path / "logs"))
     assert sorted(str(r.day) for r in back.select("day").distinct().collect()) == [f"2024-01-0{d}" for d in range(3, 10)]
     got = back.select(*L.parse_line(F.col("line"))).where("day = '2024-01-09'").first()
     assert (got.ts, got.level, got.module, got.message) == ("2024-01-09 10:00:00.000", "ERROR", "ui", "two\nlines: 9")
@@ -74,7 +75,7 @@ def test_daily_log_appends_within_the_budget(frame, tmp_path):
     lines = [(i, day + "x" * 20) for i in range(30)]
     size = len(lines[0][1]) + 1
     path = str(tmp_path / "logs")
-    read = lambda: sorted((r.n, r.notice) for r in SparkSession.active().read.parquet(path).collect())
+    read = lambda: sorted((r.n, r.notice) for r in L.read_daily(SparkSession.active(), path).collect())
     df = frame("n bigint, line string", lines)
     L.write_daily(df.where("n < 5"), path, 12 * size)
     assert [n for n, _ in read()] == [0, 1, 2, 3, 4]
@@ -85,12 +86,58 @@ def test_daily_log_appends_within_the_budget(frame, tmp_path):
     assert len(read()) == 13
 
 
+def test_daily_log_counts_a_repeated_call_once(spark, frame, tmp_path, monkeypatch):
+    day = "2024-05-0{} 10:00:00.000 INFO  a: x"
+    lines = [(i, day.format(1 + i % 9)) for i in range(180)]
+    df, path = frame("n bigint, line string", lines), str(tmp_path / "logs")
+    part = lambda k: df.where(f"n div 10 = {k}")
+    commit = L.Versions.commit
+
+    def broken(self, state):
+        raise OSError("lost")
+
+    for k in range(18):
+        with monkeypatch.context() as m:
+            m.setattr(L.Versions, "commit", broken)
+            with pytest.raises(OSError):
+                L.write_daily(part(k), path, batch=k)
+        assert L.Versions.commit is commit
+        assert L.write_daily(part(k), path, batch=k) and not L.write_daily(part(k), path, batch=k)
+        got = sorted(r.n for r in L.read_daily(spark, path).collect())
+        seen = [n for n in range(10 * k + 10)]
+        days = sorted({1 + n % 9 for n in seen})[-7:]
+        assert got == [n for n in seen if 1 + n % 9 in days]
+    table = L.Versions(spark, path)
+    assert len(table.numbers()) == 2 and len(table.state["lines"]) < L.COMPACT and len(table._names(f"{path}/data")) <= L.COMPACT + 1
+
+
+def test_keyed_table_rewrites_touched_buckets_only(spark, frame, tmp_path, monkeypatch):
+    table = V.KeyedTable(spark, str(tmp_path / "t"), "k string, v bigint", ["k"], buckets=8)
+    fold = lambda old, new: old.unionByName(new).groupBy("k").agg(F.sum("v").alias("v"))
+    first = frame("k string, v bigint", [(f"k{i}", i) for i in range(100)])
+    assert table.merge(0, first, fold)
+    before = set(table.versions.state["live"])
+    with monkeypatch.context() as m:
+        m.setattr(V.Versions, "commit", lambda self, state: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            table.merge(1, frame("k string, v bigint", [("k1", 5)]), fold)
+    assert table.merge(1, frame("k string, v bigint", [("k1", 5)]), fold)
+    assert not table.merge(1, frame("k string, v bigint", [("k1", 5)]), fold)
+    assert len(before - set(table.versions.state["live"])) == 1
+    assert rows(table.read()) == sorted([(f"k{i}", i + (5 if i == 1 else 0)) for i in range(100)])
+    for number in range(2, 6):
+        table.merge(number, frame("k string, v bigint", [("k1", 1), ("new", 1)]), fold)
+    assert rows(table.read().where("k IN ('k1', 'new')")) == [("k1", 10), ("new", 4)]
+    live = {f.partition("/")[0] for f in table.versions.state["live"]}
+    assert set(table.versions._names(f"{tmp_path}/t/data")) <= live | {"b4"}
+
+
 def test_budget_and_retention_per_machine(frame, tmp_path):
     day = "2024-05-{:02d} 10:00:00.000 INFO  a: x"
     rows_ = [(h, h * 1000 + d, day.format(d)) for h in (1, 2) for d in range(1, 11 if h == 1 else 4)]
     path = str(tmp_path / "logs")
     L.write_daily(frame("host bigint, n bigint, line string", rows_), path, machine="host")
-    got = {(r.host, str(r.day)) for r in SparkSession.active().read.parquet(path).collect()}
+    got = {(r.host, str(r.day)) for r in L.read_daily(SparkSession.active(), path).collect()}
     assert got == {(1, f"2024-05-{d:02d}") for d in range(4, 11)} | {(2, f"2024-05-{d:02d}") for d in range(1, 4)}
 
 
