@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from clipgrove.functions import timebase as T
+from clipgrove.operators.ranges import expand
 from clipgrove.operators.scan import Run, count, neighbours, repack, rows_chunk, running, span_chunk
 from clipgrove.operators.timejoin import asof, interval_join
 
@@ -112,11 +113,10 @@ def gap_fill(kept: DataFrame, fps: int, stall: int = STALL_SLOTS, keys: list[str
     """One row per slot between kept rows. A short gap takes the next row; a gap of ``stall`` or
     more repeats the last row up to one slot before its end. (keys, slot, source_seq, filled, pts);
     slots differ, so their presentation times already advance. A gap of any length is written in blocks
-    of FILL_BLOCK slots; its rows come from one task."""
+    of FILL_BLOCK slots, which are dealt over all tasks."""
     prev = neighbours(kept.select(*keys, "seq", "slot"), keys, ["seq"], _seq(), prev={"_slot": F.col("slot"), "_from": F.col("seq")})
     start = F.coalesce(F.col("_slot") + 1, F.col("slot"))
-    blocks = prev.withColumn("_at", F.explode(F.sequence(start, F.col("slot"), F.lit(FILL_BLOCK).cast("bigint"))))
-    out = blocks.withColumn("at", F.explode(F.sequence(F.col("_at"), F.least(F.col("_at") + FILL_BLOCK - 1, F.col("slot")))))
+    out = expand(prev, start, F.col("slot"), "at", FILL_BLOCK)
     repeat = (F.col("slot") - 1 - F.col("_slot") >= stall) & (F.col("at") <= F.col("slot") - 2)
     return out.select(
         *keys, F.col("at").alias("slot"), F.when(repeat, F.col("_from")).otherwise(F.col("seq")).alias("source_seq"),

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from clipgrove.functions import timebase as T
+from clipgrove.operators.ranges import expand
 from clipgrove.operators.scan import Run, neighbours, rows_chunk, running
 from clipgrove.operators.timejoin import asof
 
@@ -39,7 +42,7 @@ def expand_runs(runs: DataFrame, scale: int, edits: DataFrame | None = None) ->
     n, delta = F.col("n").cast("bigint"), F.col("delta").cast("bigint")
     at = running(runs.select("clip", "i", n.alias("n"), delta.alias("delta")), CLIP, ["i"], {
         "_sample": Run("sum", F.col("n"), False), "_ticks": Run("sum", F.col("n") * F.col("delta"), False)}, rows_chunk("i"))
-    out = at.where("n > 0").withColumn("_k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
+    out = expand(at, F.lit(0), F.col("n") - 1, "_k")
     ticks = F.coalesce("_ticks", F.lit(0)) + F.col("_k") * F.col("delta")
     out = out.select("clip", (F.coalesce("_sample", F.lit(0)) + F.col("_k")).alias("sample"), T.to_hns(ticks, scale).alias("t"))
     if edits is None:
@@ -55,19 +58,23 @@ def samples_with_offsets(chunks: DataFrame, chunk_map: DataFrame, sizes: DataFra
     mapped = asof(chunks, chunk_map, CLIP, "chunk", "first", SPAN, {"per_chunk": "per_chunk"}).where("per_chunk IS NOT NULL")
     at = running(mapped, CLIP, ["chunk"], {"_start": Run("sum", F.col("per_chunk").cast("bigint"), False)}, rows_chunk("chunk"))
     at = at.withColumn("_start", F.coalesce("_start", F.lit(0)))
-    have = at.groupBy("clip").agg(F.sum("per_chunk").alias("_total"))
-    there = sizes.groupBy("clip").agg(F.count(F.lit(1)).alias("_samples"))
-    n = chunks.groupBy("clip").agg(F.max("chunk").alias("_chunks"))
-    ends = chunk_map.groupBy("clip").agg(F.min("first").alias("_low"), F.max("first").alias("_high"))
-    ok = have.join(there, "clip").join(n, "clip").join(ends, "clip").where(
-        (F.col("_total") == F.col("_samples")) & (F.col("_low") >= 1) & (F.col("_high") <= F.col("_chunks") + 1)).select("clip")
-    rows = at.join(ok, "clip", "left_semi").where("per_chunk > 0").withColumn(
-        "sample", F.explode(F.sequence(F.col("_start"), F.col("_start") + F.col("per_chunk") - 1)))
-    full = rows.select("clip", "chunk", "offset", "sample").join(sizes, ["clip", "sample"])
+    none = F.lit(None).cast("bigint")
+    facts = [mapped.select("clip", F.col("per_chunk").cast("bigint").alias("total"), none.alias("samples"), none.alias("chunk"), none.alias("first")),
+             sizes.select("clip", none, F.lit(1).cast("bigint"), none, none), chunks.select("clip", none, none, F.col("chunk").cast("bigint"), none),
+             chunk_map.select("clip", none, none, none, F.col("first").cast("bigint"))]
+    ok = reduce(lambda x, y: x.union(y), facts).groupBy("clip").agg(
+        F.sum("total").alias("_total"), F.sum("samples").alias("_samples"), F.max("chunk").alias("_chunks"), F.min("first").alias("_low"), F.max("first").alias("_high"))
+    ok = ok.where((F.col("_total") == F.col("_samples")) & (F.col("_low") >= 1) & (F.col("_high") <= F.col("_chunks") + 1)).select("clip")
+    # Every sample lies in the last chunk that starts at or before it.
+    place = F.struct("chunk", "offset", (F.col("_start") + F.col("per_chunk")).alias("end"))
+    starts = at.where("per_chunk > 0").select("clip", F.col("_start").alias("sample"), F.lit(0).alias("_kind"), place.alias("_c"), F.lit(None).cast(sizes.schema["size"].dataType).alias("size"))
+    both = starts.unionByName(sizes.select("clip", "sample", F.lit(1).alias("_kind"), F.lit(None).cast(starts.schema["_c"].dataType).alias("_c"), "size"))
+    rows = running(both, CLIP, ["sample", "_kind"], {"_in": Run("last", F.col("_c"))}, rows_chunk("sample")).where("_kind = 1 AND sample < _in.end")
+    full = rows.join(ok, "clip", "left_semi").select("clip", "sample", "_in.chunk", "_in.offset", "size")
     # A chunk of a file is a short run of samples, so this window never grows with the track.
     inside = W.partitionBy("clip", "chunk").orderBy("sample").rowsBetween(W.unboundedPreceding, -1)
-    out = full.withColumn("_in", F.sum("size").over(inside))
-    return out.select("clip", "sample", "chunk", (F.col("offset") + F.coalesce("_in", F.lit(0))).alias("offset"), "size")
+    out = full.withColumn("_before", F.sum("size").over(inside))
+    return out.select("clip", "sample", "chunk", (F.col("offset") + F.coalesce("_before", F.lit(0))).alias("offset"), "size")
 
 
 def keyframes(samples: DataFrame, sync: DataFrame, tables: DataFrame) -> DataFrame:

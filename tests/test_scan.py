@@ -7,6 +7,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from clipgrove.operators import packets as P, samples as M, stateful as S
+from clipgrove.operators.ranges import expand
 from clipgrove.operators.scan import Run, first_per_key, neighbours, repack, rows_chunk, running, span_chunk
 from clipgrove.operators.timejoin import asof, interval_join
 
@@ -283,3 +284,17 @@ def test_resize_over_chunks(frame, seed):
         assert got[i] == want, i
         if want:
             use[k] = (w, h)
+
+
+def test_expand_deals_blocks_of_one_long_range(spark, frame):
+    df = frame("k string, n bigint", [("long", 1_000_000), ("one", 0), ("none", -1), ("null", None)])
+    out = expand(df, F.lit(0), F.col("n"), "i", 1000).cache()
+    assert out.groupBy("k").agg(F.count("*"), F.min("i"), F.max("i"), F.countDistinct("i")).orderBy("k").collect() == [("long", 1_000_001, 0, 1_000_000, 1_000_001), ("one", 1, 0, 0, 1)]
+    out.unpersist()
+    long = expand(frame("n bigint", [(50_000_000,)]), F.lit(0), F.col("n"), "i")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "2k")
+    try:
+        tasks = long.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("c")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert len(tasks) > 1 and max(t.c for t in tasks) < 30_000_000
