@@ -18,11 +18,13 @@ AWAY = np.uint64(0x9E3779B97F4A7C15)
 
 @dataclass(frozen=True)
 class Settings:
-    """``words`` per seed; ``reach``: words that a passage has on either side of a seed, as a multiple of the longest item;
+    """``words`` per seed; ``longer``: words of the seeds in place of those that more than ``items`` items have; ``reach``: words that a passage has on either side of a seed, as a multiple of the longest item;
     ``match``, ``other`` and ``gap`` score the alignment; ``least``: share of the best possible score of the
     item from which on a document counts as contaminated; ``filter_bits``: size of the seed filter."""
 
     words: int = 3
+    longer: tuple[int, ...] = (5, 8)
+    items: int = 8
     reach: float = 1.25
     match: float = 2.0
     other: float = -1.0
@@ -41,26 +43,55 @@ def _grams(h: np.ndarray, n: int) -> np.ndarray:
 
 
 def _item_words(s: Settings):
-    """item_id, its word hashes, its seeds."""
+    """item_id, its word hashes, and for every place its seeds of each length (n, gram). A longer seed that would run over
+    the end lies at the end; an item that is too short for it keeps the seed before."""
+
+    def seeds_of(h: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        m = len(h)
+        n = min(s.words, max(1, m))
+        count = max(0, m - n + 1)
+        out = [(n, _grams(h, n)[:count])]
+        for k in s.longer:
+            out.append((k, _grams(h, k)[np.minimum(np.arange(count), m - k)]) if m >= k else out[-1])
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offs in text_slices(batch.column("text")):
                 start, end, before = word_spans(data, offs, plain=True)
                 h = word_hashes(data, start, end)
-                seeds = [_grams(h[x:y], min(s.words, max(1, y - x)))[:max(0, y - x - s.words + 1) or min(1, y - x)] for x, y in zip(before[:-1], before[1:])]
-                at = np.concatenate([[0], np.cumsum([len(x) for x in seeds])])
-                yield pa.record_batch([batch.column("item_id").slice(a, b - a), lists(signed(h), before, pa.int64()),
-                                       lists(signed(np.concatenate(seeds)) if len(seeds) else np.zeros(0, np.int64), at, pa.int64())], names=["item_id", "words", "seeds"])
+                made = [seeds_of(h[x:y]) for x, y in zip(before[:-1], before[1:])]
+                cols = [batch.column("item_id").slice(a, b - a), lists(signed(h), before, pa.int64())]
+                for k in range(1 + len(s.longer)):
+                    at = np.concatenate([[0], np.cumsum([len(x[k][1]) for x in made])])
+                    cols.append(lists(signed(np.concatenate([x[k][1] for x in made])) if made else np.zeros(0, np.int64), at, pa.int64()))
+                    cols.append(pa.array([x[k][0] for x in made], pa.int32()))
+                yield pa.record_batch(cols, names=["item_id", "words", *[f"{c}{k}" for k in range(1 + len(s.longer)) for c in ("seeds", "n")]])
 
     return run
 
 
+def _chosen(items: DataFrame, s: Settings) -> DataFrame:
+    """item_id, n, seed: at every place of an item the shortest seed that at most ``items`` items have, else the longest. So a
+    passage meets few items per seed, whatever phrases the items have in common."""
+    levels = range(1 + len(s.longer))
+    zipped = F.arrays_zip(*[F.col(f"seeds{k}").alias(f"s{k}") for k in levels])
+    places = cut(items.select("item_id", *[f"n{k}" for k in levels], F.explode(zipped).alias("p")).select("item_id", *[f"n{k}" for k in levels], "p.*"))
+    rows, pick = places, None
+    for k in levels[:-1]:
+        often = places.select("item_id", f"s{k}").distinct().groupBy(f"s{k}").agg(F.count("*").alias("c")).filter(F.col("c") > s.items).select(f"s{k}", F.lit(True).alias(f"often{k}"))
+        rows = rows.join(often, f"s{k}", "left")
+    for k in reversed(levels):
+        own = F.struct(F.col(f"n{k}").alias("n"), F.col(f"s{k}").alias("seed"))
+        pick = own if pick is None else F.when(F.col(f"often{k}").isNull(), own).otherwise(pick)
+    return cut(rows.select("item_id", pick.alias("p")).select("item_id", "p.*").distinct())
+
+
 def _passages(shared, s: Settings):
     """Passages around the words whose n-grams pass the filter: doc_id, start, words, seeds in them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, reach, short = shared.value
+        bits, reach, lengths = shared.value
         for batch in batches:
             for a, b, data, offs in text_slices(batch.column("text")):
                 start, end, before = word_spans(data, offs, plain=True)
@@ -69,7 +100,7 @@ def _passages(shared, s: Settings):
                     continue
                 last = np.repeat(before[1:], np.diff(before))
                 rows, places, seeds = [], [], []
-                for n in sorted({s.words, *short}):  # items of fewer words than a seed have shorter seeds
+                for n in sorted({s.words, *lengths}):
                     g = _grams(h, n)
                     hit = np.flatnonzero(passes(g, bits) & (np.arange(len(h)) + n <= last))
                     places.append(hit)
@@ -189,31 +220,38 @@ def _aligner(s: Settings, cells: int = 1 << 17):
     return run
 
 
+def candidates(docs: DataFrame, items: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
+    """(passages: doc_id, start, words, seeds; pairs: doc_id, start, item_id) that share a seed."""
+    seeds = _chosen(items, s)
+    longest, = items.agg(F.coalesce(F.max(F.size("words")), F.lit(0))).first()
+    lengths = [r[0] for r in seeds.select("n").distinct().collect()]  # a few numbers: words, longer ones and those of short items
+    shared = docs.sparkSession.sparkContext.broadcast((bit_filter(seeds, "seed", s.filter_bits), int(longest * s.reach) + s.words, lengths))
+    found = cut(docs.mapInArrow(_passages(shared, s), "doc_id long, start long, words array<long>, seeds array<long>"))
+    hits = (found.select("doc_id", "start", F.explode(F.array_distinct("seeds")).alias("seed")).join(seeds.select("item_id", "seed"), "seed")
+            .select("doc_id", "start", "item_id").distinct())
+    return found, hits
+
+
 def contaminated(documents: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id, item_id, score, identity (share of the item's best possible score), word_from, word_to (words
     of the document that the best alignment covers, the end not included), for every document and test item with
     an alignment of at least ``least``. Ties go to the earliest place.
 
-    A filter of fixed size picks the documents' n-grams that may be seeds, and passages around them; the real
-    seeds come by a join. Every seed of an item counts, however frequent: a passage is aligned to every item that it shares a
-    run of ``words`` words with, unless a bound on the score (``at_most``) rules it out, so what other documents hold
-    changes nothing. An alignment without such a run (every third word changed, at a share of 0.5) is not found. A phrase
-    that many items and many documents share costs a row and the bound for each pair of them. Words are runs of
-    letters and digits in lower case. Documents and items that are null, empty or without words match nothing;
+    A filter of fixed size picks the documents' n-grams that may be seeds, and passages around them; the real seeds come by a join. Every
+    run of ``words`` words of an item is a seed, unless more than ``items`` items have it; then the run of 5, or else 8, words there is
+    the seed. How rare a seed is goes by the items alone, so what other documents hold changes nothing, and copies of an item make none
+    of its seeds frequent. A passage is aligned to every item that it shares a seed with, unless a bound on the score (``at_most``)
+    rules it out: one row per passage and item, at most ``items`` for each seed in it but those of eight words that still more
+    items share. An alignment without such a run (every third word changed, at a share of 0.5, or only phrases in common that many
+    items have) is not found. Words are runs of letters and digits in lower case. Documents and items that are null, empty or without words match nothing;
     rows with a null id are ignored; repeated rows of an item count once (the first words), repeated
     documents give their pairs once. Only the id and text columns are read."""
     s = settings
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
     tests = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null")
-    items = cut(tests.mapInArrow(_item_words(s), "item_id long, words array<long>, seeds array<long>").filter(F.size("words") > 0).dropDuplicates(["item_id"]))
-    spans = items.select(F.size("words").alias("n"), F.explode("seeds").alias("seed"))
-    longest, = items.agg(F.coalesce(F.max(F.size("words")), F.lit(0))).first()
-    short = [r[0] for r in items.filter(F.size("words") < s.words).select(F.size("words")).distinct().collect()]  # fewer than s.words values
-    shared = docs.sparkSession.sparkContext.broadcast((bit_filter(spans, "seed", s.filter_bits), int(longest * s.reach) + s.words, short))
-    found = cut(docs.mapInArrow(_passages(shared, s), "doc_id long, start long, words array<long>, seeds array<long>"))
-    seeds = items.select("item_id", F.explode(F.array_distinct("seeds")).alias("seed"))
-    hits = (found.select("doc_id", "start", F.explode(F.array_distinct("seeds")).alias("seed")).join(seeds, "seed")
-            .select("doc_id", "start", "item_id").distinct())
+    schema = "item_id long, words array<long>" + "".join(f", seeds{k} array<long>, n{k} int" for k in range(1 + len(s.longer)))
+    items = cut(tests.mapInArrow(_item_words(s), schema).filter(F.size("words") > 0).dropDuplicates(["item_id"]))
+    found, hits = candidates(docs, items, s)
     pairs = (hits.join(found.select("doc_id", "start", "words").dropDuplicates(["doc_id", "start"]), ["doc_id", "start"])
              .join(items.select("item_id", F.col("words").alias("item_words")), "item_id"))
     out = pairs.mapInArrow(_aligner(s), "doc_id long, item_id long, score double, identity double, word_from long, word_to long")

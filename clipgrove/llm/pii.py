@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from clipgrove.llm.words import free_name
 
 #: order of the alternatives is the order of preference
-EMAIL = r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+EMAIL = r"[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){1,126}+"  # possessive: matched in a loop, not by recursion
 IBAN = r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)"
 DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}"
 IP = r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"
@@ -24,6 +24,7 @@ KINDS = {"email": EMAIL, "iban": IBAN, "date": DATE, "ip": IP, "phone": PHONE, "
 ANY = rf"(?<![A-Za-z0-9._%+-])(?:{EMAIL})(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:{'|'.join(v for k, v in KINDS.items() if k != 'email')})(?![A-Za-z0-9])(?!\.[0-9])"
 FIRST_DAY, DAYS = "1900-01-01", 73_049
 WALKS = 271 * 270 - DAYS + 1
+LATE_DAYS = 19  # of a month, from the 13th on
 ROUNDS = 8
 
 
@@ -127,8 +128,21 @@ def _date(m: Column, key: str) -> Column:
         back = F.date_add(F.lit(FIRST_DAY).cast("date"), new)
         return F.when(day.between(0, DAYS - 1), F.when(F.length(text) == 10, F.date_format(back, wide)).otherwise(F.date_format(back, layout)))
 
+    def day_first(text: Column) -> Column:
+        """Texts that can only be day/month: permuted among days from the 13th on, so that they stay apart from month/day."""
+        date = F.try_to_timestamp(text, F.lit("d/M/yyyy")).cast("date")
+        month = lambda a: F.add_months(F.lit(FIRST_DAY).cast("date"), (a / LATE_DAYS).cast("int"))
+        there = lambda a: F.dayofmonth(F.last_day(month(a))) >= a % LATE_DAYS + 13
+        cell = (F.year(date) * 12 + F.month(date) - 1900 * 12 - 1) * LATE_DAYS + F.dayofmonth(date) - 13
+        # nine in ten cells are days, so a walk as long as the sequence does not occur (0.1 to the power of its length)
+        walk = lambda a, i: F.when((i > 1) & there(a), a).otherwise(once(
+            feistel(F.array((a / LATE_DAYS).cast("int"), a % LATE_DAYS), F.array(F.lit(2400), F.lit(LATE_DAYS)), "day first", key), lambda d: d[0] * LATE_DAYS + d[1]))
+        new = F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), cell, walk)
+        back = once(new, lambda a: F.date_add(month(a), a % LATE_DAYS + 12))
+        return F.when((F.dayofmonth(date) > 12) & F.year(date).between(1900, 2099), F.when(F.length(text) == 10, F.date_format(back, "dd/MM/yyyy")).otherwise(F.date_format(back, "d/M/yyyy")))
+
     return (F.when(m.contains("-"), moved(m, "yyyy-MM-dd", "yyyy-MM-dd")).when(m.contains("."), moved(m, "d.M.yyyy", "dd.MM.yyyy"))
-            .otherwise(F.coalesce(moved(m, "M/d/yyyy", "MM/dd/yyyy"), moved(m, "d/M/yyyy", "dd/MM/yyyy"))))
+            .otherwise(F.coalesce(moved(m, "M/d/yyyy", "MM/dd/yyyy"), day_first(m))))
 
 
 def _ip(m: Column, key: str) -> Column:
@@ -183,7 +197,8 @@ def pseudonymise(documents: DataFrame, key: str, text: str = "text") -> DataFram
     replaced, and ``replaced``: an array of (kind, value), the pseudonyms in order. Columns of these names are replaced, others kept.
 
     Numbers that fail their check (Luhn, mod 97, parts of an address over 255, no such day, a day outside 1900-2099) are left.
-    A null text stays null with a null array; empty texts and texts without a match stay as they are. No shuffle: each row
+    A date with slashes is month/day if that is a day, else day/month; the two are formats of their own. Texts of any length, and domains
+    of any number of labels (a match ends after 127), are searched without recursion; a name of more than 64 characters is no e-mail name. A null text stays null with a null array; empty texts and texts without a match stay as they are. No shuffle: each row
     is rewritten where it is read. Social-security pseudonyms keep the layout, not the rules on issued areas."""
     whole = F.col(f"`{text}`").cast("string")
     # texts without a digit or @ skip the search

@@ -17,15 +17,23 @@ def path(url: Column) -> Column:
     return F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
 
 
-def patterns(url: str) -> Column:
-    """What a list entry may say to match the URL: its host, every parent domain, and the host with each leading part of its
-    path that ends in a slash, and with the whole path."""
+def _entry(pattern: Column) -> Column:
+    """A pattern with its host in lower case; paths are as they are written."""
+    name = F.substring_index(pattern, "/", 1)
+    return F.concat(F.lower(name), F.substr(pattern, F.length(name) + 1))
+
+
+def patterns(url: str, labels: int, folders: int) -> Column:
+    """What a list entry may say to match the URL: its host and every parent domain of at most ``labels`` labels, and the host with each
+    leading part of its path that ends in one of the first ``folders`` slashes, and with the whole path."""
     h, p = host(F.col(url)), path(F.col(url))
-    labels = F.split(h, r"\.")
-    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    parts = F.split(p, "/")
-    folders = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat(h, F.array_join(F.slice(parts, 1, i), "/"), F.when(i < F.size(parts), F.lit("/")).otherwise(F.lit(""))))
-    return F.when(h == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(domains, folders)))
+    names = F.split(h, r"\.")
+    domains = F.transform(F.sequence(F.lit(1), F.least(F.size(names), F.lit(labels))), lambda i: F.array_join(F.slice(names, -i, i), "."))
+    parts = F.slice(F.split(p, "/", folders + 1), 1, folders)  # what lies behind is not split
+    slashes = F.least(F.length(p) - F.length(F.replace(p, F.lit("/"), F.lit(""))), F.lit(folders))
+    starts = F.when(slashes > 0, F.transform(F.sequence(F.lit(1), slashes), lambda i: F.concat(h, F.array_join(F.slice(parts, 1, i), "/"), F.lit("/"))))
+    whole = F.concat(F.coalesce(starts, F.array().cast("array<string>")), F.array(F.concat(h, p)))
+    return F.when(h == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(F.when(F.lit(labels) > 0, domains).otherwise(F.array().cast("array<string>")), whole)))
 
 
 def intervals(entries: DataFrame, bucket: int = 30 * DAY) -> DataFrame:
@@ -34,7 +42,7 @@ def intervals(entries: DataFrame, bucket: int = 30 * DAY) -> DataFrame:
     An entry holds until the next one of its list and pattern; of several at one time an active one wins. The next
     entry is looked up inside buckets of time and, at the end of a bucket, in a table with one row per bucket,
     so a pattern with any number of entries is spread over tasks."""
-    e = (entries.select(F.col("list").cast("string").alias("list"), F.lower(F.col("pattern").cast("string")).alias("pattern"), F.col("at").cast("long").alias("at"),
+    e = (entries.select(F.col("list").cast("string").alias("list"), _entry(F.col("pattern").cast("string")).alias("pattern"), F.col("at").cast("long").alias("at"),
                         F.col("active").cast("boolean").alias("active")).dropna()
          .groupBy("list", "pattern", "at").agg(F.max("active").alias("active")).withColumn("bucket", F.expr(f"at div {bucket}")))
     firsts = e.groupBy("list", "pattern", "bucket").agg(F.min("at").alias("start"))
@@ -50,15 +58,20 @@ def evaluate(captures: DataFrame, entries: DataFrame, bucket: int = 30 * DAY) ->
 
     Captures and intervals meet by pattern and bucket of time; an interval lies in every bucket that it covers up to the last
     capture. Repeated rows, other urls of one page_id and time, and rows with a null page_id each have their own row; a null url
-    or time is never blocked; URLs without a host match nothing. Only the named columns are read."""
+    or time is never blocked; URLs without a host match nothing. Hosts
+    are compared in lower case, paths as they are written. A URL of any length gives at most as many patterns as the labels and slashes of
+    the deepest list entry, and one for its whole path. Only the named columns are read."""
     c = captures.select(F.col("page_id").cast("long").alias("page_id"), F.col("at").cast("long").alias("at"), F.col("url").cast("string").alias("url"),
                         F.monotonically_increasing_id().alias("row"))
+    name = F.substring_index("pattern", "/", 1)
+    labels, folders = entries.select(F.col("pattern").cast("string").alias("pattern")).agg(
+        F.coalesce(F.max(F.size(F.split(name, r"\."))), F.lit(1)), F.coalesce(F.max(F.length("pattern") - F.length(F.replace("pattern", F.lit("/"), F.lit("")))), F.lit(0))).first()
     last, = c.agg(F.max(F.expr(f"at div {bucket}"))).first()
     spans = intervals(entries, bucket)
     end = F.least(F.coalesce(F.expr(f"(valid_to - 1) div {bucket}"), F.lit(last or 0)), F.lit(last or 0))
     spans = (spans.withColumn("first", F.expr(f"valid_from div {bucket}")).withColumn("end", end).filter("first <= end")
              .select("list", "pattern", "valid_from", "valid_to", F.explode(F.sequence("first", "end")).alias("bucket")))
-    keys = c.select("row", "page_id", "at", F.explode_outer(patterns("url")).alias("pattern")).withColumn("bucket", F.expr(f"at div {bucket}"))
+    keys = c.select("row", "page_id", "at", F.explode_outer(patterns("url", labels, max(1, folders))).alias("pattern")).withColumn("bucket", F.expr(f"at div {bucket}"))
     # AQE splits a hot host on the capture side
     met = keys.join(spans, (keys.pattern == spans.pattern) & (keys.bucket == spans.bucket) & (keys["at"] >= spans.valid_from)
                     & (spans.valid_to.isNull() | (keys["at"] < spans.valid_to)), "left").select(

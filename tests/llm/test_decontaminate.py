@@ -86,3 +86,20 @@ def test_odd_rows(spark, odd, empty, small):
     assert D.contaminated(odd, bench).count() == 0 and D.contaminated(empty, bench).count() == 0 and D.contaminated(odd, bench.limit(0)).count() == 0
     own = spark.createDataFrame([(1, "w x y z w x y z w x y z")], "item_id long, text string")
     assert [(r.doc_id, r.identity) for r in D.contaminated(odd, own).collect()] == [(6, 1.0)]
+
+
+def test_phrases_that_many_items_share_make_no_pairs(spark):
+    """Items and documents that only have a common phrase; and copies whose every word is in many items still found."""
+    rng = random.Random(8)
+    word = lambda p: f"{p}{rng.randrange(10**9)}"
+    items = [(i, " ".join(["which", "of", "the", "following", *[word("q") for _ in range(12)]])) for i in range(300)]
+    items += [(300 + i, "all of these words stand in more than eight items of the test") for i in range(12)]
+    docs = [(i, " ".join([*[word("d") for _ in range(20)], "which", "of", "the", "following", *[word("d") for _ in range(20)]])) for i in range(2000)]
+    docs += [(5000, f"x {items[7][1]} y"), (5001, f"u {items[300][1]} v")]
+    docs, tests = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    s = D.Settings()
+    schema = "item_id long, words array<long>" + "".join(f", seeds{k} array<long>, n{k} int" for k in range(3))
+    _, pairs = D.candidates(docs, tests.mapInArrow(D._item_words(s), schema), s)
+    assert pairs.count() < 100
+    got = {(r.doc_id, r.item_id) for r in D.contaminated(docs, tests).collect()}
+    assert got == {(5000, 7)} | {(5001, 300 + i) for i in range(12)}

@@ -75,3 +75,32 @@ def test_other_key_other_pseudonym_and_odd_rows(spark, odd, empty):
     assert all(got[i].text == want[i].text and got[i]["_old"] == "x" for i in want)
     assert got[1].replaced is None and got[2].replaced == []
     assert pii.pseudonymise(empty, "k").count() == 0
+
+
+def test_long_texts_are_searched_without_recursion(spark):
+    many = 20_000
+    rows = [(1, "a@b" + ".b" * many), (2, "12345" * many), (3, "1234 " * many), (4, "GB82 " + "WEST " * many), (5, "1.1" * many), (6, "a." * many + "x@y.z"), (7, "a" * many + "@" + "b-" * many)]
+    got = {r.doc_id: r.text for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    assert got[1][1:] == rows[0][1][1:] and got[6] == rows[5][1]
+    assert all(len(got[i]) == len(t) for i, t in rows if i != 5)  # addresses change their length
+    assert one(spark, "jo.do@mail.example.co.uk, x").text.endswith("@mail.example.co.uk, x")
+
+
+def test_days_stay_apart_in_every_layout(spark):
+    import datetime
+
+    days = [datetime.date(1999, 1, 1) + datetime.timedelta(i) for i in range(3000)]
+    texts = {}
+    for d in days:
+        for layout in ("{m:02d}/{d:02d}/{y}", "{d:02d}/{m:02d}/{y}", "{m}/{d}/{y}", "{d}/{m}/{y}"):
+            t = layout.format(y=d.year, m=d.month, d=d.day)
+            a, b, y = map(int, t.split("/"))
+            texts[t] = (y, a, b) if a <= 12 else (y, b, a)  # as it is read
+    rows = list(enumerate(sorted(texts)))
+    got = {r.doc_id: r.text for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    read = lambda t: (lambda a, b, y: (datetime.date(y, a, b), "m") if a <= 12 else (datetime.date(y, b, a), "d"))(*map(int, t.split("/")))
+    seen = {}
+    for i, t in rows:
+        assert read(got[i])[1] == read(t)[1] and (len(got[i]) == 10 or len(t) < 10)
+        seen.setdefault(read(got[i]), set()).add(read(t))
+    assert all(len(x) == 1 for x in seen.values()) and len(seen) == len({read(t) for _, t in rows})

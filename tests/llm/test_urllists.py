@@ -43,3 +43,21 @@ def test_every_capture_has_its_row(spark):
     got = urllists.evaluate(spark.createDataFrame(rows, "page_id long, url string, at long"), entries).collect()
     want = [(i, t, u == "http://bad.org/a" or i is None and t == 5 and "bad" in u) for i, u, t in rows]
     assert sorted(map(str, want)) == sorted(str((r.page_id, r["at"], r.blocked)) for r in got)
+
+
+def test_paths_keep_their_case(spark):
+    entries = [("l", "Site.ORG/Secret/", 0, True), ("l", "site.org/Page", 0, True)]
+    urls = ["http://site.org/Secret/x", "http://SITE.org/secret/x", "http://site.org/Page", "http://site.org/page", "http://site.org/Page/", "http://site.org/Secret/", "http://site.org/Secret"]
+    got = run(spark, [(i, u, 5) for i, u in enumerate(urls)], entries)
+    assert [got[i, 5][0] for i in range(len(urls))] == [True, False, True, False, False, True, False]
+
+
+def test_long_urls(spark):
+    import time
+
+    deep = "http://a.b/" + "/".join("x" * 5 for _ in range(3)) + "/" * 200_000 + "y" * 800_000
+    wide = "http://" + "h." * 100_000 + "bad.org/x"
+    entries = [("l", "a.b/xxxxx/xxxxx/", 0, True), ("l", "bad.org", 0, True), ("l", "a.b//", 0, True)]
+    start = time.time()
+    got = run(spark, [(1, deep, 5), (2, wide, 5), (3, "http://a.b//z", 5), (4, "http://a.b/", 5)], entries)
+    assert [got[i, 5][0] for i in (1, 2, 3, 4)] == [True, True, True, False] and time.time() - start < 60
