@@ -14,5 +14,6 @@ def expand(df: DataFrame, first: Column, last: Column, out: str, block: int = BL
     low, high = first.cast("bigint"), last.cast("bigint")
     cut = df.withColumn("_last", high).withColumn("_first", F.explode(F.when(low <= high, F.sequence(low, high, F.lit(block).cast("bigint")))))
     names = [c for c in df.columns if c != out]
-    dealt = cut.select(*names, "_first", F.least(F.col("_first") + (block - 1), F.col("_last")).alias("_last")).repartition("_first", *names)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number, as few small blocks would be put together again
+    dealt = cut.select(*names, "_first", F.least(F.col("_first") + (block - 1), F.col("_last")).alias("_last")).repartition(parts, "_first", *names)
     return dealt.select(*names, F.explode(F.sequence("_first", "_last")).alias(out))
