@@ -149,25 +149,67 @@ def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _block_links(percent: int):
-    """Links between the two sides of each block, one per pair of classes. Rows come sorted by block."""
+def _prefixes(sets: list[np.ndarray], side: np.ndarray, k: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(member, shingle code) of the shingles that a link inside the block must share.
+
+    With shingles ordered by frequency in the block, two sets that reach ``percent`` share one of the first
+    n - ceil(n * percent / 100) + 1 of each. Of these only shingles on both sides and in more than one class count,
+    so a line that many otherwise unlike members have in common brings none of them together."""
+    n = np.array([len(x) for x in sets])
+    member = np.repeat(np.arange(len(sets)), n)
+    _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(count), np.int64)
+    rank[np.argsort(count, kind="stable")] = np.arange(len(count))
+    code = rank[code]
+    order = np.lexsort((code, member))
+    member, code = member[order], code[order]
+    place = np.arange(len(member)) - np.repeat(np.cumsum(n) - n, n)
+    ok = place <= (n - -(-n * percent // 100))[member]
+    member, code = member[ok], code[ok]
+    least, most = np.full(len(count), np.iinfo(np.int64).max), np.full(len(count), -1, np.int64)
+    np.minimum.at(least, code, k[member])
+    np.maximum.at(most, code, k[member])
+    on = [np.isin(np.arange(len(count)), code[side[member] == s]) for s in (0, 1)]
+    ok = (on[0] & on[1] & (least < most))[code]
+    return member[ok], code[ok]
+
+
+def _tiles(members: np.ndarray, codes: np.ndarray, size: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Members, those of near shingle codes together, in pieces of ``size`` with the codes of each piece."""
+    order = np.lexsort((codes, members))
+    members, codes = members[order], codes[order]
+    who, first = np.unique(members, return_index=True)
+    turn = who[np.argsort(codes[first], kind="stable")]
+    return [(t, np.unique(codes[np.isin(members, t)])) for t in (turn[i:i + size] for i in range(0, len(turn), size))]
+
+
+def _block_links(percent: int, tile: int = 1024):
+    """Links between the two sides of each block: at most one less than it has classes. Rows come sorted by block.
+    Members are compared ``tile`` by ``tile``, so memory is that of the block and of one tile."""
 
     def links(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(rows).combine_chunks()
-        side = t["side"].to_numpy()
-        ids, k = t["id"].to_numpy(), t["k"].to_numpy()
+        side, ids = t["side"].to_numpy(), t["id"].to_numpy()
+        names, k = np.unique(t["k"].to_numpy(), return_inverse=True)
         sets = [x.values.to_numpy() for x in t["shingles"].combine_chunks()]
-        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        found = {}
-        if len(a) and len(b):
-            both = _overlaps([sets[i] for i in a], [sets[i] for i in b])
-            n = np.array([len(x) for x in sets])
-            ok = (both * 100 >= (n[a][:, None] + n[b][None] - both) * percent) & (k[a][:, None] != k[b][None])
-            for x, y in zip(*np.nonzero(ok)):
-                i, j = a[x], b[y]
-                found.setdefault((min(k[i], k[j]), max(k[i], k[j])), (min(ids[i], ids[j]), max(ids[i], ids[j])))
-        pairs = list(found.values())
-        return pa.record_batch([pa.array([int(p[0]) for p in pairs], pa.int64()), pa.array([int(p[1]) for p in pairs], pa.int64())], names=["a", "b"])
+        n = np.array([len(x) for x in sets])
+        member, code = _prefixes(sets, side, k, percent)
+        left, right = (_tiles(member[side[member] == s], code[side[member] == s], tile) for s in (0, 1))
+        group, found = np.arange(len(names)), []  # classes joined so far
+        for a, ca in left:
+            for b, cb in right:
+                if not len(np.intersect1d(ca, cb, assume_unique=True)):
+                    continue
+                both = _overlaps([sets[i] for i in a], [sets[i] for i in b])
+                x, y = np.nonzero((both * 100 >= (n[a][:, None] + n[b][None] - both) * percent) & (group[k[a]][:, None] != group[k[b]][None]))
+                pair = np.minimum(k[a[x]], k[b[y]]) * len(names) + np.maximum(k[a[x]], k[b[y]])
+                for at in np.unique(pair, return_index=True)[1]:
+                    i, j = a[x[at]], b[y[at]]
+                    u, v = group[k[i]], group[k[j]]
+                    if u != v:
+                        group[group == max(u, v)] = min(u, v)
+                        found.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+        return pa.record_batch([pa.array([int(p[c]) for p in found], pa.int64()) for c in (0, 1)], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, now = [], None
@@ -194,7 +236,7 @@ def _edges(buckets: DataFrame, reps: DataFrame, docs: DataFrame, plan: Plan) ->
 
     First every member is compared with one member of its bucket, another one in every band, so large groups
     of copies become one class in few comparisons. A member that is still outside the largest class of one of its buckets
-    is then compared with all members of other classes there, on full sets, in blocks of bounded size:
+    is then compared with all members of other classes there that share one of its rarest shingles, on full sets, in blocks of bounded size:
     no pairs are written, only links, and blocks of one bucket spread over all tasks."""
     turn = F.xxhash64("id", "key")
     first = buckets.groupBy("key").agg(F.min_by("id", F.struct(turn, F.col("id"))).alias("p"), F.count("*").alias("c")).filter("c > 1").select("key", "p")
