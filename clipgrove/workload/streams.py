@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from clipgrove.fixtures import table, view
 from clipgrove.streaming import operators as R
-from clipgrove.streaming.drive import run_sink, run_steps
+from clipgrove.sources.packets import PACKETS, packets as packet_source
+from clipgrove.streaming.drive import run_sink, run_steps, scratch
 from clipgrove.workload import query
 from clipgrove.workload.packets import HOUR, SQL_CONT, SQL_KEPT, SQL_REPLAY, WINDOW
 
@@ -27,6 +28,18 @@ def packets(spark, sf):
     return view(spark, sf, "fx_packets")
 
 
+@query("s7_packet_stream", "SELECT stream_id, segment, track, seq, time, dur, key, size, width FROM fx_packets")
+def _(spark, sf):
+    """Packet files followed as a stream of at most four files a batch; a second run picks up the files that came after the first."""
+    root = scratch(spark, "follow")
+    rows = stepped(packets(spark, sf), "seq")
+    for step in range(STEPS):
+        rows.where(f"step = {step}").select(*PACKETS.names).write.mode("append").parquet(f"{root}/in")
+        sink = packet_source(spark, f"{root}/in", streaming=True, files_per_trigger=4).writeStream.format("parquet").option("path", f"{root}/out")
+        sink.option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(PACKETS).parquet(f"{root}/out")
+
+
 @query("r1_ring_state", f"""WITH {SQL_REPLAY} SELECT b.stream_id, b.request_id, p.seq, p.track, p.time - base AS out_time FROM b JOIN fx_packets p
   ON p.stream_id = b.stream_id AND p.segment = b.segment AND p.time >= base AND p.time <= b.at""")
 def _(spark, sf):
