@@ -26,7 +26,7 @@ GAME = ("struct<id: string, name: string, icon_hash: string, executables: array<
         "is_launcher: boolean, arguments: string>>, third_party_skus: array<struct<distributor: string, id: string>>>")
 
 
-def _present(spark: SparkSession, paths: list[str]) -> list[str]:
+def present(spark: SparkSession, paths: list[str]) -> list[str]:
     """Paths that exist, asked of the file system each belongs to."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     found = []
@@ -41,7 +41,7 @@ def catalog_scan(spark: SparkSession, roots: list[str], exts: tuple[str, ...] =
     """Clip files directly in the roots: root_no, path, name, size_bytes, modified_ms. Only file
     metadata is read. Absent roots are empty."""
     schema = "root_no int, path string, name string, size_bytes bigint, modified_ms bigint"
-    there = set(_present(spark, roots))
+    there = set(present(spark, roots))
     out = spark.createDataFrame([], schema)
     for i, root in enumerate(roots):
         if root not in there:
@@ -56,7 +56,7 @@ def catalog_scan(spark: SparkSession, roots: list[str], exts: tuple[str, ...] =
 
 def read_documents(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(doc, value): whole texts with the file they come from; no file, no row."""
-    wanted = _present(spark, [paths] if isinstance(paths, str) else paths)
+    wanted = present(spark, [paths] if isinstance(paths, str) else paths)
     if not wanted:
         return spark.createDataFrame([], "doc string, value string")
     return spark.read.text(wanted, wholetext=True).select(F.col("_metadata.file_path").alias("doc"), "value")

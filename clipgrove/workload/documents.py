@@ -7,20 +7,49 @@ from pyspark.sql import functions as F
 from clipgrove.fixtures import table, view
 from clipgrove.functions import text
 from clipgrove.operators import files as Z
-from clipgrove.sources import documents as D, logs as L
+from clipgrove.sources import documents as D, entries as E, logs as L
+from clipgrove.streaming.drive import scratch
 from clipgrove.workload import query
 
 NOW = 1700000000000 + 600 * 3600000
+SPAN = 20_000
 
 
-@query("s2_read_overlay_index", """SELECT concat('/c/', cast(clip_no AS string)) AS path, game, CASE WHEN cover IS NOT NULL THEN cover END AS cover, cast(cover_ms AS bigint) AS cover_ms,
-  cast(derived_from_no AS string) AS derived_from FROM fx_overlay""")
-def _(spark, sf):
+SQL_OVERLAY = """SELECT concat('/c/', cast(clip_no AS string)) AS path, game, CASE WHEN cover IS NOT NULL THEN cover END AS cover, cast(cover_ms AS bigint) AS cover_ms,
+  cast(derived_from_no AS string) AS derived_from FROM fx_overlay"""
+
+
+def overlay_docs(spark, sf):
     """Each overlay row as a document of its own; absent fields are left out of the text."""
     o = view(spark, sf, "fx_overlay")
     doc = F.to_json(F.create_map(F.concat(F.lit("/c/"), F.col("clip_no").cast("string")), F.struct(
         "game", "cover", F.when(F.col("cover_ms") > 0, F.col("cover_ms")).alias("cover_ms"), F.col("derived_from_no").cast("string").alias("derived_from"))))
-    return D.overlay_rows(o.select(F.col("clip_no").cast("string").alias("doc"), doc.alias("value")))
+    return o.select(F.col("clip_no").cast("string").alias("doc"), doc.alias("value"))
+
+
+@query("s2_read_overlay_index", SQL_OVERLAY)
+def _(spark, sf):
+    return D.overlay_rows(overlay_docs(spark, sf))
+
+
+def large_documents(spark, rows, brackets):
+    """Documents of the texts ``entry``, in the order of ``at``, one for every SPAN values of ``at``, each in a file of its own."""
+    path = scratch(spark, "document")
+    rows = rows.select((F.col("at").cast("bigint")).alias("at"), "entry").withColumn("part", F.floor(F.col("at") / SPAN))
+    ends = rows.groupBy("part").agg(F.min("at").alias("least"))
+    placed = rows.join(ends, "part").select("part", "at", F.concat(F.when(F.col("at") == F.col("least"), "").otherwise(","), "entry").alias("value"))
+    for end, bracket in zip((-1, 2**62), brackets):
+        placed = placed.unionByName(ends.select("part", F.lit(end).cast("bigint").alias("at"), F.lit(bracket).alias("value")))
+    placed.repartition("part").sortWithinPartitions("part", "at").select("part", "value").write.partitionBy("part").text(path)
+    return path
+
+
+@query("s2_read_large_overlay_index", SQL_OVERLAY)
+def _(spark, sf):
+    """Overlay rows as large documents, read by ranges."""
+    inner = F.regexp_replace("value", r"\A\{|\}\z", "")
+    docs = overlay_docs(spark, sf).select(F.col("doc").cast("bigint").alias("at"), inner.alias("entry"))
+    return E.read_overlay_index(spark, large_documents(spark, docs, "{}"))
 
 
 @query("s3_read_edit_index", """SELECT cast(e.clip AS string) AS path, count(s.idx) AS segments, coalesce(sum(s.end_ms), 0) AS end_sum, e.format_kind AS kind, e.brightness,
@@ -62,8 +91,27 @@ def _(spark, sf):
     return D.playlist_rows(playlist_docs(spark, sf))[1]
 
 
-@query("s5_read_registry", """SELECT idx, CASE WHEN idx % 4 = 0 THEN '' ELSE cast(idx AS string) END AS id, name, icon_hash, CASE WHEN idx % 3 = 1 THEN idx END AS steam_appid,
-  CASE WHEN idx % 2 = 0 THEN concat('x', cast(idx AS string)) END AS xbox_sku FROM fx_registry""")
+@query("s4_read_large_playlist_index", SQL_ENTRY)
+def _(spark, sf):
+    """Playlists as large documents, read by ranges."""
+    inner = F.regexp_replace("value", r"\A\[|\]\z", "")
+    docs = playlist_docs(spark, sf).select(F.col("doc").cast("bigint").alias("at"), inner.alias("entry"))
+    return E.read_playlist_index(spark, large_documents(spark, docs, "[]"))[1]
+
+
+SQL_REGISTRY = """SELECT idx, CASE WHEN idx % 4 = 0 THEN '' ELSE cast(idx AS string) END AS id, name, icon_hash, CASE WHEN idx % 3 = 1 THEN idx END AS steam_appid,
+  CASE WHEN idx % 2 = 0 THEN concat('x', cast(idx AS string)) END AS xbox_sku FROM fx_registry"""
+
+
+@query("s5_read_large_registry", SQL_REGISTRY.replace("SELECT idx", f"SELECT cast(row_number() OVER (PARTITION BY idx // {SPAN} ORDER BY idx) - 1 AS int) AS idx", 1))
+def _(spark, sf):
+    """Games as large documents, read by ranges; a game has the number of its place."""
+    inner = F.regexp_replace("value", r"\A\[|\]\z", "")
+    docs = registry_texts(spark, sf).select(F.col("doc").cast("bigint").alias("at"), inner.alias("entry"))
+    return E.read_registry(spark, large_documents(spark, docs, "[]"))["game"].select("idx", "id", "name", "icon_hash", "steam_appid", "xbox_sku")
+
+
+@query("s5_read_registry", SQL_REGISTRY)
 def _(spark, sf):
     return D.registry_tables(registry_docs(spark, sf))["game"].select("idx", "id", "name", "icon_hash", "steam_appid", "xbox_sku")
 
@@ -80,8 +128,8 @@ def _(spark, sf):
     return D.registry_tables(registry_docs(spark, sf))["game_sku"]
 
 
-def registry_docs(spark, sf):
-    """Registry entries through their JSON text, with nulls and repeated stores inside."""
+def registry_texts(spark, sf):
+    """Registry entries as JSON text, with nulls and repeated stores inside."""
     r = view(spark, sf, "fx_registry")
     steam = F.expr("CASE WHEN idx % 3 = 1 THEN cast(idx AS string) WHEN idx % 3 = 2 THEN 'x12' END")
     first = F.struct(F.lit("steam").alias("distributor"), steam.alias("id"))
@@ -91,7 +139,12 @@ def registry_docs(spark, sf):
     exes = F.array(F.struct(F.col("exe").alias("name"), F.when(F.col("os") != "", F.col("os")).alias("os"), "is_launcher", "arguments"))
     doc = F.to_json(F.array(F.struct(
         F.expr("CASE WHEN idx % 4 <> 0 THEN cast(idx AS string) END AS id"), "name", "icon_hash", exes.alias("executables"), skus.alias("third_party_skus"))), {"ignoreNullFields": "false"})
-    good, _ = D.split_corrupt(r.select(F.col("idx").cast("string").alias("doc"), doc.alias("value")), f"array<{D.GAME}>")
+    return r.select(F.col("idx").cast("string").alias("doc"), doc.alias("value"))
+
+
+def registry_docs(spark, sf):
+    """Registry entries through their JSON text."""
+    good, _ = D.split_corrupt(registry_texts(spark, sf), f"array<{D.GAME}>")
     return good.select(F.col("doc").cast("bigint").alias("idx"), F.explode("parsed").alias("g"))
 
 

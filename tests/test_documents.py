@@ -1,10 +1,13 @@
+import json
+import random
+
 import pytest
 from conftest import rows
 from pyspark.sql import SparkSession, functions as F
 
 from clipgrove.functions import edits as E
 from clipgrove.operators import files as Z, registry as R
-from clipgrove.sources import documents as D, logs as L, versions as V
+from clipgrove.sources import documents as D, entries as EN, logs as L, versions as V
 
 
 def test_playlist_index(spark, tmp_path):
@@ -146,3 +149,52 @@ def test_text_behind_a_document(frame):
             ("e", '{"p":{"game":"g"}}], ['), ("f", ""), ("g", None), ("h", ' {"p":{"game":"g"}}\n'), ("i", '{"p":{"game":"g"}},{}'), ("j", '{"p":')]
     good, bad = D.split_corrupt(frame("doc string, value string", docs), f"map<string, {D.META}>")
     assert [r[0] for r in rows(good, "doc")] == ["a", "h"] and [r[0] for r in rows(bad, "doc")] == list("bcdefgij")
+
+
+@pytest.fixture()
+def tiny_ranges(spark):
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    for n in names:
+        spark.conf.set(n, "64")
+    yield
+    for n in names:
+        spark.conf.unset(n)
+
+
+def test_entries_of_large_documents(spark, tmp_path, tiny_ranges):
+    r = random.Random(3)
+    odd = ['a,b', 'q"{', '\\', '[,]', 'é,\n', '', '}', '\\"', 'x' * 90]
+
+    def value(d):
+        if d == 0 or r.random() < 0.4:
+            return r.choice([*odd, 1, None, True, -2.5])
+        return {r.choice(odd) + str(i): value(d - 1) for i in range(r.randrange(3))} if r.random() < 0.5 else [value(d - 1) for _ in range(r.randrange(3))]
+
+    texts = []
+    for i in range(14):
+        doc = {f"{r.choice(odd)}{k}": {"game": r.choice(odd), "cover_ms": k, "other": value(3)} for k in range(r.randrange(6))}
+        t = json.dumps(doc, indent=r.choice([None, 1]), ensure_ascii=r.random() < 0.5, separators=r.choice([(",", ":"), (" , ", " : ")]))
+        if i % 2:
+            at = r.randrange(len(t))
+            t = t[:at] + r.choice(["", ",", '"', "}", "{", "\\", "]"]) + t[at + r.randrange(2):]
+        texts.append(t)
+    texts += ["", " ", "{}", " {\n} ", "{},", "{,}", '{"a":{},}', '{"a":{}},', '{"a":{}} x', '{"a":{},"a":{}}', '{"a":{},"b":{},"a":{}}', "[]", '{"a":{}}{"b":{}}', '{"a":{}},"b":{}}', "null", '{"a":[}', '"{', '{"a":1,"b":{}}']
+    for i, t in enumerate(texts):
+        (tmp_path / f"{i:02d}.json").write_text(t)
+    schema = f"map<string, {D.META}>"
+    good, bad = D.split_corrupt(D.read_documents(spark, str(tmp_path)), schema)
+    parts, broken = EN.split_documents(spark, str(tmp_path), schema)
+    assert rows(broken) == rows(bad, "doc")
+    want = rows(D.overlay_rows(D.read_documents(spark, str(tmp_path))))
+    assert len(want) > 15 and rows(D.overlay_rows(parts)) == want
+    assert {r[0] for r in rows(parts, "doc")} == {r[0] for r in rows(good, "doc")}
+    assert EN.split_documents(spark, str(tmp_path / "none"), schema)[0].count() == 0
+
+
+def test_large_registry_keeps_places(spark, tmp_path, tiny_ranges):
+    games = [{"id": str(i), "name": f"g,{i} [", "executables": [{"name": "a,b.exe"}] * (i % 3)} for i in range(50)]
+    (tmp_path / "g.json").write_text(json.dumps(games, indent=1))
+    a, b = EN.read_registry(spark, str(tmp_path / "g.json")), D.read_registry(spark, str(tmp_path / "g.json"))
+    for name, n in {"game": 50, "game_exe": 49}.items():
+        assert len(rows(a[name])) == n and rows(a[name]) == rows(b[name])
+    assert EN.pieces(spark, [str(tmp_path / "g.json")]).select("block").distinct().count() > 20
