@@ -35,11 +35,15 @@ def fresh(entries: DataFrame, now_ms: int) -> DataFrame:
 
 def membership(selection: DataFrame, entries: DataFrame, pairs: DataFrame | None = None, key: str = "path") -> DataFrame:
     """(selection_id, playlist_id, state): ``in`` when all clips of a selection are in the list,
-    ``partial`` when some are. Without ``pairs`` only lists that hold a clip appear; the asked
-    ``pairs`` (selection_id, playlist_id) also get ``out``."""
+    ``partial`` when some are. Without ``pairs`` only lists that hold a clip appear, each a row of the result; the asked
+    ``pairs`` (selection_id, playlist_id) also get ``out``, and only their clips are counted."""
     total = selection.groupBy("selection_id").agg(F.count(F.lit(1)).alias("_total"))
     held = entries.select(LIST, key).distinct()
-    n = selection.join(held, key).groupBy("selection_id", LIST).agg(F.count(F.lit(1)).alias("_n"))
+    if pairs is None:
+        held_clips = selection.join(held, key)
+    else:  # by the asked pairs, so a clip that many selections and many lists share makes no product
+        held_clips = pairs.select("selection_id", LIST).distinct().join(selection, "selection_id").join(held, [LIST, key])
+    n = held_clips.groupBy("selection_id", LIST).agg(F.count(F.lit(1)).alias("_n"))
     state = F.when(F.coalesce("_n", F.lit(0)) == 0, "out").when(F.col("_n") == F.col("_total"), "in").otherwise("partial")
     base = n if pairs is None else pairs.join(n, ["selection_id", LIST], "left")
     return base.join(total, "selection_id", "left").select("selection_id", LIST, state.alias("state"))

@@ -130,3 +130,13 @@ def test_owners_and_filters(frame):
         (3, "A", "own.exe", "win32", False, None, "late"), (4, "L", "leagueclientux.exe", "win32", True, None, None), (5, "L", "launch.exe", "win32", True, None, None),
         (6, "J", "javaw.exe", "win32", False, None, None), (7, "P", "p.exe", "win32", False, "-x", None), (8, "D", "d.exe", "darwin", False, None, None), (9, "S", "s.sh", "", False, None, None)])
     assert rows(R.exclusive_owner(R.usable_executables(df))) == [("leagueclientux.exe", "L", None), ("own.exe", "A", None)]
+
+
+def test_membership_of_asked_pairs_on_a_shared_clip(spark):
+    n = 20_000  # all pairs would be 4 * 10^8
+    sel = spark.range(n).selectExpr("id AS selection_id", "explode(array(-1L, id)) AS path")
+    ent = spark.range(n).selectExpr("id AS playlist_id", "explode(array(-1L, id)) AS path")
+    pairs = spark.createDataFrame([(5, 5), (5, 6), (5, 6), (7, n + 1)], "selection_id bigint, playlist_id bigint")
+    from clipgrove.operators import playlists
+
+    assert rows(playlists.membership(sel, ent, pairs)) == [(5, 5, "in"), (5, 6, "partial"), (5, 6, "partial"), (7, n + 1, "out")]
