@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from clipgrove.llm.words import lists, mix, signed, tables, text_slices
+from clipgrove.llm.words import SLICE_BYTES, mix, signed, text_slices
 
 
 @dataclass(frozen=True)
@@ -31,6 +31,23 @@ class Settings:
     shard: int = 1 << 17
 
 
+_powers: list[tuple[np.ndarray, np.ndarray]] = []
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` or more powers of an odd base modulo 2^64, and those of its inverse; kept for the slices to come. With
+    them the hash of every string of a fixed length is a difference of prefix sums."""
+    if not _powers or len(_powers[0][0]) < n:
+        base, size = 0x9E3779B97F4A7C15, max(n, SLICE_BYTES + 1)
+        made = []
+        for b in (base, pow(base, -1, 1 << 64)):
+            p = np.full(size, b, dtype=np.uint64)
+            p[0] = 1
+            made.append(np.cumprod(p, dtype=np.uint64))
+        _powers[:] = [(made[0], made[1])]
+    return _powers[0]
+
+
 def _sliding(x: np.ndarray, w: int, least: bool) -> np.ndarray:
     """Minimum (or maximum) of every ``w`` neighbours: running values from both ends of blocks of ``w``."""
     if w == 1:
@@ -51,8 +68,7 @@ def runs(data: np.ndarray, offs: np.ndarray, s: Settings) -> tuple[np.ndarray, .
     none = np.zeros(0, np.int64)
     if n < s.length:
         return none, none.view(np.uint64), none, none, none.astype(bool)
-    t = tables()
-    power, inverse = t.upto(n + 1)
+    power, inverse = powers(n + 1)
     prefix = np.zeros(n + 1, np.uint64)
     np.cumsum(mix(data.astype(np.uint64) + np.uint64(1)) * power[:n], out=prefix[1:])
     h = mix((prefix[s.gram:] - prefix[:-s.gram]) * inverse[:n - s.gram + 1]) | np.uint64(1)
@@ -236,7 +252,7 @@ def _hits(bodies: list[bytes], s: Settings) -> tuple[np.ndarray, np.ndarray, np.
     passes = -(-len(wanted) // (8 * s.shard))
     share = np.zeros(len(wanted), np.int64)
     if passes > 1:
-        power, inverse = tables().upto(len(text) + 1)
+        power, inverse = powers(len(text) + 1)
         prefix = np.zeros(len(text) + 1, np.uint64)
         np.cumsum(mix(text.astype(np.uint64)) * power[:len(text)], out=prefix[1:])
         share = (mix((prefix[wanted + s.length] - prefix[wanted]) * inverse[wanted]) % np.uint64(passes)).astype(np.int64)

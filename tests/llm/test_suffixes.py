@@ -63,3 +63,18 @@ def test_odd_rows(odd, empty):
     assert got(odd) == brute([(r.doc_id, r.text) for r in odd.collect()], 200)
     assert got(odd.unionByName(odd)) == got(odd)
     assert got(empty) == {}
+
+
+def test_equal_windows_meet_by_one_hash_wherever_they_lie():
+    rng = np.random.default_rng(5)
+    s = S.Settings(40, 8)
+    same = rng.integers(97, 123, 40, dtype=np.uint8)
+    parts = [rng.integers(97, 123, n, dtype=np.uint8) for n in (13, 200, 31)]
+    data = np.concatenate([parts[0], same, parts[1], same, parts[2]])
+    offs = np.array([0, 13 + 40 + 100, len(data)])
+    text, h, first, last, _ = S.runs(data, offs, s)
+    owner = {}
+    for x, a, b in zip(h.tolist(), first.tolist(), last.tolist()):
+        owner |= {i: x for i in range(a, b + 1)}
+    assert owner[13] == owner[13 + 40 + 200]
+    assert len(S.powers(1 << 21)[0]) >= 1 << 21 and S.powers(8)[0][1] * S.powers(8)[1][1] == 1
