@@ -2,83 +2,161 @@
 
 A rule such as "accept when ``gap`` has passed since the last ACCEPTED row" is no window. Only rows
 that raise the highest time so far can be accepted, so the others go first, in a chunked scan. The
-rest is cut into spans of many gaps; a span is summed up as a step function from the last accepted
+rest is cut into spans of some gaps; a span is summed up as a step function from the last accepted
 time before it to the one after it (in parallel), the steps of a key are chained (a few rows per
-span), and each span is replayed from its known start (in parallel). No task holds more than one
-span, and the result is exact."""
+span), and each span is replayed from its known start (in parallel). Tasks read their spans as
+sorted rows and hold the rows of one gap at most, and the result is exact."""
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from clipgrove.operators.scan import Run, count, neighbours, rows_chunk, running, span_chunk
 
-SPAN_GAPS = 1024
+SPAN_GAPS = 32
 NEVER = -(1 << 62)
 
 
-def _summarise(t: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
+class _Steps:
     """Step function of one span of rising times: (limit, out) = the last accepted time after it
     when the one before it is at most ``limit``; beyond the last limit nothing is accepted."""
-    n = len(t)
-    nxt = np.searchsorted(t, t + gap)
-    jump = np.where(nxt >= n, np.arange(n), nxt)
-    while True:  # pointer doubling to the end of every chain
-        further = jump[jump]
-        if np.array_equal(further, jump):
-            break
-        jump = further
-    # The state before is older than the first row, which bounds the rows that can come first.
-    entries = np.arange(min(n, int(np.searchsorted(t, t[0] + gap)) + 1))
-    limit, out = t[entries] - gap, t[jump[entries]]
-    keep = np.r_[out[1:] != out[:-1], True]
-    return limit[keep], out[keep]
-
 
-def accepted(df: DataFrame, keys: list[str], time: str, order: str, gap: int, span_gaps: int = SPAN_GAPS) -> DataFrame:
-    """``df`` plus ``accepted``: the row comes ``gap`` (above 0) or more after the last accepted row
-    of its keys in ``order``; the first row always counts. ``order`` is unique within the keys."""
-    slim = df.select(*keys, F.col(time).cast("bigint").alias("_time"), F.col(order).alias("_order"))
-    rising = running(slim, keys, ["_order"], {"_top": Run("max", F.col("_time"), False)}, rows_chunk("_order"))
+    def __init__(self, gap: int):
+        self.gap, self.entries, self.parent, self.open, self.more = gap, [], [], deque(), True
+
+    def add(self, t: int) -> None:
+        upto, here = t - self.gap, -1
+        while self.open and self.open[0][0] <= upto:  # these accept this row and go on as one
+            _, c = self.open.popleft()
+            if here < 0:
+                here = c
+            else:
+                self.parent[c] = here
+        if self.more:  # the state before is older than the first row, which bounds the rows that can come first
+            c = len(self.entries)
+            self.more = not c or t - self.entries[0] < self.gap
+            self.entries.append(t)
+            self.parent.append(c)
+            if here < 0:
+                here = c
+            else:
+                self.parent[c] = here
+        if here >= 0:
+            self.open.append((t, here))
+
+    def rows(self) -> Iterator[tuple[int, int]]:
+        last = {c: t for t, c in self.open}
+        before = None
+        for i, t in enumerate(self.entries):
+            c = i
+            while self.parent[c] != c:
+                self.parent[c] = c = self.parent[self.parent[c]]
+            if before and before[1] != last[c]:
+                yield before
+            before = (t - self.gap, last[c])
+        if before:
+            yield before
+
+
+def _columns(batch: pa.RecordBatch, names: list[str]) -> list[list]:
+    return [batch.column(n).to_pylist() for n in names]
+
+
+def _frames(rows: Iterator[tuple], schema: pa.Schema, size: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    part = []
+    for r in rows:
+        part.append(r)
+        if len(part) == size:
+            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*part), schema)], schema=schema)
+            part = []
+    if part:
+        yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*part), schema)], schema=schema)
+
+
+def accepted_rows(df: DataFrame, keys: list[str], time: str, order: str, gap: int, carry: list[str] = [], span_gaps: int = SPAN_GAPS) -> DataFrame:
+    """(<keys>, <order>, <carry>) of the rows that come ``gap`` (above 0) or more after the last accepted row of their keys in
+    ``order``; the first row always counts. ``order`` is unique within the keys; rows without a time are not accepted."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    extra = [c for c in carry if c not in (*keys, order)]
+    kept = [*keys, order, *extra]
+    slim = df.select(*kept, F.col(time).cast("bigint").alias("_time")).where("_time IS NOT NULL")
+    rising = running(slim, keys, [order], {"_top": Run("max", F.col("_time"), False)}, rows_chunk(order))
     rising = rising.where("_top IS NULL OR _time > _top").drop("_top").withColumn("_span", span_chunk("_time", gap * span_gaps))
-    fields = [df.schema[k] for k in keys] + [T.StructField("_span", T.LongType())]
+    fields = [T.StructField(k, df.schema[k].dataType) for k in keys] + [T.StructField("_span", T.LongType())]
     names = [*keys, "_span"]
     step = T.StructType(fields + [T.StructField("_limit", T.LongType()), T.StructField("_out", T.LongType())])
-    start = T.StructType(fields + [T.StructField("_last", T.LongType())])
-    result = T.StructType(fields[:-1] + [T.StructField("_order", slim.schema["_order"].dataType)])
-
-    def summarise(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        limit, out = _summarise(np.sort(pdf["_time"].to_numpy()), gap)
-        return pd.DataFrame({**dict(zip(names, key)), "_limit": limit, "_out": out})
-
-    def chain(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        last, rows = NEVER, []
-        for number, part in pdf.sort_values(["_span", "_limit"]).groupby("_span", sort=True):
-            rows.append((*key, number, last))
-            at = int(np.searchsorted(part["_limit"].to_numpy(), last))
-            last = int(part["_out"].iloc[at]) if at < len(part) else last
-        return pd.DataFrame(rows, columns=[*names, "_last"])
+    start = T.StructType(fields + [T.StructField("_time", T.LongType())])
+    result = T.StructType([T.StructField(k, df.schema[k].dataType) for k in kept])
+    step_arrow, start_arrow = to_arrow_schema(step), to_arrow_schema(start)
+    columns = len(kept)
+
+    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows():
+            now, steps = None, None
+            for batch in batches:
+                *group, times = _columns(batch, [*names, "_time"])
+                for key, t in zip(zip(*group), times):
+                    if key != now:
+                        if steps:
+                            yield from ((*now, *r) for r in steps.rows())
+                        now, steps = key, _Steps(gap)
+                    steps.add(t)
+            if steps:
+                yield from ((*now, *r) for r in steps.rows())
+
+        yield from _frames(rows(), step_arrow)
+
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows():
+            now, span, last, before, found = None, None, NEVER, NEVER, False
+            for batch in batches:
+                *group, spans, limits, outs = _columns(batch, [*names, "_limit", "_out"])
+                for key, number, limit, out in zip(zip(*group), spans, limits, outs):
+                    if key != now:
+                        now, span, last = key, None, NEVER
+                    if number != span:
+                        span, before, found = number, last, False
+                        yield (*key, number, last)
+                    if not found and before <= limit:
+                        last, found = out, True
+
+        yield from _frames(rows(), start_arrow)
+
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last = None, NEVER
+        for batch in batches:
+            *group, kinds, times = _columns(batch, [*names, "_kind", "_time"])
+            hits = []
+            for i, (key, kind, t) in enumerate(zip(zip(*group), kinds, times)):
+                if not kind:
+                    now, last = key, t
+                elif t - last >= gap:
+                    hits.append(i)
+                    last = t
+            yield pa.RecordBatch.from_arrays(batch.columns[:columns], names=kept).take(pa.array(hits, pa.int64()))
+
+    steps = rising.select(*names, "_time").repartition(*names).sortWithinPartitions(*names, "_time").mapInArrow(summarise, step)
+    starts = steps.repartition(*keys).sortWithinPartitions(*names, "_limit").mapInArrow(chain, start)
+    # the start of a span is read right before its rows
+    both = rising.select(*kept, "_span", F.lit(1).alias("_kind"), "_time").unionByName(starts.withColumn("_kind", F.lit(0)), allowMissingColumns=True)
+    return both.repartition(*names).sortWithinPartitions(*names, "_kind", "_time").mapInArrow(replay, result)
 
-    def replay(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_time")
-        t = pdf["_time"].to_numpy()
-        nxt, hits = np.searchsorted(t, t + gap), []
-        at = int(np.searchsorted(t, int(pdf["_last"].iloc[0]) + gap))
-        while at < len(t):
-            hits.append(at)
-            at = int(nxt[at])
-        return pdf.iloc[hits][[*keys, "_order"]]
 
-    starts = rising.groupBy(*names).applyInPandas(summarise, step).groupBy(*keys).applyInPandas(chain, start)
-    hits = rising.join(starts, names).groupBy(*names).applyInPandas(replay, result)
-    marks = hits.select(*keys, F.col("_order").alias(order), F.lit(True).alias("accepted"))
+def accepted(df: DataFrame, keys: list[str], time: str, order: str, gap: int, span_gaps: int = SPAN_GAPS) -> DataFrame:
+    """``df`` plus ``accepted``: the row is one of ``accepted_rows``."""
+    marks = accepted_rows(df, keys, time, order, gap, span_gaps=span_gaps).withColumn("accepted", F.lit(True))
     return df.join(marks, [*keys, order], "left").select(*df.columns, F.coalesce("accepted", F.lit(False)).alias("accepted"))
 
 
 def throttle(df: DataFrame, keys: list[str], time: str, gap: int, order: str = "seq") -> DataFrame:
-    return accepted(df, keys, time, order, gap).where("accepted").drop("accepted")
+    return accepted_rows(df, keys, time, order, gap, df.columns).select(*df.columns)
 
 
 def rate_limit(df: DataFrame, keys: list[str], time: str, window: int, most: int, order: str = "seq") -> DataFrame:
@@ -95,7 +173,7 @@ def upsert_seen(seen: DataFrame, batch: DataFrame, gap: int = 60) -> DataFrame:
     replaced when ``gap`` seconds passed since the kept one. Order numbers are not negative."""
     rows = seen.select("name", "appid", F.col("last_seen").alias("at"), F.lit(-1).cast("bigint").alias("seq")).unionByName(
         batch.select("name", "appid", "at", "seq"))
-    kept = accepted(rows, ["name"], "at", "seq", gap).where("accepted")
+    kept = accepted_rows(rows, ["name"], "at", "seq", gap, ["appid", "at"])
     last = kept.groupBy("name").agg(F.max_by(F.struct("appid", F.col("at").alias("last_seen")), "seq").alias("_r"))
     return last.select("name", "_r.appid", "_r.last_seen")
 
