@@ -184,21 +184,51 @@ def upsert_seen(seen: DataFrame, batch: DataFrame, gap: int = 60) -> DataFrame:
 RESIZE_TOLERANCE = 16
 
 
+def _off(w: list[int], h: list[int], arrays: tuple[np.ndarray, np.ndarray], size: tuple, at: int, tolerance: int) -> int:
+    """The first row from ``at`` on outside the tolerance of ``size``, or the number of rows."""
+    a, b, c, d = size[0] - tolerance, size[0] + tolerance, size[1] - tolerance, size[1] + tolerance
+    near = min(at + 64, len(w))
+    for i in range(at, near):
+        if not (a <= w[i] <= b and c <= h[i] <= d):
+            return i
+    at, step = near, 1024
+    while at < len(w):  # a long stretch in arrays of growing size
+        x, y = arrays[0][at:at + step], arrays[1][at:at + step]
+        off = (x < a) | (x > b) | (y < c) | (y > d)
+        i = int(np.argmax(off))
+        if off[i]:
+            return at + i
+        at, step = at + step, 2 * step
+    return len(w)
+
+
 def _walk(w: np.ndarray, h: np.ndarray, size: tuple, at: int, tolerance: int) -> list[int]:
     """Rows from ``at`` on that differ from the size in use, which each of them replaces."""
-    hits = []
-    while at < len(w):
-        off = (np.abs(w[at:] - size[0]) > tolerance) | (np.abs(h[at:] - size[1]) > tolerance)
-        step = int(np.argmax(off))
-        if not off[step]:
-            break
-        at += step
+    x, y, hits = w.tolist(), h.tolist(), []
+    while (at := _off(x, y, (w, h), size, at, tolerance)) < len(x):
         hits.append(at)
-        size = (w[at], h[at])
+        size = (x[at], y[at])
         at += 1
     return hits
 
 
+def _last_hits(w: np.ndarray, h: np.ndarray, first: list[int], tolerance: int) -> list[int]:
+    """For each row of ``first``, which sets the size: the last row of the walk from it. Walks that meet go on as one."""
+    x, y, end = w.tolist(), h.tolist(), {}
+    for start in reversed(first):
+        path, at = [], start
+        while at not in end:
+            path.append(at)
+            further = _off(x, y, (w, h), (x[at], y[at]), at + 1, tolerance)
+            if further == len(x):
+                end[at] = at
+                break
+            at = further
+        for i in path:
+            end[i] = end[at]
+    return [end[i] for i in first]
+
+
 def resize_rebuilds(df: DataFrame, keys: list[str], order: str = "seq", tolerance: int = RESIZE_TOLERANCE, chunk_rows: int = 1 << 17) -> DataFrame:
     """df(<keys>, seq, width, height) plus ``rebuild``: the size differs by more than ``tolerance`` in
     one direction from the one in use; the first row sets the first size.
@@ -219,10 +249,9 @@ def resize_rebuilds(df: DataFrame, keys: list[str], order: str = "seq", toleranc
         w, h = pdf["_w"].to_numpy(), pdf["_h"].to_numpy()
         tops = [np.maximum.accumulate(w), np.minimum.accumulate(w), np.maximum.accumulate(h), np.minimum.accumulate(h)]
         record = np.flatnonzero(np.any([np.r_[True, a[1:] != a[:-1]] for a in tops], axis=0))
-        rows = []
-        for i in record.tolist():
-            last = ([i] + _walk(w, h, (w[i], h[i]), i + 1, tolerance))[-1]
-            rows.append((*key, i, *[int(a[i]) for a in tops], int(w[last]), int(h[last])))
+        first = record.tolist()
+        last = _last_hits(w, h, first, tolerance)
+        rows = [(*key, i, *[int(a[i]) for a in tops], int(w[j]), int(h[j])) for i, j in zip(first, last)]
         return pd.DataFrame(rows, columns=[*names, *longs])
 
     def chain(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:

@@ -36,3 +36,11 @@ def test_a_span_is_read_row_by_row_and_keeps_one_gap():
     assert len(steps.entries) == 101
     assert list(steps.rows())[0] == (0 - 100, 19_900)
 
+
+def test_walks_of_extremes_meet():
+    rng = np.random.default_rng(2)
+    w, h = 1280 + rng.integers(0, 60, 5000), 720 + np.arange(5000) // 1500
+    w[2000:4500] = 1290
+    first = [0, 3, 4, 900, 2600, 4999]
+    want = [([i] + SF._walk(w, h, (w[i], h[i]), i + 1, 16))[-1] for i in first]
+    assert SF._last_hits(w, h, first, 16) == want
