@@ -368,77 +368,97 @@ class Continuity(StatefulProcessor):
 
 
 class Ring(StatefulProcessor):
-    """The last ``window`` of a stream from an anchor keyframe. State is kept per GOP, so that whole
-    GOPs are dropped and only the open one is rewritten; a new segment clears it. Requests come in
+    """The last ``window`` of a capture segment from an anchor keyframe, for every segment that may still be on air. The segment on air is that of the
+    newest video row; audio goes to the ring of its own segment. State is kept per GOP, so that whole GOPs are dropped and only the open
+    one is rewritten; segments that are not on air go once they are silent for ``window``. Rows come in the order of time; requests come in
     the same stream (kind 1) and get a snapshot."""
 
+    early = -(1 << 62)
+
     def __init__(self, window: int):
         self.window = window
 
     def init(self, handle):
         cols = "seq array<bigint>, time array<bigint>, track array<string>"
-        self.gops = handle.getMapState("gops", "start bigint, seq bigint", cols)
-        self.meta = handle.getValueState("meta", "segment bigint, latest bigint")
+        self.gops = handle.getMapState("gops", "segment bigint, start bigint, seq bigint", cols)
+        self.meta = handle.getValueState("meta", "segment bigint")
 
-    def _load(self) -> dict:
-        return {tuple(k): [list(v[0]), list(v[1]), list(v[2])] for k, v in self.gops.iterator()}
+    @staticmethod
+    def _snapshot(request: int, at: int, gops: list) -> pd.DataFrame:
+        base = gops[0][0][1]
+        t = np.concatenate([np.array(v[1], np.int64) for _, v in gops])
+        keep = (t >= base) & (t <= at)
+        return pd.DataFrame({"request_id": np.full(int(keep.sum()), request, np.int64), "seq": np.concatenate([np.array(v[0], np.int64) for _, v in gops])[keep],
+                             "track": np.concatenate([np.array(v[2], object) for _, v in gops])[keep], "out_time": t[keep] - base})
 
     def handleInputRows(self, key, rows, timerValues):
         pdf = _rows(rows, ["time", "kind", "seq"])
-        segment, latest = self.meta.get() if self.meta.exists() else (None, None)
-        ring = self._load()
-        stored, changed = set(ring), set()
-        lobby = (-1, -1)  # audio ahead of the first keyframe
-        out = []
-        for r in pdf.itertuples():
-            if r.kind == 1:
-                keys = sorted(k for k in ring if k != lobby)
-                if keys:
-                    base = keys[0][0]
-                    for k in ring:
-                        for s, t, track in zip(*ring[k]):
-                            if base <= t <= r.time:
-                                out.append((r.seq, s, track, t - base))
-                continue
-            if r.segment != segment:
-                ring, segment = {}, r.segment
-            starts = sorted(k for k in ring if k != lobby)
-            if r.track == "v":
-                latest = r.time
-                if r.key:
-                    k = (int(r.time), int(r.seq))
-                    ring[k] = [[], [], []]
-                    early = ring.pop(lobby, None)
-                    if early:
-                        ring[k] = [list(x) for x in zip(*[p for p in zip(*early) if p[1] >= r.time])] or [[], [], []]
-                elif starts:
-                    k = starts[-1]
-                else:
-                    continue
+        on_air = self.meta.get()[0] if self.meta.exists() else None
+        rings: dict = {}  # segment -> GOPs (key, columns), rising
+        early: dict = {}  # audio of the newest time ahead of a first keyframe, which may have that time
+        for k, v in sorted((tuple(k), [list(x) for x in v]) for k, v in self.gops.iterator()):
+            if k[1] == self.early:
+                early[k[0]] = list(zip(*v))
             else:
-                k = starts[-1] if starts else lobby
-                ring.setdefault(k, [[], [], []])
-            for col, v in zip(ring[k], (int(r.seq), int(r.time), r.track)):
+                rings.setdefault(k[0], []).append((k, v))
+        stored, changed = {k for ring in rings.values() for k, _ in ring} | {(s, self.early, 0) for s in early}, set()
+        out, held = [], 0
+        for kind, segment, seq, time, track, is_key in zip(*[pdf[c].tolist() for c in ("kind", "segment", "seq", "time", "track", "key")]):
+            if kind == 1:
+                if rings.get(on_air):
+                    out.append(self._snapshot(seq, time, rings[on_air]))
+                    held += len(out[-1])
+                if held > 1 << 16:
+                    yield self._frame(key, out)
+                    out, held = [], 0
+                continue
+            segment = int(segment)
+            ring = rings.setdefault(segment, [])
+            if track == "v":
+                if segment != on_air:
+                    for old in [s for s, r in rings.items() if s != segment and r and r[-1][1][1][-1] <= time - self.window]:
+                        del rings[old]
+                on_air = segment
+                if is_key:
+                    ring.append(((segment, time, seq), [[], [], []]))
+                    for s, t, name in early.pop(segment, ()):
+                        if t == time:
+                            for col, v in zip(ring[-1][1], (s, t, name)):
+                                col.append(v)
+                gone = 0  # all GOPs before the last keyframe outside the window go
+                while gone + 1 < len(ring) and ring[gone + 1][0][1] <= time - self.window:
+                    gone += 1
+                if gone:  # but their rows of the time of the anchor
+                    anchor = ring[gone][0][1]
+                    late = [x for _, v in ring[:gone] if v[1][-1] >= anchor for x in zip(*v) if x[1] >= anchor]
+                    for col, values in zip(ring[gone][1], zip(*late)):
+                        col[:0] = values
+                    if late:
+                        changed.add(ring[gone][0])
+                    del ring[:gone]
+            if not ring:
+                if track != "v":
+                    early[segment] = [x for x in early.get(segment, ()) if x[1] == time] + [(seq, time, track)]
+                continue
+            for col, v in zip(ring[-1][1], (seq, time, track)):
                 col.append(v)
-            changed.add(k)
-            old = [s for s in sorted(x for x in ring if x != lobby) if s[0] <= latest - self.window] if latest is not None else []
-            if len(old) > 1:  # all GOPs before the last keyframe outside the window go
-                anchor = old[-1]
-                for s in old[:-1]:
-                    late = [p for p in zip(*ring.pop(s)) if p[2] != "v" and p[1] >= anchor[0]]
-                    for p in late:
-                        for col, v in zip(ring[anchor], p):
-                            col.append(v)
-                        changed.add(anchor)
-        for k in stored - set(ring):
+            changed.add(ring[-1][0])
+        live = {k: v for ring in rings.values() for k, v in ring} | {(s, self.early, 0): [list(c) for c in zip(*x)] for s, x in early.items() if x}
+        changed |= {(s, self.early, 0) for s in early}
+        for k in stored - set(live):
             self.gops.removeKey(k)
-        for k in ring:
+        for k, v in live.items():
             if k in changed or k not in stored:
-                self.gops.updateValue(k, tuple(ring[k]))
-        if segment is not None:
-            self.meta.update((int(segment), None if latest is None else int(latest)))
-        yield pd.DataFrame(out, columns=["request_id", "seq", "track", "out_time"]).assign(stream_id=key[0])[
-            ["stream_id", "request_id", "seq", "track", "out_time"]].astype({"stream_id": "int64", "request_id": "int64", "seq": "int64", "out_time": "int64", "track": "object"})
+                self.gops.updateValue(k, tuple(v))
+        if on_air is not None:
+            self.meta.update((int(on_air),))
+        yield self._frame(key, out)
+
+    @staticmethod
+    def _frame(key, parts: list) -> pd.DataFrame:
+        none = pd.DataFrame({"request_id": np.zeros(0, np.int64), "seq": np.zeros(0, np.int64), "track": np.zeros(0, object), "out_time": np.zeros(0, np.int64)})
+        rows = pd.concat(parts, ignore_index=True) if parts else none
+        return rows.assign(stream_id=np.full(len(rows), key[0], np.int64))[["stream_id", "request_id", "seq", "track", "out_time"]]
 
     def close(self):
         pass

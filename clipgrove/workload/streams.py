@@ -43,6 +43,7 @@ def _(spark, sf):
 @query("r1_ring_state", f"""WITH {SQL_REPLAY} SELECT b.stream_id, b.request_id, p.seq, p.track, p.time - base AS out_time FROM b JOIN fx_packets p
   ON p.stream_id = b.stream_id AND p.segment = b.segment AND p.time >= base AND p.time <= b.at""")
 def _(spark, sf):
+    """Rows and requests arrive in the order of time."""
     p = packets(spark, sf).select("stream_id", "segment", "track", "seq", "time", "key", F.lit(None).cast("bigint").alias("request_id"))
     none = F.lit(None)
     r = view(spark, sf, "fx_requests").select(
@@ -53,7 +54,7 @@ def _(spark, sf):
         saves = df.where("request_id IS NOT NULL").select("request_id", "stream_id", F.col("time").alias("at"))
         return R.ring_stream(df.where("request_id IS NULL"), saves, WINDOW)
 
-    return run_steps(stepped(p.unionByName(r), "seq"), "step", STEPS, build, "ring")
+    return run_steps(stepped(p.unionByName(r), "time"), "step", STEPS, build, "ring")
 
 
 @query("r2_mix_stream", """WITH s AS (SELECT stream_id, frame * 480 + stream_id * 480000 AS frame, cast(source % 2 AS int) AS ch, sample FROM fx_samples)
