@@ -473,66 +473,82 @@ class Handshake(StatefulProcessor):
 
     def init(self, handle):
         self.handle = handle
-        self.held = handle.getListState("held", "seq bigint, track string, time bigint, key boolean")
-        self.state = handle.getValueState("state", "headers array<string>, released boolean, base bigint")
-
-    def _release(self, headers, base, rows):
-        """Rows of headed tracks from the first keyframe on."""
-        out = []
-        for seq, track, time, is_key in rows:
-            if track not in headers:
-                continue
-            if base is None and track == "v" and is_key:
-                base = time
-            out.append((seq, track, time))
-        kept = [] if base is None else [(s, t, at - base) for s, t, at in out if at >= base]
-        return base, kept
+        # rows in packed blocks, so a long wait costs a few bytes per row and no object
+        self.held = handle.getListState("held", "rows binary")
+        self.state = handle.getValueState("state", "headers array<string>, released boolean, base bigint, tracks array<string>, keyed boolean")
+
+    row = np.dtype([("seq", "<i8"), ("time", "<i8"), ("track", "<i4"), ("key", "?")])
+    block = 1 << 16
 
-    def _frame(self, key, rows):
-        return pd.DataFrame({
-            "stream_id": np.full(len(rows), key[0], dtype="int64"), "seq": np.array([r[0] for r in rows], dtype="int64"),
-            "track": pd.Series([r[1] for r in rows], dtype=object), "out_time": np.array([r[2] for r in rows], dtype="int64")})
+    def _blocks(self) -> list[np.ndarray]:
+        return [np.frombuffer(bytes(r[0]), self.row) for r in self.held.get()] if self.held.exists() else []
+
+    def _release(self, key, headers, base, tracks, blocks):
+        """The base and frames of the rows of headed tracks from the first keyframe on."""
+        headed = np.array([t in headers for t in tracks], bool)
+        video = np.array([t == "v" for t in tracks], bool)
+        names = np.array(tracks, object)
+        if base is None and "v" in headers:
+            for rows in blocks:
+                first = video[rows["track"]] & rows["key"]
+                if first.any():
+                    base = int(rows["time"][np.argmax(first)])
+                    break
+
+        def frames():
+            for rows in blocks if base is not None else ():
+                rows = rows[headed[rows["track"]] & (rows["time"] >= base)]
+                for at in range(0, len(rows), self.block):
+                    part = rows[at:at + self.block]
+                    yield pd.DataFrame({"stream_id": np.full(len(part), key[0], np.int64), "seq": part["seq"].astype(np.int64), "track": names[part["track"]],
+                                        "out_time": part["time"].astype(np.int64) - base})
+
+        return base, frames()
+
+    def _empty(self):
+        return pd.DataFrame({"stream_id": np.zeros(0, np.int64), "seq": np.zeros(0, np.int64), "track": np.zeros(0, object), "out_time": np.zeros(0, np.int64)})
 
     def handleInputRows(self, key, rows, timerValues):
-        pdf = _rows(rows, ["seq"])
-        headers, released, base = self.state.get() if self.state.exists() else ([], False, None)
+        headers, released, base, tracks, keyed = self.state.get() if self.state.exists() else ([], False, None, [], False)
         if not self.state.exists() and self.timeout_ms is not None:
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.timeout_ms)
-        headers = list(headers or [])
-        buffer = [tuple(r) for r in self.held.get()] if not released and self.held.exists() else []
-        fresh = []
-        for r in pdf.itertuples():
-            if r.header:
-                headers.append(r.track)
-            else:
-                fresh.append((int(r.seq), r.track, int(r.time), bool(r.key)))
-        if released:
-            ready, pool = True, fresh
-        else:
-            pool = buffer + fresh
-            ready = set(self.expected) <= set(headers) and any(t == "v" and k for _, t, _, k in pool)
-        if ready:
-            # Once released the set of tracks is settled.
-            base, out = self._release(headers, base, pool)
+        headers, tracks, parts, announced = list(headers or []), list(tracks or []), [], []
+        for pdf in rows:
+            head = pdf["header"].to_numpy(bool)
+            announced += list(zip(pdf["seq"][head].tolist(), pdf["track"][head].tolist()))
+            pdf = pdf[~head]
+            tracks += [t for t in pdf["track"].unique().tolist() if t not in tracks]
+            part = np.zeros(len(pdf), self.row)
+            part["seq"], part["time"] = pdf["seq"].to_numpy(np.int64), pdf["time"].to_numpy(np.int64)
+            part["track"] = pdf["track"].map({t: i for i, t in enumerate(tracks)}).to_numpy(np.int32) if len(pdf) else 0
+            part["key"] = pdf["key"].to_numpy(bool)
+            parts.append(part)
+        headers += [t for _, t in sorted(announced)]
+        fresh = np.concatenate(parts)
+        del parts
+        fresh = fresh[np.argsort(fresh["seq"], kind="stable")]
+        video = np.array([t == "v" for t in tracks] or [False], bool)
+        keyed = bool(keyed or (video[fresh["track"]] & fresh["key"]).any())
+        # Once released the set of tracks is settled.
+        if released or (set(self.expected) <= set(headers) and keyed):
+            base, out = self._release(key, headers, base, tracks, [fresh] if released else [*self._blocks(), fresh])
+            yield from out
             self.held.clear()
-            self.state.update((headers, True, base))
-            yield self._frame(key, out)
+            self.state.update((headers, True, base, tracks, keyed))
         else:
-            if fresh:
-                self.held.appendList(fresh)
-            self.state.update((headers, False, base))
-            yield self._frame(key, [])
+            for at in range(0, len(fresh), self.block):
+                self.held.appendValue((fresh[at:at + self.block].tobytes(),))
+            self.state.update((headers, False, base, tracks, keyed))
+        yield self._empty()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        headers, released, base = self.state.get() if self.state.exists() else ([], True, None)
-        if not released and "v" in headers and self.held.exists():
-            base, out = self._release(list(headers), base, [tuple(r) for r in self.held.get()])
-            if base is not None:
-                self.held.clear()
-                self.state.update((list(headers), True, base))
-                yield self._frame(key, out)
-                return
-        yield self._frame(key, [])
+        headers, released, base, tracks, keyed = self.state.get() if self.state.exists() else ([], True, None, [], False)
+        if not released and "v" in (headers or []) and keyed:
+            base, out = self._release(key, list(headers), base, list(tracks), self._blocks())
+            yield from out
+            self.held.clear()
+            self.state.update((list(headers), True, base, list(tracks), keyed))
+        yield self._empty()
 
     def close(self):
         pass

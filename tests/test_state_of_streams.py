@@ -1,6 +1,6 @@
 import pandas as pd
 
-from clipgrove.streaming.processors import Ring
+from clipgrove.streaming.processors import Handshake, Ring
 
 
 class Value:
@@ -77,3 +77,14 @@ def test_rows_of_the_time_of_the_anchor_stay():
     assert ring(rows) == [(6, 3, "a", 0), (6, 4, "v", 0), (6, 5, "v", 100)] == ring(rows[:1], rows[1:3], rows[3:])
     assert ring(rows[:4], [(1, None, 6, 60, None, None)]) == [(6, 1, "a", 0), (6, 2, "v", 0), (6, 3, "a", 50), (6, 4, "v", 50)]
 
+
+def test_held_rows_are_packed_and_come_out_in_blocks():
+    p, handle = Handshake(["v", "a"], None), Handle()
+    p.init(handle)
+    n = 70_000
+    rows = pd.DataFrame({"seq": range(n), "track": ["v"] * n, "time": range(n), "key": [True] * n, "header": [False] * n})
+    heads = pd.DataFrame({"seq": [-2], "track": ["v"], "time": [0], "key": [False], "header": [True]})
+    assert sum(len(f) for f in p.handleInputRows((7,), iter([rows, heads]), None)) == 0
+    assert [type(r[0]) for r in handle.lists[0]] == [bytes, bytes] and sum(len(r[0]) for r in handle.lists[0]) < 25 * n
+    found = list(p.handleInputRows((7,), iter([heads.assign(track="a", seq=-1)]), None))
+    assert sum(len(f) for f in found) == n and max(len(f) for f in found) <= 1 << 16 and not handle.lists[0]
