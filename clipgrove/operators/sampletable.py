@@ -42,14 +42,13 @@ def expand_runs(runs: DataFrame, scale: int, edits: DataFrame | None = None) ->
     n, delta = F.col("n").cast("bigint"), F.col("delta").cast("bigint")
     at = running(runs.select("clip", "i", n.alias("n"), delta.alias("delta")), CLIP, ["i"], {
         "_sample": Run("sum", F.col("n"), False), "_ticks": Run("sum", F.col("n") * F.col("delta"), False)}, rows_chunk("i"))
+    shift = F.lit(0)
+    if edits is not None:  # by runs, before there is a row per sample
+        at = at.join(edit_offset(edits), "clip", "left").where(F.coalesce("ok", F.lit(True)))
+        at, shift = at.select("clip", "n", "delta", "_sample", "_ticks", F.coalesce("offset", F.lit(0)).alias("_shift")), F.col("_shift")
     out = expand(at, F.lit(0), F.col("n") - 1, "_k")
     ticks = F.coalesce("_ticks", F.lit(0)) + F.col("_k") * F.col("delta")
-    out = out.select("clip", (F.coalesce("_sample", F.lit(0)) + F.col("_k")).alias("sample"), T.to_hns(ticks, scale).alias("t"))
-    if edits is None:
-        return out
-    shift = edit_offset(edits)
-    return out.join(shift, "clip", "left").where(F.coalesce("ok", F.lit(True))).select(
-        "clip", "sample", (F.col("t") + F.coalesce("offset", F.lit(0))).alias("t"))
+    return out.select("clip", (F.coalesce("_sample", F.lit(0)) + F.col("_k")).alias("sample"), (T.to_hns(ticks, scale) + shift).alias("t"))
 
 
 def samples_with_offsets(chunks: DataFrame, chunk_map: DataFrame, sizes: DataFrame) -> DataFrame:
