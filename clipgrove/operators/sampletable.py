@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from clipgrove.functions import timebase as T
 from clipgrove.operators.ranges import expand
-from clipgrove.operators.scan import Run, neighbours, rows_chunk, running
+from clipgrove.operators.scan import CHUNK_ROWS, Run, neighbours, rows_chunk, running
 from clipgrove.operators.timejoin import asof
 
 CLIP = ["clip"]
@@ -51,7 +51,7 @@ def expand_runs(runs: DataFrame, scale: int, edits: DataFrame | None = None) ->
     return out.select("clip", (F.coalesce("_sample", F.lit(0)) + F.col("_k")).alias("sample"), (T.to_hns(ticks, scale) + shift).alias("t"))
 
 
-def samples_with_offsets(chunks: DataFrame, chunk_map: DataFrame, sizes: DataFrame) -> DataFrame:
+def samples_with_offsets(chunks: DataFrame, chunk_map: DataFrame, sizes: DataFrame, block: int = CHUNK_ROWS) -> DataFrame:
     """chunks(clip, chunk from 1, offset), chunk_map(clip, first, per_chunk), sizes(clip, sample from
     0, size) -> (clip, sample, chunk, offset, size). Tracks whose totals disagree are rejected."""
     mapped = asof(chunks, chunk_map, CLIP, "chunk", "first", SPAN, {"per_chunk": "per_chunk"}).where("per_chunk IS NOT NULL")
@@ -64,16 +64,30 @@ def samples_with_offsets(chunks: DataFrame, chunk_map: DataFrame, sizes: DataFra
     ok = reduce(lambda x, y: x.union(y), facts).groupBy("clip").agg(
         F.sum("total").alias("_total"), F.sum("samples").alias("_samples"), F.max("chunk").alias("_chunks"), F.min("first").alias("_low"), F.max("first").alias("_high"))
     ok = ok.where((F.col("_total") == F.col("_samples")) & (F.col("_low") >= 1) & (F.col("_high") <= F.col("_chunks") + 1)).select("clip")
-    # Every sample lies in the last chunk that starts at or before it.
-    place = F.struct("chunk", "offset", (F.col("_start") + F.col("per_chunk")).alias("end"))
-    starts = at.where("per_chunk > 0").select("clip", F.col("_start").alias("sample"), F.lit(0).alias("_kind"), place.alias("_c"), F.lit(None).cast(sizes.schema["size"].dataType).alias("size"))
+    # Every sample lies in the last chunk that starts at or before it. Chunks are cut at blocks of samples, so a block needs no other; rejected
+    # tracks keep no chunk.
+    chunk_ends = (F.col("_start") + F.col("per_chunk")).cast("bigint")
+    begun, done = T.idiv(F.col("_start"), block), T.idiv(chunk_ends - 1, block)
+    held = at.where("per_chunk > 0").join(ok, "clip", "left_semi").select("clip", "chunk", "offset", "_start", chunk_ends.alias("end"), begun.alias("_first"), done.alias("_last"))
+    # At most one chunk passes each border of blocks: some rows per million samples, so they go to all tasks.
+    over = F.broadcast(held.where("_first < _last").select("clip", F.col("chunk").alias("_c"), F.col("_start").alias("_a"), F.col("end").alias("_e"), "_last"))
+    ahead = sizes.select("clip", "sample", "size", T.idiv(F.col("sample"), block).alias("_block")).join(over, "clip").where("sample >= _a AND sample < _e AND _block < _last")
+    ahead = ahead.groupBy("clip", F.col("_c").alias("chunk"), "_block").agg(F.sum("size").alias("_bytes"))
+    later = held.where("_first < _last").withColumn("_block", F.explode(F.sequence(F.col("_first") + 1, F.col("_last"))))
+    whole = W.partitionBy("clip", "chunk").orderBy("_block").rowsBetween(W.unboundedPreceding, W.currentRow)
+    lead = ahead.withColumn("_lead", F.sum("_bytes").over(whole)).select("clip", "chunk", (F.col("_block") + 1).alias("_block"), "_lead")
+    later = later.join(lead, ["clip", "chunk", "_block"], "left")
+    opens = [held.select("clip", F.col("_start").alias("sample"), "chunk", "offset", "end"),
+             later.select("clip", (F.col("_block") * block).alias("sample"), "chunk", (F.col("offset") + F.coalesce("_lead", F.lit(0))).alias("offset"), "end")]
+    kind = sizes.schema["size"].dataType
+    starts = opens[0].union(opens[1]).select("clip", "sample", F.lit(0).alias("_kind"), F.struct("chunk", "offset", "end").alias("_c"), F.lit(None).cast(kind).alias("size"))
     both = starts.unionByName(sizes.select("clip", "sample", F.lit(1).alias("_kind"), F.lit(None).cast(starts.schema["_c"].dataType).alias("_c"), "size"))
-    rows = running(both, CLIP, ["sample", "_kind"], {"_in": Run("last", F.col("_c"))}, rows_chunk("sample")).where("_kind = 1 AND sample < _in.end")
-    full = rows.join(ok, "clip", "left_semi").select("clip", "sample", "_in.chunk", "_in.offset", "size")
-    # A chunk of a file is a short run of samples, so this window never grows with the track.
-    inside = W.partitionBy("clip", "chunk").orderBy("sample").rowsBetween(W.unboundedPreceding, -1)
-    out = full.withColumn("_before", F.sum("size").over(inside))
-    return out.select("clip", "sample", "chunk", (F.col("offset") + F.coalesce("_before", F.lit(0))).alias("offset"), "size")
+    both = both.withColumn("_block", T.idiv(F.col("sample"), block))
+    row = W.partitionBy("clip", "_block").orderBy("sample", "_kind")
+    rows = both.withColumn("_before", F.coalesce(F.sum("size").over(row.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    here = F.when(F.col("_kind") == 0, F.struct("_c.chunk", "_c.end", (F.col("_c.offset") - F.col("_before")).alias("base")))
+    rows = rows.withColumn("_in", F.last(here, ignorenulls=True).over(row.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    return rows.where("_kind = 1 AND sample < _in.end").select("clip", "sample", "_in.chunk", (F.col("_in.base") + F.col("_before")).alias("offset"), "size")
 
 
 def keyframes(samples: DataFrame, sync: DataFrame, tables: DataFrame) -> DataFrame:
