@@ -61,9 +61,9 @@ def _sliding(x: np.ndarray, w: int, least: bool) -> np.ndarray:
     return f(tail[:n - w + 1], head[w - 1:n])
 
 
-def runs(data: np.ndarray, offs: np.ndarray, s: Settings) -> tuple[np.ndarray, ...]:
+def runs(data: np.ndarray, offs: np.ndarray, s: Settings, ask_twice: bool = True) -> tuple[np.ndarray, ...]:
     """(text, hash, first window start, last one, twice) of the runs of a slice; starts count within the slice. ``twice``: the least hash
-    lies at two places of the run."""
+    lies at two places of the run (false for all if not asked for)."""
     n, w = len(data), s.length - s.gram + 1
     none = np.zeros(0, np.int64)
     if n < s.length:
@@ -83,13 +83,20 @@ def runs(data: np.ndarray, offs: np.ndarray, s: Settings) -> tuple[np.ndarray, .
     keep = good[first]
     first, last = first[keep], last[keep]
     twice = np.zeros(len(first), bool)
-    span = np.arange(w)
-    for i in range(0, len(first), 4096):
-        a, b = first[i:i + 4096], last[i:i + 4096]
-        v = least[a][:, None]
-        lo = a + (h[a[:, None] + span] == v).argmax(axis=1)
-        hi = b + w - 1 - (h[b[:, None] + span[::-1]] == v).argmax(axis=1)
-        twice[i:i + 4096] = lo != hi
+    if ask_twice:
+        # where the neighbouring window has a greater least hash, the run's own lies at the very end only
+        value = least[first]
+        lo, hi = first + w - 1, last.copy()
+        span = np.arange(w)
+        search = np.flatnonzero(least[np.maximum(first - 1, 0)] <= value)
+        for i in range(0, len(search), 4096):
+            r = search[i:i + 4096]
+            lo[r] = first[r] + (h[first[r][:, None] + span] == value[r][:, None]).argmax(axis=1)
+        search = np.flatnonzero(least[np.minimum(last + 1, len(least) - 1)] <= value)
+        for i in range(0, len(search), 4096):
+            r = search[i:i + 4096]
+            hi[r] = last[r] + w - 1 - (h[last[r][:, None] + span[::-1]] == value[r][:, None]).argmax(axis=1)
+        twice = lo != hi
     return owner[first], least[first], first, last, twice
 
 
@@ -115,7 +122,7 @@ def _contexts(s: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offs in text_slices(batch.column("text")):
-                text, h, first, last, _ = runs(data, offs, s)
+                text, h, first, last, _ = runs(data, offs, s, False)
                 wanted = batch.column("wanted").slice(a, b - a)
                 flat = wanted.flatten().to_numpy().astype(np.int64)
                 row = np.repeat(np.arange(b - a), np.diff(np.frombuffer(wanted.buffers()[1], np.int32)[wanted.offset:wanted.offset + b - a + 1]))
@@ -130,14 +137,27 @@ def _contexts(s: Settings):
 # ---- suffix sorting
 
 
-def suffix_order(text: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray:
+def pack(text: np.ndarray) -> np.ndarray:
+    """The 7 symbols of 9 bits from every place on as one number; those behind the end of a string are 0."""
+    n = len(text)
+    padded = np.concatenate([text, np.zeros(7, text.dtype)]).astype(np.uint64)
+    out, alive = padded[:n].copy(), padded[:n] > 0
+    for k in range(1, 7):
+        out <<= np.uint64(9)
+        alive &= padded[k:n + k] > 0
+        out |= padded[k:n + k] * alive
+    return out
+
+
+def suffix_order(text: np.ndarray, wanted: np.ndarray, depth: int, packed: np.ndarray | None = None) -> np.ndarray:
     """The ``wanted`` positions in the order of their suffixes, right in the first ``depth`` symbols. ``text``: small
-    integers, 0 ends a string (and the text).
+    integers, 0 ends a string (and the text). ``packed``: what ``pack`` makes of it, if at hand.
 
     Stage one sorts directly the suffixes smaller than their successors (type B) that are wanted or start a chain of
     larger ones (type A) to a wanted one. Stage two scans the buckets of first symbols upwards: the suffix before each entry, if
     of type A, is the next of its own bucket."""
     n = len(text)
+    packed = pack(text) if packed is None else packed
     place = np.arange(n, dtype=np.int32)
     backward = lambda x: np.minimum.accumulate(x[::-1])[::-1]
     diff = np.sign(text[1:].astype(np.int32) - text[:-1]).astype(np.int8)
@@ -147,13 +167,10 @@ def suffix_order(text: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray
     small[:-1] = (diff[np.minimum(after, n - 2)] > 0) | (after == n)
     # a chain runs from a wanted type A suffix to the next type B one
     chain = backward(np.where(small, place, np.int32(n)))[wanted]
-    cover = np.zeros(n + 1, np.int32)
-    np.add.at(cover, wanted, 1)
-    np.add.at(cover, chain + 1, -1)
+    cover = np.bincount(wanted, minlength=n + 1) - np.bincount(chain + 1, minlength=n + 1)
     need = np.cumsum(cover[:n]) > 0
     direct = np.flatnonzero(need & small).astype(np.int32)
-    stop = backward(np.where(text == 0, place, np.int32(n)))
-    direct = direct[_direct(text, direct, stop, depth)]
+    direct = direct[_direct(packed, direct, depth)]
     heads = text[direct]
     edge = np.searchsorted(heads, np.arange(int(text.max()) + 2))
     induced: list[list[np.ndarray]] = [[] for _ in range(len(edge) - 1)]
@@ -193,28 +210,26 @@ def suffix_order(text: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray
     return order[asked[order]]
 
 
-def _direct(text: np.ndarray, at: np.ndarray, stop: np.ndarray, depth: int) -> np.ndarray:
-    """Order of the suffixes at ``at`` by their first ``depth`` symbols, those behind the end of a string left out: 7 symbols of 9 bits
-    at a time, and again only where the order is open."""
+def _direct(packed: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
+    """Order of the suffixes at ``at`` by their first ``depth`` symbols, those behind the end of a string left out: 7 symbols
+    at a time, and again only where the order is open. Groups whose members agree in these symbols are not sorted."""
     order = np.arange(len(at), dtype=np.int32)
     group = np.zeros(len(at), np.int32)  # open groups, in order of place
     places = np.arange(len(at), dtype=np.int32)
-    padded = np.concatenate([text, np.zeros(7, text.dtype)])
-    masks = np.array([(1 << 63) - (1 << 9 * (7 - k)) for k in range(8)], np.uint64)
     for d in range(0, depth, 7):
         if not len(places):
             break
-        i = at[order[places]] + d
-        room = np.clip(stop[at[order[places]]] - i, 0, 7)
-        i = np.minimum(i, len(text) - 1)
-        key = np.zeros(len(i), np.uint64)
-        for k in range(7):
-            key = key << np.uint64(9) | padded[i + k].astype(np.uint64)
-        key &= masks[room]
-        sub = np.lexsort((key, group))
-        order[places] = order[places][sub]
-        key, g = key[sub], group[sub]
-        same = (key[1:] == key[:-1]) & (g[1:] == g[:-1]) & (key[1:] & np.uint64(511) > 0)
+        who = order[places]
+        # an open place has no end in the symbols before, so it lies inside the text
+        key = packed[at[who] + d]
+        differ = np.zeros(int(group[-1]) + 1, bool)
+        differ[group[1:][(key[1:] != key[:-1]) & (group[1:] == group[:-1])]] = True
+        mixed = np.flatnonzero(differ[group])
+        if len(mixed):
+            sub = mixed[np.lexsort((key[mixed], group[mixed]))]
+            who[mixed], key[mixed] = who[sub], key[sub]
+            order[places] = who
+        same = (key[1:] == key[:-1]) & (group[1:] == group[:-1]) & (key[1:] & np.uint64(511) > 0)
         head = np.concatenate([[True], ~same])
         open_ = ~head | np.concatenate([~head[1:], [False]])
         group = np.cumsum(head, dtype=np.int32)[open_]
@@ -222,18 +237,28 @@ def _direct(text: np.ndarray, at: np.ndarray, stop: np.ndarray, depth: int) -> n
     return order
 
 
-def common_prefixes(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
-    """For every entry but the first: symbols in common with the entry before, up to ``depth``."""
+def common_prefixes(text: np.ndarray, order: np.ndarray, depth: int, packed: np.ndarray | None = None) -> np.ndarray:
+    """For every entry but the first: symbols in common with the entry before, up to ``depth``; 7 at a time as long as all are equal."""
+    packed = pack(text) if packed is None else packed
     out = np.zeros(max(0, len(order) - 1), np.int64)
-    left = np.arange(len(out))
-    padded = np.concatenate([text, np.zeros(depth, text.dtype)])
-    for d in range(depth):
-        a, b = padded[order[left] + d], padded[order[left + 1] + d]
-        left = left[(a == b) & (a > 0)]
+    left, (a, b) = np.arange(len(out)), (order[:-1], order[1:])
+    for d in range(0, depth, 7):
+        x, y = packed[a + d], packed[b + d]
+        # bits above the first difference, or up to the end of both strings
+        full = (x == y) & (x & np.uint64(511) > 0)
+        rest = ~full
+        u, v = x[rest], y[rest]
+        equal, more = np.zeros(len(u), np.int64), np.ones(len(u), bool)
+        for k in range(6, -1, -1):
+            p = u >> np.uint64(9 * k) & np.uint64(511)
+            more &= (p == (v >> np.uint64(9 * k) & np.uint64(511))) & (p > 0)
+            equal += more
+        out[left[rest]] = d + equal
+        left, a, b = left[full], a[full], b[full]
         if not len(left):
             break
-        out[left] += 1
-    return out
+    out[left] = depth
+    return np.minimum(out, depth)
 
 
 def _hits(bodies: list[bytes], s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -257,9 +282,10 @@ def _hits(bodies: list[bytes], s: Settings) -> tuple[np.ndarray, np.ndarray, np.
         np.cumsum(mix(text.astype(np.uint64)) * power[:len(text)], out=prefix[1:])
         share = (mix((prefix[wanted + s.length] - prefix[wanted]) * inverse[wanted]) % np.uint64(passes)).astype(np.int64)
     hit = np.zeros(len(text), bool)
+    packed = pack(text)
     for j in range(passes):
-        order = suffix_order(text, wanted[share == j], s.length)
-        equal = common_prefixes(text, order, s.length) >= s.length
+        order = suffix_order(text, wanted[share == j], s.length, packed)
+        equal = common_prefixes(text, order, s.length, packed) >= s.length
         hit[order[1:][equal]] = True
         hit[order[:-1][equal]] = True
     w = np.flatnonzero(hit[wanted])

@@ -78,3 +78,24 @@ def test_equal_windows_meet_by_one_hash_wherever_they_lie():
         owner |= {i: x for i in range(a, b + 1)}
     assert owner[13] == owner[13 + 40 + 200]
     assert len(S.powers(1 << 21)[0]) >= 1 << 21 and S.powers(8)[0][1] * S.powers(8)[1][1] == 1
+
+
+def test_equal_suffixes_are_not_sorted_again(monkeypatch):
+    """Copies of a passage agree in every round, so only rounds with a difference sort them."""
+    rng = random.Random(5)
+    passage = [rng.randint(1, 256) for _ in range(230)]
+    text = np.array([x for i in range(300) for x in [*passage, 1 + i % 7, 0]], np.uint16)
+    wanted = np.concatenate([np.arange(31) + 232 * i for i in range(300)])
+    sorted_, lexsort = [], np.lexsort
+
+    def counted(keys):
+        sorted_.append(len(keys[0]))
+        return lexsort(keys)
+
+    monkeypatch.setattr(np, "lexsort", counted)
+    order = S.suffix_order(text, wanted, 200)
+    keys = [text[i:i + 200].tolist() for i in order]
+    assert len(order) == 31 * 300 and keys == sorted(keys)
+    assert sum(sorted_) <= 2 * len(wanted)
+    same = [next((k for k in range(200) if a[k] != b[k]), 200) for a, b in zip(keys, keys[1:])]
+    assert S.common_prefixes(text, order, 200).tolist() == same
