@@ -62,16 +62,21 @@ def read_documents(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return spark.read.text(wanted, wholetext=True).select(F.col("_metadata.file_path").alias("doc"), "value")
 
 
-def split_corrupt(docs: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
-    """Documents that parse as ``schema`` (doc, parsed) and those that do not (doc, value), to be
-    set aside and counted as empty."""
+def parse(docs: DataFrame, schema: str) -> DataFrame:
+    """Adds ``parsed`` of type ``schema``, null where a document does not parse."""
     boxed = f"struct<v: {schema}, _corrupt: string>"
     parsed = F.from_json(F.concat(F.lit('{"v":'), "value", F.lit("}")), boxed, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
     # parsers stop at the end of a value, so text behind it must break one of two wrappers; explode keeps the parse from being repeated
     valid = F.try_parse_json(F.concat(F.lit("["), "value", F.lit("]"))).isNotNull()
     both = docs.withColumn("_p", F.explode(F.array(F.when(valid, parsed))))
-    bad = F.col("_p").isNull() | F.col("_p._corrupt").isNotNull() | F.col("_p.v").isNull()
-    return both.where(~bad).select("doc", F.col("_p.v").alias("parsed")), both.where(bad).select("doc", "value")
+    return both.select(*docs.columns, F.when(F.col("_p._corrupt").isNull(), F.col("_p.v")).alias("parsed"))
+
+
+def split_corrupt(docs: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
+    """Documents that parse as ``schema`` (doc, parsed) and those that do not (doc, value), to be
+    set aside and counted as empty. Documents that come with ``parsed`` are not parsed again."""
+    both = docs if "parsed" in docs.columns else parse(docs.select("doc", "value"), schema)
+    return both.where("parsed IS NOT NULL").select("doc", "parsed"), both.where("parsed IS NULL").select("doc", "value")
 
 
 def quarantine(bad: DataFrame, path: str) -> None:

@@ -198,3 +198,25 @@ def test_large_registry_keeps_places(spark, tmp_path, tiny_ranges):
     for name, n in {"game": 50, "game_exe": 49}.items():
         assert len(rows(a[name])) == n and rows(a[name]) == rows(b[name])
     assert EN.pieces(spark, [str(tmp_path / "g.json")]).select("block").distinct().count() > 20
+
+
+def test_entries_move_as_chunks(spark, tmp_path):
+    """Commas inside an entry are no rows, wherever chunks are cut."""
+    lists = [{"id": f"p{i}", "name": 'a,"[b', "clips": [f'c,{k}\\"' for k in range(20)]} for i in range(200)]
+    path = str(tmp_path / "p.json")
+    (tmp_path / "p.json").write_text(json.dumps(lists))
+    assert EN.pieces(spark, [path]).count() == 200
+    small = EN.pieces(spark, [path], 300)
+    assert small.groupBy("entry").count().count() == 200 and small.where("final").select("entry").distinct().collect()[0][0] == 199
+    # every chunk holds one batch of pieces at least, so the batches are made small
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        cut = EN.pieces(spark, [path], 1).collect()
+        assert len(cut) > 400 and len({r.chunk for r in cut}) > 500
+        texts = {}
+        for r in sorted(cut, key=lambda r: (r.block, r.chunk)):
+            texts[r.entry] = texts.get(r.entry, b"") + bytes(r.value)
+        assert [*json.loads(",".join(texts[i].decode() for i in range(200)))] == lists
+        assert rows(EN.read_playlist_index(spark, path)[1]) == rows(D.read_playlist_index(spark, path)[1])
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
