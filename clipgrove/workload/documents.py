@@ -40,7 +40,9 @@ def large_documents(spark, rows, brackets):
     placed = rows.join(ends, "part").select("part", "at", F.concat(F.when(F.col("at") == F.col("least"), "").otherwise(","), "entry").alias("value"))
     for end, bracket in zip((-1, 2**62), brackets):
         placed = placed.unionByName(ends.select("part", F.lit(end).cast("bigint").alias("at"), F.lit(bracket).alias("value")))
-    placed.repartition("part").sortWithinPartitions("part", "at").select("part", "value").write.partitionBy("part").text(path)
+    # a shuffle of its own key: one on ``part`` is left out after the join, whose large partitions are read in several tasks
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed.repartition(tasks, F.xxhash64("part")).sortWithinPartitions("part", "at").select("part", "value").write.partitionBy("part").text(path)
     return path
 
 
