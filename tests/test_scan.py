@@ -64,6 +64,37 @@ def test_time_joins(frame, width):
     assert got == {(q, n) for k, t, q in left for kk, u, n in right if kk == k and u <= t < u + n % 15}
 
 
+def test_rows_of_a_span_stand_together(frame):
+    points = [(i % 2, i // 8, i) for i in range(1600)]
+    spans = [(s % 2, 5 * s, 5 * s + 90, s) for s in range(20)]
+    hit = interval_join(frame("k bigint, t bigint, q bigint", points), frame("k bigint, a bigint, b bigint, s bigint", spans), ["k"], "t", F.col("a"), F.col("b"), 100)
+    got = [(r.s, r.t, r.q) for r in hit.collect()]
+    assert sorted(got) == sorted((s, t, q) for k, t, q in points for kk, a, b, s in spans if k == kk and a <= t < b)
+    # Each span touches at most two buckets of 400 points, which are two blocks; behind a new span or block the time may fall.
+    assert sum(x[0] != y[0] or x[1] > y[1] for x, y in zip(got, got[1:])) < 4 * len(spans)
+
+
+@pytest.mark.parametrize("block", [1, 7, 1000])
+def test_interval_join_of_odd_rows(frame, block):
+    rng = random.Random(block)
+    points = [(rng.choice([0, 1, None]), rng.choice([None, *range(-20, 20)]), rng.choice([None, "x"])) for _ in range(200)]
+    spans = [(rng.choice([0, 1, None]), rng.choice([None, -9, 0, 4]), rng.choice([None, 0, 4, 12]), s) for s in range(30)]
+    hit = interval_join(frame("k bigint, t bigint, v string", points), frame("k bigint, a bigint, b bigint, s bigint", spans), ["k"], "t", F.col("a"), F.col("b"), 6, block)
+    want = [(k, t, v, s) for k, t, v in points for kk, a, b, s in spans if None not in (k, t, a, b) and k == kk and a <= t < b]
+    assert rows(hit, "k", "t", "v", "s") == sorted(want, key=lambda r: tuple((x is None, x) for x in r))
+
+
+def test_overlapping_recordings_are_small_when_written(frame, tmp_path):
+    at = [(i % 100) ** 2 * 12_345 for i in range(4000)]
+    p = stream(frame, [(0, 0, "v", i, t, t, 1, True, 1, 1) for i, t in enumerate(at)])
+    req = frame("request_id bigint, stream_id bigint, at bigint, stop bigint", [(n, 0, at[n % 100], 10**10) for n in range(200)])
+    out = P.record(req, p).select("request_id", "seq", "track", "out_time")
+    out.coalesce(1).write.parquet(f"{tmp_path}/out")
+    n = out.count()
+    assert n == 2 * 40 * 100 * 101 // 2
+    assert sum(f.stat().st_size for f in tmp_path.glob("out/*.parquet")) < n / 2
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_throttle_over_chunks(frame, seed):
     rng = random.Random(seed)
