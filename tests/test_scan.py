@@ -95,6 +95,15 @@ def test_overlapping_recordings_are_small_when_written(frame, tmp_path):
     assert sum(f.stat().st_size for f in tmp_path.glob("out/*.parquet")) < n / 2
 
 
+def test_overlapping_recordings_are_dealt_over_tasks(frame):
+    p = stream(frame, [(0, 0, "v", i, i, i, 1, i == 0, 1, 1) for i in range(2000)])
+    req = frame("request_id bigint, stream_id bigint, at bigint, stop bigint", [(n, 0, 10 * n, 2000) for n in range(50)])
+    out = P.record(req, p, span=20, columns=["seq"]).groupBy(F.spark_partition_id().alias("task")).count()
+    per = [r["count"] for r in out.collect()]
+    # 100 buckets of equal size; both sides are small enough for one task.
+    assert sum(per) == 100_000 and max(per) < 50_000
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_throttle_over_chunks(frame, seed):
     rng = random.Random(seed)
